@@ -63,9 +63,9 @@ def fixed_text(value: Column | str, places: int) -> Column:
     return F.format_string(f"%.{places}f", half_even(value, places))
 
 
-def js_round_tenth(value: Column | str) -> Column:
-    """Round to one decimal with halves going up, also for negative numbers."""
-    return F.floor(as_col(value) * 10 + F.lit(0.5)).cast("double") / F.lit(10.0)
+def half_up_tenth(tenths: Column | str) -> Column:
+    """A number of tenths rounded to a whole, halves going up (also below zero), and divided by 10."""
+    return F.floor(as_col(tenths) + F.lit(0.5)).cast("double") / F.lit(10.0)
 
 
 def band(value: Column | str, edges: list[tuple[float, str]]) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import js_round_tenth
+from ..functions.numeric import half_up_tenth
 from ..sources.layouts import (
     BY_ID,
     CONFIDENT,
@@ -327,7 +327,8 @@ def upload_status(errors: Column | str = "error_count", inserted: Column | str =
 
 
 def percent_change(now: Column, before: Column) -> Column:
-    return F.when(before > 0, js_round_tenth((now - before) / before * 100))
+    """Change in percent to one decimal, halves going up; null without a positive base."""
+    return F.when(before > 0, half_up_tenth((now - before) / before * 1000))
 
 
 SWING_PERCENT = 50  # fixed value: change in percent that is flagged
@@ -408,18 +409,12 @@ def bronze_rows(df: DataFrame, endpoint: str, batch_id: str) -> DataFrame:
     )
 
 
-def silver_extract(bronze: DataFrame, fields: dict[str, str], key: str, order: str | None = None) -> DataFrame:
-    """Typed columns from the JSON payload (``fields``: name -> type); rows without the key are dropped,
-    and one row per key is kept (the last by ``order`` if given)."""
-    text = F.from_json("data", "map<string,string>")
-    parsed = bronze.select(text.alias("m"), *([F.col(order)] if order else []))
-    typed = parsed.select(
-        *[F.try_element_at("m", F.lit(c)).try_cast(t).alias(c) for c, t in fields.items()],
-        *([F.col(order)] if order else []),
-    ).filter(F.col(key).isNotNull())
-    if order:
-        return last_per_key(typed, [key], order)
-    return typed.dropDuplicates([key])
+def silver_extract(bronze: DataFrame, fields: dict[str, str], key: str, order: str) -> DataFrame:
+    """Typed columns from the JSON payload (``fields``: name -> type). Rows without the key are dropped
+    and the last row per key by the field ``order`` is kept; text that does not parse is null."""
+    parsed = bronze.select(F.from_json("data", "map<string,string>").alias("m"))
+    typed = parsed.select(*[F.try_element_at("m", F.lit(c)).try_cast(t).alias(c) for c, t in fields.items()])
+    return last_per_key(typed.filter(F.col(key).isNotNull()), [key], order)
 
 
 def counts_by_source(bronze: DataFrame) -> DataFrame:

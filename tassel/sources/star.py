@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def enrollments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enrollments(spark: SparkSession, sf_dir: str, line_rows: DataFrame | None = None) -> DataFrame:
     """Conformed course enrollments, one row per student and course taken.
 
+    ``line_rows`` may be a stream of line items; orders and parts are always read as tables.
+
     Text columns are built on the order and part sides, before the joins multiply the rows.
     """
     start_year = "(year(o_orderdate) - if(month(o_orderdate) <= 5, 1, 0))"
@@ -42,7 +44,7 @@ def enrollments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_size % 2 = 0 as is_core_course",
         "p_size % 7 = 0 as is_co_requisite",
     )
-    lines = table(spark, sf_dir, "lineitem").selectExpr(
+    lines = (table(spark, sf_dir, "lineitem") if line_rows is None else line_rows).selectExpr(
         "l_orderkey",
         "l_partkey",
         "try_element_at(array('A','A-','B+','B','B-','C+','C','C-','D','F','W','I',null,''),"
@@ -91,6 +93,44 @@ def raw_course_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a cohort submission as text, one per order, so a student is submitted several times.
+
+    Ids and cohorts are sometimes blank, codes sometimes padded or unknown; ``row_no`` is the file position.
+    """
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey + 1 as row_no",
+        "case when o_orderkey % 101 = 0 then ' ' else " + GUID.format(k="o_custkey") + " end as `Student ID`",
+        "case when o_orderkey % 211 = 0 then null else " + COHORT.format(k="o_custkey") + " end as `Cohort`",
+        "element_at(array('Fall','Winter','Spring','Autumn'), cast(o_custkey % 4 as int) + 1) as `Cohort Term`",
+        "concat('Name', cast(o_custkey as string)) as `First Name`",
+        "element_at(array('F','R','T',' F ','Z '), cast(o_orderkey % 5 as int) + 1) as `Enrollment Type`",
+        "element_at(array('W','B','A','AN','IA','HP','TM','UK','XX '), cast(o_orderkey % 9 as int) + 1) as `Race`",
+        "element_at(array('M','F','P','X','UK',''), cast(o_orderkey % 6 as int) + 1) as `Gender`",
+        "element_at(array('C','R','N'), cast(o_orderkey % 3 as int) + 1) as `Math-Placement`",
+        "o_orderpriority as `Local Note`",
+    )
+
+
+def upload_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of one uploaded file per customer: most columns of one layout, some in upper case with
+    spaces, and in every eleventh file eleven unknown headers."""
+    from .layouts import LAYOUTS
+
+    listed = [(n, i, c) for n, layout in enumerate(LAYOUTS) for i, c in enumerate(layout.columns)]
+    columns = spark.createDataFrame(listed, "layout_no int, position int, column string")
+    files = table(spark, sf_dir, "customer").selectExpr("c_custkey as file", "cast(c_custkey % 5 as int) as layout_no")
+    known = (
+        files.join(F.broadcast(columns), "layout_no")
+        .filter("(file * 7 + position * 3) % 20 < 18")
+        .selectExpr("file", "if(file % 2 = 0, upper(replace(column, '_', ' ')), column) as header")
+    )
+    unknown = files.filter("file % 11 = 0").selectExpr(
+        "file", "explode(transform(sequence(1, 11), i -> concat('Local-', cast(i as string)))) as header"
+    )
+    return known.unionByName(unknown)
+
+
 # Classification codes of the programs students are spread over.
 PROGRAM_CODES = [
     "510000.0", "520201.0", "240101.0", "110101.0", "430107.0", "130101.0", "480508.0", "150303.0", "120401.0",
@@ -228,14 +268,10 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log already parsed, for the streaming jobs."""
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id",
-        "ts",
-        "concat('inst', cast(user_id % 7 as string)) as institution",
-        "event_type as viz_type",
-        "user_id",
+def audit_columns(events: DataFrame) -> DataFrame:
+    """The same log already parsed, from a table or a stream of events."""
+    return events.selectExpr(
+        "event_id", "cast(ts as timestamp) as ts", "concat('inst', cast(user_id % 7 as string)) as institution", "event_type as viz_type", "user_id"
     )
 
 

@@ -1 +1,277 @@
-"""Queries to come."""
+"""Splits, preprocessing, metrics (with SQL) and model training (rows only)."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tassel.operators import evaluate, ranks, scored, students
+from tassel.plans import models, scoring_run
+from tassel.session import checkpoint_dir
+from tassel.sources import star
+
+from .base_sql import pct, with_ctes
+from .registry import register
+from .tables import enrollments, scored_rows, student_rows
+
+
+def targets(s, d):
+    return scored.with_targets(student_rows(s, d)).select("student_guid", "target_retention")
+
+
+_T = "t AS (SELECT student_guid, coalesce(retention,0) AS target_retention FROM cohort_rows)"
+
+
+def _with_t(body):
+    return with_ctes(["cohort_rows"], "@@").replace("\n@@", f",\n{_T}\n{body}")
+
+
+register(
+    "stratified_split",
+    lambda s, d: evaluate.stratified_split(targets(s, d), "student_guid", "target_retention"),
+    _with_t(
+        """SELECT student_guid, target_retention, row_number() OVER (PARTITION BY target_retention ORDER BY md5(student_guid), student_guid)
+ <= round_even(count(*) OVER (PARTITION BY target_retention)*0.2::DOUBLE, 0) AS is_test FROM t"""
+    ),
+)
+register(
+    "random_split",
+    lambda s, d: evaluate.random_split(targets(s, d), "student_guid", seed="7"),
+    _with_t(
+        """SELECT student_guid, target_retention, row_number() OVER (ORDER BY md5('7' || student_guid), student_guid)
+ <= round_even(count(*) OVER ()*0.2::DOUBLE, 0) AS is_test FROM t"""
+    ),
+)
+register(
+    "stratified_folds",
+    lambda s, d: evaluate.stratified_folds(targets(s, d), "student_guid", "target_retention"),
+    _with_t(
+        """SELECT student_guid, target_retention, CAST((row_number() OVER (PARTITION BY target_retention ORDER BY md5(student_guid), student_guid)-1)%5 AS INT) AS fold FROM t"""
+    ),
+)
+register(
+    "split_line_items",
+    lambda s, d: evaluate.stratified_split(
+        star.table(s, d, "events").select("event_id", "event_type"), "event_id", "event_type", 0.3
+    )
+    .groupBy("event_type", "is_test")
+    .agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")),
+    """SELECT event_type, is_test, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, event_type,
+ row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) <= round_even(count(*) OVER (PARTITION BY event_type)*0.3::DOUBLE,0) AS is_test FROM events)
+GROUP BY 1,2""",
+)
+register(
+    "class_weights",
+    lambda s, d: evaluate.class_weights(scored.with_targets(student_rows(s, d)), "target_credential_type").withColumn(
+        "weight", F.round("weight", 6)
+    ),
+    with_ctes(
+        ["cohort_rows"],
+        """SELECT target_credential_type, n, round(sum(n) OVER () / CAST(count(*) OVER () * n AS DOUBLE), 6) AS weight FROM (
+ SELECT CASE WHEN y_bach>0 THEN 3 WHEN y_assoc>0 THEN 2 WHEN y_cert>0 THEN 1
+  WHEN y_either>0 THEN CASE WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1 ELSE 2 END
+  WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1
+  WHEN credential_type_sought_year_1='A' THEN 2 WHEN credential_type_sought_year_1='B' THEN 3 ELSE 0 END AS target_credential_type, count(*) AS n FROM cohort_rows GROUP BY 1)""",
+    ),
+)
+_NUMERIC = ["gpa_group_year_1", "number_of_credits_earned_year_1", "average_grade", "number_of_credits_earned_year_4"]
+_TEXT = ["enrollment_intensity_first_term", "completedgatewaymathyear1", "race"]
+register(
+    "fill_missing",
+    lambda s, d: evaluate.fill_missing(student_rows(s, d).select("student_guid", *_NUMERIC, *_TEXT), _NUMERIC, _TEXT).withColumns(
+        {c: F.round(c, 6) for c in _NUMERIC}
+    ),
+    with_ctes(
+        ["stu"],
+        "SELECT student_guid, "
+        + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM stu)),6) AS {c}" for c in _NUMERIC)
+        + ", "
+        + ", ".join(f"coalesce({c},'Unknown') AS {c}" for c in _TEXT)
+        + " FROM stu",
+    ),
+)
+register(
+    "label_codes",
+    lambda s, d: evaluate.label_codes(star.students(s, d), "first_gen"),
+    with_ctes(
+        ["cohort_rows"],
+        "SELECT value, CAST(row_number() OVER (ORDER BY value)-1 AS INT) AS code FROM (SELECT DISTINCT first_gen AS value FROM cohort_rows)",
+    ),
+)
+register(
+    "exact_quantiles",
+    lambda s, d: ranks.exact_quantiles(
+        star.table(s, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"], [0.0, 0.1, 0.5, 0.99, 1.0]
+    ).select("column", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(5)]),
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", " + ", ".join(f"round(quantile_cont({c},{q}),6) AS q{i}" for i, q in enumerate((0, 0.1, 0.5, 0.99, 1))) + " FROM lineitem"
+        for c in ("l_extendedprice", "l_quantity", "l_discount")
+    ),
+)
+
+
+def judged(s, d):
+    """Retention outcome against the stand-in probability."""
+    return scored_rows(s, d).selectExpr(
+        "student_guid", "coalesce(retention, 0) as label", "retention_prediction as prediction", "retention_probability as score"
+    )
+
+
+_J = "j AS (SELECT coalesce(retention,0) AS y, retention_prediction AS p, retention_probability AS s FROM cohort_rows)"
+_AUC = """(SELECT sum(CASE WHEN y=1 THEN r END - 0.5 - 0) FROM j2)"""
+register(
+    "binary_metrics",
+    lambda s, d: evaluate.binary_metrics(judged(s, d)).select(
+        "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc_roc")]
+    ),
+    with_ctes(["cohort_rows"], "@@").replace(
+        "\n@@",
+        f""",
+{_J}, j2 AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1)/2.0::DOUBLE AS r FROM j),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE y=1 AND p=1) AS tp, count(*) FILTER (WHERE y=0 AND p=1) AS fp,
+  count(*) FILTER (WHERE y=1 AND p=0) AS fn, count(*) FILTER (WHERE y=p) AS ok, count(*) FILTER (WHERE y=1) AS np, count(*) FILTER (WHERE y=0) AS nn,
+  sum(r) FILTER (WHERE y=1) AS rs FROM j2)
+SELECT n, round(ok/CAST(n AS DOUBLE),6) AS accuracy, round(tp/CAST(tp+fp AS DOUBLE),6) AS precision, round(tp/CAST(tp+fn AS DOUBLE),6) AS recall,
+ round(2*tp/CAST(2*tp+fp+fn AS DOUBLE),6) AS f1, round((rs - np*(np+1)/2.0::DOUBLE)/(CAST(np AS DOUBLE)*nn),6) AS auc_roc FROM c""",
+    ),
+)
+register(
+    "roc_auc_line_items",
+    lambda s, d: evaluate.roc_auc(
+        star.table(s, d, "lineitem").selectExpr("if(l_returnflag = 'R', 1, 0) as label", "l_extendedprice as score")
+    ).select(F.round("auc_roc", 6).alias("auc_roc")),
+    """SELECT round((sum(r) FILTER (WHERE y=1) - np*(np+1)/2.0::DOUBLE)/(CAST(np AS DOUBLE)*nn),6) AS auc_roc FROM (
+ SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s)-1)/2.0::DOUBLE AS r, count(*) FILTER (WHERE y=1) OVER () AS np, count(*) FILTER (WHERE y=0) OVER () AS nn
+ FROM (SELECT CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS y, l_extendedprice AS s FROM lineitem)) GROUP BY np, nn""",
+)
+register(
+    "confusion",
+    lambda s, d: evaluate.confusion(judged(s, d)),
+    with_ctes(["cohort_rows"], "@@").replace(
+        "\n@@",
+        f""",
+{_J} SELECT a AS actual, b AS predicted, (SELECT count(*) FROM j WHERE y=a AND p=b) AS count FROM (VALUES (0),(1)) x(a), (VALUES (0),(1)) z(b)""",
+    ),
+)
+register(
+    "regression_metrics",
+    lambda s, d: evaluate.regression_metrics(
+        scored_rows(s, d).selectExpr("average_grade as label", "predicted_gpa as prediction")
+    ).select("n", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")]),
+    with_ctes(
+        ["scored"],
+        """SELECT count(*) AS n, round(sqrt(avg((average_grade-predicted_gpa)**2)),6) AS rmse, round(avg(abs(average_grade-predicted_gpa)),6) AS mae,
+ round(1 - sum((average_grade-predicted_gpa)**2)/(var_pop(average_grade)*count(*)),6) AS r2 FROM scored WHERE average_grade IS NOT NULL""",
+    ),
+)
+
+
+def classes(s, d):
+    return scored.with_targets(student_rows(s, d)).selectExpr(
+        "target_credential_type as label", "predicted_credential_type as prediction"
+    )
+
+
+_CLS = """y AS (SELECT CASE WHEN y_bach>0 THEN 3 WHEN y_assoc>0 THEN 2 WHEN y_cert>0 THEN 1
+  WHEN y_either>0 THEN CASE WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1 ELSE 2 END
+  WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1
+  WHEN credential_type_sought_year_1='A' THEN 2 WHEN credential_type_sought_year_1='B' THEN 3 ELSE 0 END AS y, predicted_credential_type AS p FROM cohort_rows)"""
+register(
+    "class_accuracy",
+    lambda s, d: evaluate.class_accuracy(classes(s, d)).withColumn("accuracy", F.round("accuracy", 6)),
+    with_ctes(["cohort_rows"], "@@").replace(
+        "\n@@",
+        f",\n{_CLS} SELECT y AS class, count(*) AS n, round(avg(CASE WHEN y=p THEN 1.0 ELSE 0.0 END),6) AS accuracy FROM y GROUP BY 1",
+    ),
+)
+register(
+    "multiclass_metrics",
+    lambda s, d: evaluate.multiclass_metrics(classes(s, d)).select(
+        "n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1")
+    ),
+    with_ctes(["cohort_rows"], "@@").replace(
+        "\n@@",
+        f""",
+{_CLS}, k AS (SELECT y AS c FROM y UNION SELECT p FROM y),
+f AS (SELECT c, 2*(SELECT count(*) FROM y WHERE y=c AND p=c)/CAST((SELECT count(*) FROM y WHERE y=c)+(SELECT count(*) FROM y WHERE p=c) AS DOUBLE) AS f1 FROM k)
+SELECT (SELECT count(*) FROM y) AS n, round((SELECT avg(CASE WHEN y=p THEN 1.0 ELSE 0.0 END) FROM y),6) AS accuracy, round(avg(f1),6) AS macro_f1 FROM f""",
+    ),
+)
+register(
+    "summary_report",
+    lambda s, d: scoring_run.summary_report(scored_rows(s, d)),
+    with_ctes(["scored"], "@@").replace(
+        "\n@@",
+        "\n"
+        + " UNION ALL ".join(
+            f"""SELECT * FROM (SELECT '{r}' AS report, position, label, (SELECT count(*) FROM scored WHERE {c}=label) AS count,
+ {pct(f'(SELECT count(*) FROM scored WHERE {c}=label)', '(SELECT count(*) FROM scored)')} AS percentage
+ FROM (VALUES {', '.join(f"({i},'{x}')" for i, x in enumerate(o))}) v(position,label)) {'' if k else 'WHERE count>0'}"""
+            for r, c, o, k in (
+                ("retention", "retention_risk_category", ["Critical Risk", "High Risk", "Moderate Risk", "Low Risk"], True),
+                ("alert", "at_risk_alert", ["URGENT", "HIGH", "MODERATE", "LOW"], True),
+                ("credential", "predicted_credential_label", ["No Credential", "Certificate", "Associate", "Bachelor"], False),
+                ("gateway_math", "gateway_math_risk", ["High Risk", "Moderate Risk", "Likely Pass", "Very Likely Pass"], False),
+                ("gateway_english", "gateway_english_risk", ["High Risk", "Moderate Risk", "Likely Pass", "Very Likely Pass"], False),
+                ("academic", "academic_risk_level", ["Low Risk", "Moderate Risk", "High Risk", "Critical Risk"], False),
+                ("gpa", "gpa_performance", ["Above Expected", "As Expected", "Below Expected"], False),
+            )
+        ),
+    ),
+)
+
+# ------------------------------------------------------------------ training (no SQL counterpart)
+
+
+def training_table(s, d):
+    return scored.with_targets(student_rows(s, d))
+
+
+def _metrics(s, trained):
+    rows = [(trained.name, k, float(v)) for k, v in trained.metrics.items() if v is not None]
+    return s.createDataFrame(rows, "model string, metric string, value double")
+
+
+def _importances(s, trained):
+    rows = [(i, n, float(v)) for i, (n, v) in enumerate(models.feature_importance_top(trained), 1)]
+    return s.createDataFrame(rows, "place int, feature string, importance double")
+
+
+register(
+    "train_retention_forest",
+    lambda s, d: _importances(
+        s,
+        models.train_classifier(
+            training_table(s, d), "Retention", "target_retention", models.RETENTION_FEATURES, models.simple_forest()
+        ),
+    ),
+)
+register(
+    "train_gateway_math",
+    lambda s, d: _metrics(
+        s, models.train_classifier(training_table(s, d), "Gateway Math", "target_gateway_math", models.GATEWAY_MATH_FEATURES)
+    ),
+)
+register(
+    "train_time_to_credential", lambda s, d: _metrics(s, models.train_time_to_credential(training_table(s, d)))
+)
+register("train_gpa", lambda s, d: _metrics(s, models.train_gpa(training_table(s, d))))
+register("train_credential_type", lambda s, d: _metrics(s, models.train_credential_type(training_table(s, d))))
+
+
+def _compared(s, d):
+    return s.createDataFrame(models.compare_models(training_table(s, d)).comparison)
+
+
+register("compare_models", _compared)
+
+
+def _scoring_run(s, d):
+    """Train every model, score every student, write all tables, read the predictions back."""
+    out = f"{checkpoint_dir(s)}/run-{uuid.uuid4().hex}"
+    cohort = star.students(s, d)
+    cohort = cohort.drop(*[c for c in cohort.columns if "probability" in c or "predict" in c or c.startswith("prob_")])
+    scoring_run.run(cohort, star.academic_records(s, d), enrollments(s, d), out, compare=False)
+    return scored.predictions(s.read.parquet(f"{out}/student_predictions"))
+
+
+register("scoring_run", _scoring_run)

@@ -1 +1,102 @@
-"""Queries to come."""
+"""Streaming jobs, run over everything available and compared with the batch answer."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tassel.session import checkpoint_dir
+from tassel.sources import sinks, star
+from tassel.sources.layouts import BY_ID
+from tassel.streaming import jobs
+
+from .base_sql import DFWI, PASS, pct, with_ctes
+from .registry import register
+
+
+def _events(s, d):
+    schema = star.table(s, d, "events").schema
+    return star.audit_columns(jobs.stream_parquet(s, d, "events.parquet", schema))
+
+
+_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL {0} FROM events)"
+_INST = "'inst' || CAST(user_id%7 AS VARCHAR)"
+register(
+    "stream_daily_counts",
+    lambda s, d: jobs.run_to_table(jobs.daily_counts(_events(s, d)), "daily").select(
+        F.col("day_start").cast("date").cast("string").alias("day"), "institution", "viz_type", "queries"
+    ),
+    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_INST} AS institution, event_type AS viz_type, count(*) AS queries FROM events
+GROUP BY 1,2,3 HAVING CAST(CAST(max(ts) AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= {_CLOSED.format('1 DAY')}""",
+)
+register(
+    "stream_sliding_activity",
+    lambda s, d: jobs.run_to_table(jobs.sliding_activity(_events(s, d)), "sliding").select(
+        F.unix_timestamp("window_start").alias("start_s"), "institution", "queries"
+    ),
+    f"""SELECT w AS start_s, institution, count(*) AS queries FROM (
+ SELECT {_INST} AS institution, unnest([b, b-7200, b-14400]) AS w FROM (SELECT *, CAST(floor(epoch(ts)/7200) AS BIGINT)*7200 AS b FROM events))
+GROUP BY 1,2 HAVING to_timestamp(w+21600) AT TIME ZONE 'UTC' <= {_CLOSED.format('1 HOUR')}""",
+)
+register(
+    "stream_activity_sessions",
+    lambda s, d: jobs.run_to_table(jobs.activity_sessions(_events(s, d)), "sessions").select(
+        "user_id",
+        F.unix_micros("session_start").alias("start_us"),
+        F.unix_micros("session_end").alias("end_us"),
+        "queries",
+    ),
+    f"""SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts))+1800000000 AS end_us, count(*) AS queries FROM (
+ SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
+  SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events))
+GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED.format('1 HOUR')}""",
+)
+
+
+def _course_stream(s, d):
+    schema = star.table(s, d, "lineitem").schema
+    lines = jobs.stream_parquet(s, d, "lineitem.parquet", schema)
+    counts = jobs.run_to_table(jobs.running_course_counts(star.enrollments(s, d, lines)), "courses", mode="update")
+    return jobs.course_rates_so_far(jobs.last_batch(counts, ["course_prefix", "course_number"]).drop("batch_id"))
+
+
+register(
+    "stream_course_counts",
+    _course_stream,
+    with_ctes(
+        ["enr"],
+        f"""SELECT course_prefix, course_number, count(*) AS enrollments, count(*) FILTER (WHERE grade IN {DFWI}) AS dfwi_count,
+ count(*) FILTER (WHERE {PASS}) AS pass_count, {pct(f'count(*) FILTER (WHERE grade IN {DFWI})', 'count(*)')} AS dfwi_rate,
+ {pct(f'count(*) FILTER (WHERE {PASS})', 'count(*)')} AS pass_rate FROM enr GROUP BY 1,2""",
+    ),
+)
+
+
+def _without_repeats(s, d):
+    events = _events(s, d)
+    doubled = events.union(events)
+    rows = jobs.run_to_table(jobs.without_repeats(doubled, ["event_id"], "ts", "40 days"), "unique")
+    return rows.groupBy("viz_type").agg(F.count("*").alias("n"))
+
+
+register("stream_without_repeats", _without_repeats, "SELECT event_type AS viz_type, count(*) AS n FROM events GROUP BY 1")
+
+
+def _dropped_files(s, d):
+    """Submission rows written as files, ingested by the streaming job, read back as the current table."""
+    base = f"{checkpoint_dir(s)}/drop-{uuid.uuid4().hex}"
+    raw = star.submissions(s, d).withColumnRenamed("row_no", "position").coalesce(1).sortWithinPartitions("position")
+    sinks.write_csv(raw.drop("position"), f"{base}/in")
+    columns = [c for c in raw.columns if c != "position"]
+    layout = BY_ID["pdp_cohort_submission"]
+    jobs.file_drop_ingest(jobs.stream_text_files(s, f"{base}/in", columns), layout, f"{base}/out")
+    return jobs.current_rows(s, layout, f"{base}/out").select("student_guid", "cohort", "enrollment_type", "math_placement")
+
+
+def _dropped_sql() -> str:
+    from .q_ingest import _SUB
+
+    return f"""WITH {_SUB} SELECT student_guid, cohort, enrollment_type, math_placement FROM good
+QUALIFY row_number() OVER (PARTITION BY student_guid ORDER BY row_no DESC)=1"""
+
+
+register("file_drop_ingest", _dropped_files, _dropped_sql())
