@@ -164,9 +164,9 @@ def train_classifier(
 
 def compare_models(
     students: DataFrame, target: str = "target_retention", features: list[str] | None = None, folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 4, candidates: list[str] | None = None,
 ) -> Trained:
-    """Three candidates by cross-validated ROC AUC; the best is kept, with the comparison table.
+    """Three candidates (or those named) by cross-validated ROC AUC; the best is kept, with the comparison.
 
     Each row of the comparison has cv_auc, cv_std, train_auc, test_auc, gap and a verdict.
     """
@@ -177,13 +177,15 @@ def compare_models(
     train, test = split.filter("not is_test"), split.filter("is_test")
     dealt = stratified_folds(train, KEY, "label", folds).persist()
     try:
-        candidates = {
+        estimators = {
             "Logistic Regression": logistic(train.count()),
             "Random Forest (Simple)": simple_forest(),
             "Boosted Trees (Regularized)": boosted_trees(),
         }
         table, best = [], None
-        for name, estimator in candidates.items():
+        for name, estimator in estimators.items():
+            if candidates and name not in candidates:
+                continue
             cv = CrossValidator(
                 estimator=estimator,
                 estimatorParamMaps=ParamGridBuilder().build(),
@@ -199,7 +201,7 @@ def compare_models(
             verdict = "no overfitting" if gap < 0.05 else "minimal overfitting" if gap < 0.10 else "overfitting"
             table.append(
                 {
-                    "model": name, "cv_auc": cv.avgMetrics[0], "cv_std": cv.stdMetrics[0], "train_auc": train_auc,
+                    "model": name, "cv_auc": float(cv.avgMetrics[0]), "cv_std": float(cv.stdMetrics[0]), "train_auc": train_auc,
                     "test_auc": test_auc, "gap": gap, "verdict": verdict,
                 }
             )

@@ -36,7 +36,7 @@ def run(
     spark = cohort.sparkSession
     run_id = sinks.start_run(spark, f"{out}/run_events", readiness.SOURCE, readiness.MODEL_VERSION)
     table = students.student_table(students.normalize_institution_id(cohort), records, enrollments)
-    sinks.save_table(table, f"{out}/student_level")
+    n_students = sinks.save_table(table, f"{out}/student_level")
     base = spark.read.parquet(f"{out}/student_level").drop("upload_timestamp")
     models = models or train_all(base, compare)
     for trained in models.all():
@@ -46,7 +46,7 @@ def run(
     if models.retention.comparison:
         sinks.write_csv(spark.createDataFrame(models.retention.comparison), f"{out}/model_comparison")
 
-    n_students = sinks.save_table(score_all(base, models), f"{out}/student_predictions")
+    sinks.save_table(score_all(base, models), f"{out}/student_predictions", expected=n_students)
     scored = spark.read.parquet(f"{out}/student_predictions").drop("upload_timestamp")
     joined = students.enrollments_with_predictions(enrollments, predictions(scored))
     n_rows = sinks.save_table(joined, f"{out}/course_predictions", partition_by=["academic_year"])

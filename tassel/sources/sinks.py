@@ -12,27 +12,28 @@ from pyspark.sql import functions as F
 from ..operators.ingest import bronze_rows
 
 
-def save_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> int:
-    """Write with an upload timestamp and verify the row count.
-
-    The rows written are counted while writing, so the input is computed once; ``mode`` is
-    overwrite, append or error. Returns the rows written.
+def save_table(
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    partition_by: list[str] | None = None,
+    expected: int | None = None,
+) -> int:
+    """Write with an upload timestamp; ``mode`` is overwrite, append or error. Returns the rows added.
+
+    The count comes from the written files' footers, so the input is computed once. With
+    ``expected`` a different count is an error.
     """
-    from pyspark.sql import Observation
-
     spark = df.sparkSession
     before = spark.read.parquet(path).count() if mode == "append" and _exists(spark, path) else 0
-    seen = Observation()
-    stamped = df.withColumn("upload_timestamp", F.current_timestamp()).observe(seen, F.count("*").alias("n"))
-    writer = stamped.write.mode(mode)
+    writer = df.withColumn("upload_timestamp", F.current_timestamp()).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    written = seen.get["n"]
-    stored = spark.read.parquet(path).count() - before
-    if stored != written:
-        raise RuntimeError(f"{path}: wrote {written} rows but found {stored}")
-    return written
+    added = spark.read.parquet(path).count() - before
+    if expected is not None and added != expected:
+        raise RuntimeError(f"{path}: expected {expected} rows, found {added}")
+    return added
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -47,7 +48,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Full export with a header, one file per task."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    # by default the writer trims text
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
 
 
 MODEL_LOG = (

@@ -200,7 +200,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"case when {k} % 50 = 0 then null when {h(104729)} < 700 then 1 else 0 end as retention",
         f"case when {k} % 50 = 0 then null when {h(1299709)} < 550 then 1 else 0 end as persistence",
         _years(0) + " as years_to_bachelors_at_cohort_inst_",
-        "0.0D as years_to_bachelor_at_other_inst_",
+        f"case when {k} % 14 = 5 then 2.0D + {k} % 3 else 0.0D end as years_to_bachelor_at_other_inst_",
         _years(1) + " as years_to_latest_associates_at_cohort_inst",
         "0.0D as years_to_latest_associates_at_other_inst",
         _years(2) + " as years_to_latest_certificate_at_cohort_inst",

@@ -94,7 +94,7 @@ cte(
   CASE WHEN c_custkey%13=0 THEN NULL WHEN {_h(1299709)}<650 THEN 'Y' ELSE 'N' END AS completedgatewayenglishyear1,
   CASE WHEN c_custkey%50=0 THEN NULL WHEN {_h(104729)}<700 THEN 1 ELSE 0 END AS retention,
   CASE WHEN c_custkey%50=0 THEN NULL WHEN {_h(1299709)}<550 THEN 1 ELSE 0 END AS persistence,
-  {_yr(0)} AS y_bach, {_yr(1)} AS y_assoc, {_yr(2)} AS y_cert, {_yr(3)} AS y_either,
+  {_yr(0)} AS y_bach, CASE WHEN c_custkey%14=5 THEN CAST(2 + c_custkey%3 AS DOUBLE) ELSE 0.0::DOUBLE END AS y_other, {_yr(1)} AS y_assoc, {_yr(2)} AS y_cert, {_yr(3)} AS y_either,
   CASE WHEN c_custkey%9=0 THEN CAST(1+c_custkey%5 AS DOUBLE) ELSE 0.0::DOUBLE END AS time_to_credential,
   {_h(15485863)}/1008.0::DOUBLE AS retention_probability,
   CASE WHEN {_h(15485863)}>=504 THEN 1 ELSE 0 END AS retention_prediction,

@@ -195,8 +195,8 @@ register(
         ["stu"],
         """SELECT student_guid, coalesce(retention,0) AS target_retention,
  CASE WHEN retention=0 OR persistence=0 OR average_grade<2.0 OR course_completion_rate<0.6 THEN 1 ELSE 0 END AS target_at_risk,
- CASE WHEN y_bach>0 THEN y_bach WHEN y_either>0 THEN y_either ELSE 99 END AS target_time_to_credential,
- CASE WHEN y_bach>0 THEN 3 WHEN y_assoc>0 THEN 2 WHEN y_cert>0 THEN 1
+ least(CASE WHEN y_bach>0 THEN y_bach ELSE 99 END, CASE WHEN y_other>0 THEN y_other ELSE 99 END, CASE WHEN y_either>0 THEN y_either ELSE 99 END) AS target_time_to_credential,
+ CASE WHEN y_bach>0 OR y_other>0 THEN 3 WHEN y_assoc>0 THEN 2 WHEN y_cert>0 THEN 1
   WHEN y_either>0 THEN CASE WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1 ELSE 2 END
   WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1
   WHEN credential_type_sought_year_1 = 'A' THEN 2 WHEN credential_type_sought_year_1 = 'B' THEN 3 ELSE 0 END AS target_credential_type,
@@ -212,7 +212,7 @@ register(
     .agg(F.count("*").alias("n")),
     with_ctes(
         ["stu"],
-        """SELECT CASE WHEN y_bach>0 THEN 3 WHEN y_assoc>0 THEN 2 WHEN y_cert>0 THEN 1
+        """SELECT CASE WHEN y_bach>0 OR y_other>0 THEN 3 WHEN y_assoc>0 THEN 2 WHEN y_cert>0 THEN 1
   WHEN y_either>0 THEN CASE WHEN credential_type_sought_year_1 IN ('01','02','03','C1','C2') THEN 1 ELSE 2 END ELSE 0 END AS target_credential_type,
  count(*) AS n FROM stu GROUP BY 1""",
     ),
