@@ -74,10 +74,17 @@ class Preprocessor:
         # one number per feature reaches the driver
         medians = {r["column"]: r["q0"] for r in exact_quantiles(df, numeric, [0.5]).collect()}
         medians = {c: medians.get(c, 0.0) for c in numeric}
-        stages = [
-            StringIndexer(inputCol=c, outputCol=f"{c}__code", stringOrderType="alphabetAsc", handleInvalid="keep")
-            for c in text
-        ]
+        # one indexer for all text columns: their values are counted in a single job
+        stages = []
+        if text:
+            stages.append(
+                StringIndexer(
+                    inputCols=text,
+                    outputCols=[f"{c}__code" for c in text],
+                    stringOrderType="alphabetAsc",
+                    handleInvalid="keep",
+                )
+            )
         columns = [f"{c}__code" if c in text else c for c in features]
         stages.append(VectorAssembler(inputCols=columns, outputCol="features"))
         filled = cls._fill(df, numeric, text, medians)
@@ -283,8 +290,11 @@ class ModelSet:
         return list(vars(self).values())
 
 
-def train_all(student_table: DataFrame, compare: bool = True) -> ModelSet:
-    """Every model from one student table with course features."""
+def train_all(student_table: DataFrame, compare: bool = True, classifier: Estimator | None = None) -> ModelSet:
+    """Every model from one student table with course features.
+
+    ``classifier`` replaces the boosted trees of the three success and risk models.
+    """
     rows = with_targets(student_table).persist()
     try:
         retention = (
@@ -296,11 +306,13 @@ def train_all(student_table: DataFrame, compare: bool = True) -> ModelSet:
             retention=retention,
             time_to_credential=train_time_to_credential(rows),
             credential=train_credential_type(rows),
-            gateway_math=train_classifier(rows, "Gateway Math", "target_gateway_math", GATEWAY_MATH_FEATURES),
+            gateway_math=train_classifier(
+                rows, "Gateway Math", "target_gateway_math", GATEWAY_MATH_FEATURES, classifier
+            ),
             gateway_english=train_classifier(
-                rows, "Gateway English", "target_gateway_english", GATEWAY_ENGLISH_FEATURES
+                rows, "Gateway English", "target_gateway_english", GATEWAY_ENGLISH_FEATURES, classifier
             ),
-            low_gpa=train_classifier(rows, "Low GPA", "target_low_gpa", LOW_GPA_FEATURES),
+            low_gpa=train_classifier(rows, "Low GPA", "target_low_gpa", LOW_GPA_FEATURES, classifier),
             gpa=train_gpa(rows),
         )
     finally:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ def run(
     out: str,
     models: ModelSet | None = None,
     compare: bool = True,
+    classifier: Estimator | None = None,
 ) -> RunResult:
     """Write scored students, enrollments with predictions, readiness records and summary tables under ``out``.
 
@@ -38,7 +40,7 @@ def run(
     table = students.student_table(students.normalize_institution_id(cohort), records, enrollments)
     n_students = sinks.save_table(table, f"{out}/student_level")
     base = spark.read.parquet(f"{out}/student_level").drop("upload_timestamp")
-    models = models or train_all(base, compare)
+    models = models or train_all(base, compare, classifier)
     for trained in models.all():
         if trained.model is not None:
             kind = "regression" if "rmse" in trained.metrics else "classification"

@@ -268,11 +268,13 @@ register("compare_logistic_and_forest", _compared)
 
 
 def _scoring_run(s, d):
-    """Train every model, score every student, write all tables, read the predictions back."""
+    """Train every model, score every student, write all tables, read the predictions back.
+
+    Forests stand in for the boosted trees, whose training is registered on its own."""
     out = f"{checkpoint_dir(s)}/run-{uuid.uuid4().hex}"
     cohort = star.students(s, d)
     cohort = cohort.drop(*[c for c in cohort.columns if "probability" in c or "predict" in c or c.startswith("prob_")])
-    scoring_run.run(cohort, star.academic_records(s, d), enrollments(s, d), out, compare=False)
+    scoring_run.run(cohort, star.academic_records(s, d), enrollments(s, d), out, compare=False, classifier=models.simple_forest())
     return scored.predictions(s.read.parquet(f"{out}/student_predictions"))
 
 
