@@ -26,15 +26,24 @@ def course_filter(
 
 
 def course_rates(enrollments: DataFrame) -> DataFrame:
-    """Enrollments, D/F/W/I and pass counts and rates per course; both rates over all rows."""
-    counted = enrollments.groupBy(*COURSE).agg(
-        F.max("course_name").alias("course_name"),
-        F.max("gateway_type").alias("gateway_type"),
-        F.count("*").alias("enrollments"),
-        F.count_if(is_dfwi()).alias("dfwi_count"),
-        F.count_if(is_course_pass()).alias("pass_count"),
+    """Enrollments, D/F/W/I and pass counts and rates per course; both rates over all rows.
+
+    The rows are first counted per course and text values. A maximum over text cannot be kept in a
+    hash aggregate (Spark would sort all rows for it), so it is taken over those few counts.
+    """
+    texts = ["course_name", "gateway_type"]
+    counted = enrollments.groupBy(*COURSE, *texts).agg(
+        F.count("*").alias("n"),
+        F.count_if(is_dfwi()).alias("n_dfwi"),
+        F.count_if(is_course_pass()).alias("n_pass"),
+    )
+    per_course = counted.groupBy(*COURSE).agg(
+        *[F.max(c).alias(c) for c in texts],
+        F.sum("n").alias("enrollments"),
+        F.sum("n_dfwi").alias("dfwi_count"),
+        F.sum("n_pass").alias("pass_count"),
     )
-    return counted.withColumns(
+    return per_course.withColumns(
         {
             "dfwi_rate": percent("dfwi_count", "enrollments"),
             "pass_rate": percent("pass_count", "enrollments"),
@@ -93,7 +102,7 @@ def gateway_funnel(enrollments: DataFrame) -> DataFrame:
 
 
 def _sittings(enrollments: DataFrame, *extra: str, hit: Column | None = None) -> DataFrame:
-    """Rows per student, term and course with their pass count.
+    """Rows per student, term and course (and its name) with their pass count.
 
     The pair reports join these counts instead of the rows. A student's repeats of a course
     become one row, so a term group is no larger than the course catalog even if one student id
@@ -102,11 +111,7 @@ def _sittings(enrollments: DataFrame, *extra: str, hit: Column | None = None) ->
     return (
         enrollments.dropna(subset=SITTING)
         .groupBy(*SITTING, *COURSE, *extra)
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(is_course_pass() if hit is None else hit).alias("n_hit"),
-            F.max("course_name").alias("course_name"),
-        )
+        .agg(F.count("*").alias("n"), F.count_if(is_course_pass() if hit is None else hit).alias("n_hit"))
     )
 
 
@@ -123,7 +128,7 @@ def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool =
     ``hit`` is the per-row test (default: passed). With ``both`` a pair scores when both rows meet
     the test, otherwise when either does.
     """
-    sat = _sittings(enrollments, hit=hit)
+    sat = _sittings(enrollments, "course_name", hit=hit)
     pairs = _sides(sat, sat, [*COURSE, "n", "n_hit", "course_name"]).filter(
         (F.col("course_prefix_a") < F.col("course_prefix_b"))
         | (
@@ -135,7 +140,10 @@ def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool =
     hits = F.col("n_hit_a") * F.col("n_hit_b")
     if not both:
         hits = total - (F.col("n_a") - F.col("n_hit_a")) * (F.col("n_b") - F.col("n_hit_b"))
-    return pairs.groupBy(
+    # sums per pair and names first, the text maxima over those few rows afterwards
+    ends = [F.col(f"{c}_{side}") for side in ("a", "b") for c in (*COURSE, "course_name")]
+    summed = pairs.groupBy(*ends).agg(F.sum(total).alias("pair_total"), F.sum(hits).alias("pair_hits"))
+    return summed.groupBy(
         F.col("course_prefix_a").alias("prefix_a"),
         F.col("course_number_a").alias("number_a"),
         F.col("course_prefix_b").alias("prefix_b"),
@@ -143,8 +151,8 @@ def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool =
     ).agg(
         F.max("course_name_a").alias("name_a"),
         F.max("course_name_b").alias("name_b"),
-        F.sum(total).alias("co_enrollment_count"),
-        F.sum(hits).alias("hit_count"),
+        F.sum("pair_total").alias("co_enrollment_count"),
+        F.sum("pair_hits").alias("hit_count"),
     )
 
 
@@ -237,7 +245,8 @@ def pair_breakdown(enrollments: DataFrame, first: tuple[str, str], second: tuple
 def all_pair_breakdowns(enrollments: DataFrame, min_count: int = 20) -> DataFrame:
     """The breakdown of every pair in one job, in both directions."""
     a = _sittings(enrollments, "delivery_method", "instructor_status")
-    b = _sittings(enrollments)
+    # the other side is rolled up from the first, so the enrollments are read once
+    b = a.groupBy(*SITTING, *COURSE).agg(F.sum("n").alias("n"), F.sum("n_hit").alias("n_hit"))
     pairs = _sides(a, b, [*COURSE, "n", "n_hit"]).filter(
         (F.col("course_prefix_a") != F.col("course_prefix_b"))
         | (F.col("course_number_a") != F.col("course_number_b"))

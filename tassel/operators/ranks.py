@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 3  # 16**3 = 4096 ranges of nearly equal size
-RANGES = 256
+STEP = 32
+RANGES = STEP * STEP  # ranges of about equal numbers of distinct values
 
 
 def hash_row_numbers(df: DataFrame, key: str, by: list[str] | None = None, seed: str = "") -> DataFrame:
@@ -51,20 +52,27 @@ def running_totals(counts: DataFrame, order: str, values: list[str], by: str | N
     group = F.col(by) if by else F.lit(0)
     rows = counts.withColumn("_by", group)
     points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = rows.groupBy("_by").agg(F.percentile_approx(order, points, F.lit(10000)).alias("_bounds"))
-    # one row per group
-    ranged = rows.join(F.broadcast(bounds.withColumnRenamed("_by", "_b")), F.col("_by").eqNullSafe(F.col("_b")))
-    ranged = ranged.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop(
-        "_b", "_bounds"
+    # the totals belong to the result; taking them here also lets both uses of ``counts`` share one shuffle
+    bounds = rows.groupBy(F.col("_by").alias("_b")).agg(
+        F.percentile_approx(order, points, F.lit(10000)).alias("_bounds"),
+        *[F.sum(v).alias(f"all_{v}") for v in values],
     )
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(STEP - 1)), lambda i: F.get("_bounds", i * STEP - 1))
+    bounds = bounds.withColumn("_coarse", coarse)
+    # one row per group
+    ranged = rows.join(F.broadcast(bounds), F.col("_by").eqNullSafe(F.col("_b")))
+    # count the bounds below the value in two steps: first every STEP-th bound, then those in between
+    ranged = ranged.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < F.col(order))))
+    between = F.slice("_bounds", F.col("_c") * STEP + 1, F.lit(STEP - 1))
+    ranged = ranged.withColumn(
+        "_range", F.col("_c") * STEP + F.size(F.filter(between, lambda b: b < F.col(order)))
+    ).drop("_b", "_bounds", "_coarse", "_c")
     sizes = ranged.groupBy("_by", "_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    whole = Window.partitionBy("_by")
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("_by").alias("_b"),
         F.col("_range").alias("_r"),
         *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values],
-        *[F.sum(f"_s_{v}").over(whole).alias(f"all_{v}") for v in values],
     )
     # at most RANGES rows per group
     joined = ranged.join(

@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are cores (one small file).
+
+    Large inputs have many splits and pass through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def enrollments(spark: SparkSession, sf_dir: str, line_rows: DataFrame | None = None) -> DataFrame:
     """Conformed course enrollments, one row per student and course taken.
 
@@ -44,7 +55,9 @@ def enrollments(spark: SparkSession, sf_dir: str, line_rows: DataFrame | None =
         "p_size % 2 = 0 as is_core_course",
         "p_size % 7 = 0 as is_co_requisite",
     )
-    lines = (table(spark, sf_dir, "lineitem") if line_rows is None else line_rows).selectExpr(
+    used = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_linestatus", "l_returnflag"]
+    rows = (table(spark, sf_dir, "lineitem") if line_rows is None else line_rows).select(*used)
+    lines = spread(rows, "l_orderkey", "l_partkey").selectExpr(
         "l_orderkey",
         "l_partkey",
         "try_element_at(array('A','A-','B+','B','B-','C+','C','C-','D','F','W','I',null,''),"
@@ -237,6 +250,10 @@ def academic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter("id % 17 <> 0")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 # Upload layout ids in the order used to spread the events over them.
 UPLOAD_TYPES = ["pdp_cohort_ar", "pdp_cohort_submission", "course_ar", "course_submission", "ml_predictions"]
 

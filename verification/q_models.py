@@ -100,7 +100,7 @@ register(
 register(
     "exact_quantiles",
     lambda s, d: ranks.exact_quantiles(
-        star.table(s, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"], [0.0, 0.1, 0.5, 0.99, 1.0]
+        star.spread(star.table(s, d, "lineitem").select("l_extendedprice", "l_quantity", "l_discount"), "l_extendedprice"), ["l_extendedprice", "l_quantity", "l_discount"], [0.0, 0.1, 0.5, 0.99, 1.0]
     ).select("column", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(5)]),
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", " + ", ".join(f"round(quantile_cont({c},{q}),6) AS q{i}" for i, q in enumerate((0, 0.1, 0.5, 0.99, 1))) + " FROM lineitem"
