@@ -51,7 +51,8 @@ def running_totals(counts: DataFrame, order: str, values: list[str], by: str | N
     """
     group = F.col(by) if by else F.lit(0)
     rows = counts.withColumn("_by", group)
-    points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    # one parsed literal instead of a thousand column objects
+    points = F.expr("array(" + ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES)) + ")")
     # the totals belong to the result; taking them here also lets both uses of ``counts`` share one shuffle
     bounds = rows.groupBy(F.col("_by").alias("_b")).agg(
         F.percentile_approx(order, points, F.lit(10000)).alias("_bounds"),
@@ -64,9 +65,9 @@ def running_totals(counts: DataFrame, order: str, values: list[str], by: str | N
     # count the bounds below the value in two steps: first every STEP-th bound, then those in between
     ranged = ranged.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < F.col(order))))
     between = F.slice("_bounds", F.col("_c") * STEP + 1, F.lit(STEP - 1))
-    ranged = ranged.withColumn(
-        "_range", F.col("_c") * STEP + F.size(F.filter(between, lambda b: b < F.col(order)))
-    ).drop("_b", "_bounds", "_coarse", "_c")
+    place = F.col("_c") * STEP + F.size(F.filter(between, lambda b: b < F.col(order)))
+    # never null, and said so: otherwise the join below would evaluate the whole expression as a null check
+    ranged = ranged.withColumn("_range", F.coalesce(place, F.lit(0))).drop("_b", "_bounds", "_coarse", "_c")
     sizes = ranged.groupBy("_by", "_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     before = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -33,7 +33,9 @@ def course_features(enrollments: DataFrame) -> DataFrame:
         F.coalesce(F.sum("credits_earned"), F.lit(0.0)).alias("total_credits_earned"),
         F.avg("credits_attempted").alias("avg_credits_per_course"),
         F.count("points").alias("courses_with_grades"),
-        F.avg("points").alias("average_grade"),
+        # points have one decimal: summed as whole tenths the mean is exact, so a student at 2.0 does not
+        # fall below the threshold depending on the order of the rows
+        F.try_divide(F.sum((F.col("points") * 10 + 0.5).cast("int")), F.count("points") * 10).alias("average_grade"),
         F.min("points").alias("min_grade"),
         F.max("points").alias("max_grade"),
         F.coalesce(F.stddev_samp("points"), F.lit(0.0)).alias("grade_std_dev"),

@@ -142,7 +142,7 @@ cte(
   ny AS unique_academic_years, nt AS unique_academic_terms, fa AS fall_courses, sp AS spring_courses, su AS summer_courses,
   ft AS courses_with_fulltime_instructors, pt AS courses_with_parttime_instructors, oth AS enrolled_other_institutions
 FROM (SELECT student_guid, count(*) n, count(DISTINCT course_prefix) np, coalesce(sum(credits_attempted),0.0) att,
-  coalesce(sum(credits_earned),0.0) ern, avg(credits_attempted) avg_att, count(pts) ng, avg(pts) ag, min(pts) ming,
+  coalesce(sum(credits_earned),0.0) ern, avg(credits_attempted) avg_att, count(pts) ng, sum(CAST(pts AS DECIMAL(3,1))*10)::BIGINT/(10.0::DOUBLE*count(pts)) ag, min(pts) ming,
   max(pts) maxg, stddev_samp(pts) sdg, count(*) FILTER (WHERE {_FAIL}) nf,
   count(*) FILTER (WHERE grade IS NOT NULL AND NOT {_FAIL}) npass,
   count(*) FILTER (WHERE is_core_course) core, count(*) FILTER (WHERE gateway_type IN ('M','Y')) gm,
