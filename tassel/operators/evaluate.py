@@ -60,12 +60,12 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> Data
         .groupBy(F.col(score).cast("double").alias("s"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
-    placed = running_totals(counts, "s", ["neg"])
+    # both counts go through, so every use of ``counts`` is the same and is computed once
+    placed = running_totals(counts, "s", ["neg", "pos"])
     # pairs won by a positive: negatives strictly below, plus half of those tied
     won = F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)
-    return placed.agg(
-        F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc_roc")
-    )
+    pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
+    return placed.agg(F.try_divide(F.sum(won), pairs).alias("auc_roc"))
 
 
 def binary_metrics(

@@ -49,7 +49,10 @@ def running_totals(counts: DataFrame, order: str, values: list[str], by: str | N
     ``counts`` has one row per (``by``, ``order``) value. The ranges follow the data's own quantiles,
     so clustered values spread over tasks too. ``by`` must have few values.
     """
-    group = F.col(by) if by else F.lit(0)
+    # a single group needs a key too, and a literal would turn the joins below into nested loops:
+    # no value is both NaN and negative, so this is always 0
+    x = F.col(order).cast("double")
+    group = F.col(by) if by else (F.isnan(x) & (x < 0)).cast("int")
     rows = counts.withColumn("_by", group)
     # one parsed literal instead of a thousand column objects
     points = F.expr("array(" + ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES)) + ")")
