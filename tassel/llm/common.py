@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with the job; then the extra path does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    settings = df.sparkSession.sparkContext.environment
+    paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        settings["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df.mapInArrow(function, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding
+from . import op1_sharding, op2_search, op3_language, op6_decontaminate, op9_packing
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,83 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest inner products of every hundredth vector against all vectors."""
+    rows = documents(spark, sf_dir, "embeddings")
+    return op2_search.top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
+SQL["op2_segment_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op9_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    return op9_packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    return op3_language.predict_languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    items = documents(spark, sf_dir, "benchmark")
+    found = op6_decontaminate.find_passages(documents(spark, sf_dir), items, ["doc_id"])
+    counted = found.withColumn("n_hit", op6_decontaminate.hit_words())
+    return counted.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        op6_decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL["op6_fm_decontaminate"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text="text")} AS w FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, {WORDS_SQL.format(text="text")} AS w FROM benchmark
+), sized AS (
+  SELECT item, w, least(13, len(w)) AS k FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, k, list_slice(w, i, i + k - 1) AS v
+  FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+), places AS (
+  SELECT r, k, i, list_slice(w, i, i + k - 1) AS v
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), hits AS (
+  SELECT p.r, p.i, p.k, x.item FROM places p JOIN windows x ON p.k = x.k AND p.v = x.v
+), words_hit AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hits) GROUP BY r
+), items_hit AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
+"""
