@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_search, op3_language, op6_decontaminate, op9_packing
+from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op9_packing
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,68 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
 """
+
+
+@query
+def op5_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and wordings in every whole text."""
+    return op5_licenses.scan_licenses(documents(spark, sf_dir), ["doc_id"])
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({n}, '{label}', {base}, {place}, {grams}, {k}, '{gram}')"
+    for n, label, base, place, grams, k, gram in op5_licenses.templates()
+)
+SQL["op5_diagonal_licenses"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text="text")} AS w FROM documents
+), t(template, label, base, place, grams, k, gram) AS (VALUES {_TEMPLATE_ROWS}
+), places AS (
+  SELECT r, i - 1 AS pos, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (VALUES (2), (3)) AS s(k) WHERE len(w) >= k)
+), votes AS (
+  SELECT DISTINCT r, template, label, base, grams, pos - place AS diagonal, place
+  FROM places JOIN t USING (k, gram)
+), diagonals AS (
+  SELECT r, template, label, base, grams, diagonal, list(place) AS places FROM votes GROUP BY ALL
+), cut AS (
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER near, {op5_licenses.GAP + 1}) > {op5_licenses.GAP} THEN 1 ELSE 0 END AS fresh
+  FROM diagonals WINDOW near AS (PARTITION BY r, template ORDER BY diagonal)
+), numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM cut
+), spans AS (
+  SELECT r, template, label, base, min(diagonal) AS start,
+    len(list_distinct(flatten(list(places)))) / any_value(grams) AS coverage
+  FROM numbered GROUP BY r, template, label, base, span
+), kept AS (
+  SELECT * FROM spans WHERE NOT base OR coverage = 1
+), found AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR coverage >= {op5_licenses.SHARE}) AS labels,
+    max(coverage) AS score
+  FROM kept GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN found USING (r)
+"""
+
+
+@query
+def op7_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return op7_html.extract(documents(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+#: A test key; a user passes a secret one.
+PSEUDONYM_KEY = "registered-query"
+
+
+@query
+def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced by pseudonyms."""
+    out = op4_pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+    kinds = F.array_join(F.transform("pii", lambda x: x["kind"]), ",")
+    return out.select("doc_id", "text", F.size("pii").alias("n_values"), kinds.alias("kinds"))
