@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op9_packing
+from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,11 @@ def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op4_pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
     kinds = F.array_join(F.transform("pii", lambda x: x["kind"]), ",")
     return out.select("doc_id", "text", F.size("pii").alias("n_values"), kinds.alias("kinds"))
+
+
+@query
+def op8_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document among texts of five-word shingles alike by 0.8 or more."""
+    return op8_jaccard.similar_texts(documents(spark, sf_dir)).select(
+        "doc_id", "class_id", "n_links", "n_text_links", "n_words"
+    )
