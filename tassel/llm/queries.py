@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing
+from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,17 @@ def op8_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_jaccard.similar_texts(documents(spark, sf_dir)).select(
         "doc_id", "class_id", "n_links", "n_text_links", "n_words"
     )
+
+
+@query
+def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in passages of 50 words or more that other documents have, too."""
+    found = op10_repeats.repeated_passages(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_words",
+        op6_decontaminate.hit_words().alias("n_repeated"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.transform("spans", lambda s: s["start"]).alias("starts"),
+        F.transform("spans", lambda s: s["end"]).alias("ends"),
+    )
