@@ -271,7 +271,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """``docs`` with personal values in ``column`` replaced, and ``pii`` (kind, start, value's pseudonym) of each.
+    """``docs`` with personal values in ``column`` replaced, and ``pii`` (kind, start, pseudonym) of each (``pii_`` if
+    there is a column of that name).
 
     Values: card numbers (Luhn), IBANs (mod 97), social security numbers, IP addresses, dates, phone numbers,
     e-mail addresses and values after password or token names. The same value gives the same pseudonym in every
@@ -280,23 +281,38 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     with no values. Other columns stay; rows are independent, so skew, order and repeats do not matter.
     """
     kind = "array<struct<kind:string,start:int,value:string>>"
-    guarded = F.when(F.col(column).rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0)))
-    found = docs.withColumn("_found", F.when(F.size(guarded) > 0, guarded))
-    named = F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    found = found.withColumn("_named", named)
-    made = F.transform("_named", lambda x: F.struct(x["k"].alias("kind"), pseudonym(x["m"], x["k"], key).alias("value")))
-    between = F.when(F.col("_found").isNotNull(), F.split(column, ANY, -1))
-    cut = found.withColumns({"_made": made, "_between": between})
-    pieces = F.zip_with("_between", "_made", lambda b, x: F.struct(b.alias("b"), x["kind"].alias("kind"), F.coalesce(x["value"], F.lit("")).alias("value")))
-    cut = cut.withColumn("_pieces", pieces)
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["b"], p["value"])), "")
+    listed_as = "pii"
+    while listed_as in docs.columns:
+        listed_as += "_"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(column).alias("old"))
+    guarded = F.when(F.col("old").rlike(HINT), F.regexp_extract_all("old", F.lit(ANY), F.lit(0)))
+    found = rows.withColumn("found", F.when(F.size(guarded) > 0, guarded))
+    named = F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    found = found.withColumn("named", named)
+    made = F.transform("named", lambda x: F.struct(x["k"].alias("kind"), pseudonym(x["m"], x["k"], key).alias("value")))
+    between = F.when(F.col("found").isNotNull(), F.split("old", ANY, -1))
+    cut = found.withColumns({"made": made, "between": between})
+    pieces = F.zip_with(
+        "between",
+        "made",
+        lambda b, x: F.struct(b.alias("b"), x["kind"].alias("kind"), F.coalesce(x["value"], F.lit("")).alias("value")),
+    )
+    cut = cut.withColumn("pieces", pieces)
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["b"], p["value"])), "")
+
+    def start(i: Column) -> Column:
+        before = F.slice("pieces", F.lit(1), i)
+        own = F.length(F.get(F.col("pieces"), i)["b"])
+        return F.aggregate(before, own, lambda n, p: n + F.length(p["b"]) + F.length(p["value"]))
+
+    numbered = F.transform(
+        "pieces", lambda p, i: F.struct(p["kind"].alias("kind"), i.alias("i"), p["value"].alias("value"))
+    )
     listed = F.transform(
-        F.filter(F.transform("_pieces", lambda p, i: F.struct(p["kind"].alias("kind"), i.alias("i"), p["value"].alias("value"))), lambda x: x["kind"].isNotNull()),
-        lambda x: F.struct(
-            x["kind"].alias("kind"),
-            F.aggregate(F.slice("_pieces", F.lit(1), x["i"]), F.length(F.get(F.col("_pieces"), x["i"])["b"]), lambda n, p: n + F.length(p["b"]) + F.length(p["value"])).alias("start"),
-            x["value"].alias("value"),
-        ),
+        F.filter(numbered, lambda x: x["kind"].isNotNull()),
+        lambda x: F.struct(x["kind"].alias("kind"), start(x["i"]).alias("start"), x["value"].alias("value")),
+    )
+    return cut.select(
+        *[(F.coalesce(text, F.col("old")) if c == column else F.col("row").getField(c)).alias(c) for c in docs.columns],
+        F.coalesce(listed, F.array().cast(kind)).alias(listed_as),
     )
-    out = cut.withColumn("_text", F.coalesce(text, F.col(column))).withColumn("_pii", F.coalesce(listed, F.array().cast(kind)))
-    return out.select(*[(F.col("_text") if c == column else F.col(c)).alias(c) for c in docs.columns], F.col("_pii").alias("pii"))

@@ -239,26 +239,8 @@ def _verify(least: dict[int, int]):
     return run
 
 
-def similar_texts(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, class_id, n_links, n_text_links, n_words, is_first.
-
-    Two documents are linked if their sets of five-word shingles (all words of a shorter text) have a Jaccard
-    similarity of 0.8 or more, or their texts are equal. ``class_id`` is the smallest doc_id of all documents
-    linked directly or through others; ``n_links`` counts the documents linked directly, ``n_text_links`` the
-    different texts among them; ``is_first`` marks the one document of the class that stays (the smallest doc_id;
-    of rows alike in that, too, one).
-
-    Steps: equal texts become units; units that agree in one of 25 bands of 4 MinHash values are candidates (a
-    pair at 0.8 is missed with a chance of 2e-6); their 100 values are compared 20 at a time and a pair is
-    dropped once the posterior chance of reaching 0.8 is below 1e-6; what survives is joined to groups and
-    verified on the shingle sets (as 64-bit hashes). Buckets and groups of any size are compared in pairs of
-    blocks of bounded size, and tasks give sums and edges, never pairs, so nothing grows with a group's square
-    but the comparisons that counting its links takes.
-
-    Null texts are linked with nothing; texts without words only with equal ones; null doc_ids count as the
-    smallest and give a null class_id; repeated rows are copies; no documents give no rows; other columns are
-    not used.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with _id and _key, units with the representative of their class and their links)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     limit = THRESHOLD[0] / THRESHOLD[1]
@@ -268,7 +250,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
         _sign,
         "_id long, _key string, doc_id long, n_words long, grams long, values binary",
     )
-    rows = scratch.table(signed.withColumn("_row", F.monotonically_increasing_id()), "signed")
+    rows = scratch.table(signed, "signed")
     units = units_of(rows, scratch, ["grams", "values"])
     some = units.filter("grams > 0").select("unit", "values")
     bands = scratch.table(in_arrow(some, _bands, "unit long, bucket long"), "bands")
@@ -295,25 +277,55 @@ def similar_texts(docs: DataFrame) -> DataFrame:
         .join(links, "unit", "left")
         .withColumn("_class", F.coalesce("label", "unit"))
     )
-    firsts = known.groupBy("_class").agg(F.min("rep").alias("_least"))
+    firsts = known.groupBy("_class").agg(F.min(F.struct("rep", "_key")).alias("first"))
     known = known.join(firsts, "_class").select(
-        F.col("_key").alias("_k"),
-        "_least",
+        "_key",
+        "rep",
+        "first",
         (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"),
     )
-    # the row that stays: of the class's smallest doc_id, the first row (one row for each unit after combining)
-    joined = rows.drop("values").join(known, F.col("_key") == F.col("_k"), "left")
-    joined = joined.withColumn("_c", F.coalesce("_least", "_id"))
-    keepers = (
-        joined.filter("_key IS NOT NULL AND _id = _c").groupBy(F.col("_c").alias("_kc")).agg(F.min("_row").alias("_keep"))
-    )
-    marked = joined.join(keepers, (F.col("_c") == F.col("_kc")) & (F.col("_row") == F.col("_keep")), "left")
-    return marked.select(
+    return rows, known
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """One row for each document: doc_id, class_id, n_links, n_text_links, n_words.
+
+    Two documents are linked if their sets of five-word shingles (all words of a shorter text) have a Jaccard
+    similarity of 0.8 or more, or their texts are equal. ``class_id`` is the smallest doc_id of all documents
+    linked directly or through others; ``n_links`` counts the documents linked directly, ``n_text_links`` the
+    different texts among them.
+
+    Steps: equal texts become units; units that agree in one of 25 bands of 4 MinHash values are candidates (a
+    pair at 0.8 is missed with a chance of 2e-6); their 100 values are compared 20 at a time and a pair is
+    dropped once the posterior chance of reaching 0.8 is below 1e-6; what survives is joined to groups and
+    verified on the shingle sets (as 64-bit hashes). Buckets and groups of any size are compared in pairs of
+    blocks of bounded size, and tasks give sums and edges, never pairs, so nothing grows with a group's square
+    but the comparisons that counting its links takes.
+
+    Null texts are linked with nothing; texts without words only with equal ones; null doc_ids count as the
+    smallest and give a null class_id; repeated rows are copies; no documents give no rows; other columns are
+    not used.
+    """
+    rows, known = _classes(docs)
+    links = known.select(F.col("_key").alias("_k"), F.col("first.rep").alias("_c"), "n_links", "n_text_links")
+    joined = rows.join(links, F.col("_key") == F.col("_k"), "left").withColumn("_c", F.coalesce("_c", "_id"))
+    return joined.select(
         "doc_id",
         F.when(F.col("_c") != NO_ID, F.col("_c")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
         "n_words",
-        (F.col("_keep").isNotNull() | F.col("_key").isNull()).alias("is_first"),
     )
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class of :func:`similar_texts` the row with the
+    smallest doc_id stays (then the smallest MD5 of the text; of repeated rows, one). Rows with a null text stay.
+    All columns stay as they are."""
+    _, known = _classes(docs)
+    first = known.filter((F.col("first.rep") == F.col("rep")) & (F.col("first._key") == F.col("_key")))
+    first = first.select(F.col("_key").alias("_k"), F.col("rep").alias("_r"))
+    packed = with_id(docs.select("doc_id", "text", F.struct("*").alias("row"))).select("_id", "_key", "row")
+    kept = packed.join(first, (F.col("_key") == F.col("_k")) & (F.col("_id") == F.col("_r"))).dropDuplicates(["_key", "_id"])
+    return kept.select("row.*").unionAll(packed.filter(F.col("_key").isNull()).select("row.*"))
