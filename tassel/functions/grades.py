@@ -16,7 +16,7 @@ GRADE_POINTS = {
     "F": 0.0, "P": 3.0, "S": 3.0,
 }
 # Grades that count as failing in the student features.
-FAILING = ["E", "F", "FN", "I", "U", "W", "WF", "WN"]
+FAILING = ["F", "W", "WF", "WN", "FN", "U", "I", "E"]
 # Grades that count as D/F/W/I in the course reports.
 DFWI = ["D", "F", "W", "I"]
 

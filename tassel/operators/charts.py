@@ -253,7 +253,7 @@ def gateway_completion_rate(scored: DataFrame) -> DataFrame:
 def intervention_success_rate(changes: DataFrame, order: list[str]) -> DataFrame:
     """Percent of treated students whose alert became less severe.
 
-    ``changes`` has student_guid, previous_alert, current_alert, treated.
+    ``changes`` has student_guid, previous_alert, current_alert, treated for every treated student, changed or not.
     """
     from ..functions.numeric import ordinal
 
@@ -271,7 +271,7 @@ def roi_estimate(scored: DataFrame, success_rate: float, value_per_student: floa
     return flagged.select("flagged", kept.alias("expected_kept"), (kept * value_per_student).alias("estimated_value"))
 
 
-def baseline_at_risk(scored: DataFrame, k: int | None = 50) -> DataFrame:
+def baseline_at_risk(scored: DataFrame, k: int | None = None) -> DataFrame:
     """Points from failed courses, open gateways and credits, with the reasons; highest first.
 
     Three points for three or more failed courses (one for one or two), two for each gateway not

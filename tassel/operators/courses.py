@@ -59,18 +59,14 @@ def dfwi_by_course(
     term: str | None = None,
     sort_by: str = "dfwi_rate",
     descending: bool = True,
-    limit: int = 200,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Course report: the first ``limit`` courses by rate or by enrollments."""
+    """Course report by rate or by enrollments: all courses, or the first ``limit``."""
     key = sort_by if sort_by in ("dfwi_rate", "enrollments") else "dfwi_rate"
     rates = course_rates(course_filter(enrollments, gateway_only, cohort, term))
     lead = F.desc_nulls_first(key) if descending else F.asc_nulls_last(key)
-    return (
-        rates.filter(F.col("enrollments") >= max(1, min_enrollments))
-        .drop("pass_count")
-        .orderBy(lead, *COURSE)
-        .limit(limit)
-    )
+    ordered = rates.filter(F.col("enrollments") >= max(1, min_enrollments)).drop("pass_count").orderBy(lead, *COURSE)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def top_dfwi(enrollments: DataFrame, k: int = 5, min_enrollments: int = 10) -> DataFrame:
@@ -117,6 +113,7 @@ def _sittings(enrollments: DataFrame, *extra: str, hit: Column | None = None) ->
 
 def _sides(left: DataFrame, right: DataFrame, keep: list[str]) -> DataFrame:
     """Join two sitting tables on student and term; columns come back with _a and _b endings."""
+    # both sides carry the same columns in the same order to the exchange, so that it is made once
     a = left.select(*SITTING, *[F.col(c).alias(f"{c}_a") for c in left.columns if c not in SITTING])
     b = right.select(*SITTING, *[F.col(c).alias(f"{c}_b") for c in keep])
     return a.join(b, SITTING)

@@ -46,17 +46,11 @@ def kpis(students: DataFrame, **filters: str | None) -> DataFrame:
 
 
 def _with_total(students: DataFrame, column: str, name: str) -> DataFrame:
-    """Counts per label and the count of all rows, from one pass: grouping sets (label) and ()."""
-    label = F.col(column)
-    sets = students.groupingSets([[label], []], label).agg(
-        F.grouping(label).alias("is_total"), F.count("*").alias("count")
-    )
-    total = sets.filter("is_total = 1").select(F.col("count").alias("total"), F.lit(1).alias("one"))
-    return (
-        sets.filter("is_total = 0")
-        .withColumn("one", F.lit(1))
-        .join(total, "one")
-        .select(F.col(column).alias(name), "count", percent("count", "total").alias("percentage"))
+    """Counts per label and their share of all rows, from one pass: the few counts are totalled in one row."""
+    counts = students.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+    gathered = counts.agg(F.collect_list(F.struct("label", "n")).alias("cells"), F.sum("n").alias("total"))
+    return gathered.select("total", F.explode("cells").alias("c")).select(
+        F.col("c.label").alias(name), F.col("c.n").alias("count"), percent("c.n", "total").alias("percentage")
     )
 
 
@@ -131,7 +125,7 @@ GROUPS = {
 def metric_query(
     rows: DataFrame, metric: str | None = None, group_by: str | None = None, filters: dict | None = None
 ) -> DataFrame:
-    """Average of a metric (or a count) overall or per group, ordered by group.
+    """Average of a metric (or a count) overall or per group, ordered by group; without either, the rows.
 
     Filters are equalities by column; a ``cohort`` given as a number matches the start year.
     """
@@ -143,7 +137,7 @@ def metric_query(
             out = out.filter(F.col(column) == value)
     value = F.round(F.avg(METRICS[metric]), 2).alias(metric) if metric else F.count("*").alias("count")
     if group_by is None:
-        return out.agg(value) if metric else out.limit(100)
+        return out.agg(value) if metric else out
     return (
         out.groupBy(F.coalesce(F.col(GROUPS[group_by]).cast("string"), F.lit("Unknown")).alias(group_by))
         .agg(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,7 +125,7 @@ def preview(df: DataFrame) -> Preview:
     columns = map_columns(df.columns, layout) if layout else [(h, None) for h in df.columns]
     mapped = {c for _, c in columns}
     missing = [c for c in layout.required if c not in mapped] if layout else []
-    absent = [c for c in layout.optional if c not in mapped][:5] if layout else []
+    absent = [c for c in layout.optional if c not in mapped] if layout else []
     return Preview(
         layout.id if layout else None,
         layout.label if layout else None,
@@ -235,6 +236,19 @@ def validate_required(df: DataFrame, layout: Layout, row_no: str = "row_no") ->
     return checked.filter(F.col("_empty").isNull()).drop("_empty"), errors
 
 
+def rejected_files(df: DataFrame, layout: Layout) -> DataFrame:
+    """The errors of a file that lacks required columns, with how many of its rows are rejected for it."""
+    absent = missing_required_columns(df.columns, layout)
+    listed = F.array(*[F.lit(c) for c in absent]).cast("array<string>")
+    counted = df.agg(F.count("*").alias("rows_rejected"))
+    return counted.select(F.explode(listed).alias("column"), "rows_rejected").select(
+        F.lit(0).cast("bigint").alias("row"),
+        "column",
+        F.concat(F.lit("Required column not mapped: "), "column").alias("message"),
+        "rows_rejected",
+    )
+
+
 @dataclass(frozen=True)
 class Rule:
     """One submission check: ``kind`` is present, not_null, parses or allowed."""
@@ -288,11 +302,18 @@ def validate_submission(df: DataFrame, rules: list[Rule]) -> DataFrame:
 # ---------------------------------------------------------------- upsert
 
 
-def last_per_key(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of every key by ``order``; an aggregate, so copies combine before the shuffle."""
-    rest = [c for c in batch.columns if c not in keys]
-    latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
-    return latest.select(*keys, "_last.*").select(*batch.columns)
+def last_per_key(batch: DataFrame, keys: list[str], order: str, ties: bool = False) -> DataFrame:
+    """The last row of every key by ``order``.
+
+    The newest order of each key comes from a small aggregate, which combines before the shuffle; whole rows
+    then only have to match it. ``order`` must be unique within a key, as a row number is; with ``ties`` it need
+    not be, and one of the rows alike in key and order stays.
+    """
+    newest = batch.groupBy(*keys).agg(F.max(order).alias("_newest"))
+    on = [F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    same = F.col(f"b.{order}").eqNullSafe(F.col("n._newest"))
+    last = batch.alias("b").join(newest.alias("n"), [*on, same], "left_semi")
+    return last.dropDuplicates([*keys, order]) if ties else last
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: str = "row_no") -> DataFrame:
@@ -358,7 +379,7 @@ def latest_upload(history: DataFrame, file_types: list[str] | None = None) -> Da
 
 
 def upload_history_page(history: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    size = min(50, max(1, page_size))
+    size = max(1, page_size)
     return (
         history.orderBy(F.desc("uploaded_at"), F.desc("id")).offset((max(1, page) - 1) * size).limit(size)
     )
@@ -370,30 +391,32 @@ def upload_status_counts(history: DataFrame) -> DataFrame:
     return history.groupingSets([[s], []], s).agg(F.count("*").alias("uploads"))
 
 
-STORED_ERRORS, SHOWN_ERRORS = 5000, 3000  # fixed values: caps of the stored report and of the response
-
-
-def stored_errors(errors: DataFrame, cap: int = STORED_ERRORS) -> DataFrame:
-    """First errors in file order, as kept with the upload."""
-    return errors.orderBy("row", "column").limit(cap)
+def stored_errors(errors: DataFrame, cap: int | None = None) -> DataFrame:
+    """Errors in file order as kept with the upload: all, or the first ``cap``."""
+    ordered = errors.orderBy("row", "column")
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def report_lines(
-    errors: DataFrame, summary: dict[str, object], diff: dict[str, object] | None = None, cap: int = STORED_ERRORS
-) -> list[str]:
-    """Text of the downloadable validation report; at most ``cap`` error rows reach the driver."""
+    errors: DataFrame, summary: dict[str, object], diff: dict[str, object] | None = None, cap: int | None = None
+) -> Iterator[str]:
+    """Lines of the downloadable validation report: all errors in file order, or the first ``cap``.
+
+    Errors come to the driver a partition at a time, as the lines are read.
+    """
 
     def cell(value: object) -> str:
         text = "" if value is None else str(value)
         return '"' + text.replace('"', '""') + '"' if any(ch in text for ch in ',"\n\r') else text
 
-    rows = [(r["row"], r["column"], r["message"]) for r in stored_errors(errors, cap).collect()]
-    lines = ["# Upload validation report"]
-    lines += [f"# {name},{cell(value)}" for name, value in summary.items()]
-    lines.append(f"# Row-level issues (rows in this file),{len(rows)}")
-    lines += [f"# {name},{cell(value)}" for name, value in (diff or {}).items()]
-    lines += ["", "row,column,message"]
-    return lines + [",".join(cell(v) for v in row) for row in rows]
+    kept = stored_errors(errors, cap)
+    yield "# Upload validation report"
+    yield from (f"# {name},{cell(value)}" for name, value in summary.items())
+    yield f"# Row-level issues (rows in this file),{kept.count()}"
+    yield from (f"# {name},{cell(value)}" for name, value in (diff or {}).items())
+    yield from ("", "row,column,message")
+    for r in kept.toLocalIterator():
+        yield ",".join(cell(v) for v in (r["row"], r["column"], r["message"]))
 
 
 # ---------------------------------------------------------------- raw and cleaned layers
@@ -414,7 +437,7 @@ def silver_extract(bronze: DataFrame, fields: dict[str, str], key: str, order: s
     and the last row per key by the field ``order`` is kept; text that does not parse is null."""
     parsed = bronze.select(F.from_json("data", "map<string,string>").alias("m"))
     typed = parsed.select(*[F.try_element_at("m", F.lit(c)).try_cast(t).alias(c) for c, t in fields.items()])
-    return last_per_key(typed.filter(F.col(key).isNotNull()), [key], order)
+    return last_per_key(typed.filter(F.col(key).isNotNull()), [key], order, ties=True)
 
 
 def counts_by_source(bronze: DataFrame) -> DataFrame:
@@ -423,8 +446,9 @@ def counts_by_source(bronze: DataFrame) -> DataFrame:
     )
 
 
-def run_history(runs: DataFrame, limit: int = 20) -> DataFrame:
-    return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+def run_history(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    newest = runs.orderBy(F.desc("started_at"), F.desc("run_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def record_counts(tables: dict[str, DataFrame]) -> DataFrame:

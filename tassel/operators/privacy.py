@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import derived_from
+
 # Identifying columns, small-cell limit and dimensions, telltale parts of column names.
 EXCLUDED_COLUMNS = ["student_guid"]
 SMALL_CELL = 10
@@ -26,34 +27,23 @@ def published(
 ) -> DataFrame:
     """Select or aggregate for publication.
 
-    The filter may use any column. The outputs are resolved after the excluded columns are gone, so
-    an output that needs one, under any alias or inside any function or aggregate, does not resolve
-    and is rejected; so is selecting everything.
+    The filter may use any column. Every output is traced back through the whole plan, also through what was
+    done to ``df`` before the call; one that holds or is computed from an excluded column is rejected, and so is
+    one whose origin is unclear beside such a column.
     """
-    hidden = EXCLUDED_COLUMNS if excluded is None else excluded
     rows = df.filter(where) if where is not None else df
-    if hidden and any(isinstance(o, str) and o.strip() == "*" for o in outputs):
-        raise PrivacyViolation("*")
-    visible = rows.drop(*[c for c in df.columns if c.lower() in {h.lower() for h in hidden}])
     columns = [F.expr(o) if isinstance(o, str) else o for o in outputs]
-    try:
-        if group_by is not None:
-            return visible.groupBy(*group_by).agg(*columns)
-        return visible.select(*columns)
-    except AnalysisException as err:
-        text = str(err).lower()
-        for name in hidden:
-            if name.lower() in text:
-                raise PrivacyViolation(name) from err
-        raise
+    out = rows.groupBy(*group_by).agg(*columns) if group_by is not None else rows.select(*columns)
+    return assert_no_excluded_columns(out, excluded)
 
 
 def assert_no_excluded_columns(df: DataFrame, excluded: list[str] | None = None) -> DataFrame:
-    """Last check before a sink: no excluded column by name."""
-    hidden = {c.lower() for c in (EXCLUDED_COLUMNS if excluded is None else excluded)}
-    for name in df.columns:
-        if name.lower() in hidden:
-            raise PrivacyViolation(name)
+    """Last check before a sink: no column that holds or is computed from an excluded one."""
+    hidden = EXCLUDED_COLUMNS if excluded is None else excluded
+    named = [c for c in df.columns if c.lower() in {h.lower() for h in hidden}]
+    found = named or (derived_from(df, hidden) if hidden else [])
+    if found:
+        raise PrivacyViolation(", ".join(found))
     return df
 
 
@@ -82,8 +72,21 @@ def small_cell_report(
     )
 
 
-def personal_column_scan(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns whose names hint at personal data, over a set of tables."""
-    rows = [(t, c) for t, df in tables.items() for c in df.columns]
-    listing = spark.createDataFrame(rows, "table_name string, column_name string")
-    return listing.filter(F.lower("column_name").rlike("|".join(PERSONAL_NAME_PARTS)))
+def personal_column_scan(tables: dict[str, DataFrame]) -> DataFrame:
+    """Columns whose names hint at personal data, over a set of tables, with how many rows fill them.
+
+    One pass over each table that has such a column; only those columns are read.
+    """
+    out = None
+    for table, df in tables.items():
+        suspects = [c for c in df.columns if any(part in c.lower() for part in PERSONAL_NAME_PARTS)]
+        if not suspects:
+            continue
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(suspects)])
+        cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(suspects)]
+        rows = counts.select(F.lit(table).alias("table_name"), F.explode(F.array(*cells)).alias("x"))
+        rows = rows.select("table_name", "x.column_name", "x.filled")
+        out = rows if out is None else out.unionAll(rows)
+    if out is None:
+        raise ValueError("no table has a column that hints at personal data")
+    return out

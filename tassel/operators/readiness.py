@@ -63,17 +63,31 @@ NUMERIC_INPUTS = [
 ]
 
 
-def split_scorable(text_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose numeric inputs parse (typed), and the others with a message naming the first bad column."""
-    present = [c for c in NUMERIC_INPUTS if c in text_rows.columns]
-    messages = [
-        F.when(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), F.lit(f"not a number: {c}"))
-        for c in present
+# Why a row cannot be scored. Texts name whole credits and courses, so these must be finite
+# wherever they are written out: credits when below the milestone, courses always.
+NOT_FINITE = "cannot convert float infinity to integer"
+
+
+def split_scorable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to score with typed inputs, rows that cannot be scored with the ``error``).
+
+    Blank, unparsable and NaN inputs are missing values and are scored as such.
+    """
+    present = [c for c in NUMERIC_INPUTS if c in rows.columns]
+    number = {c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) for c in present}
+    typed = rows.withColumns(number)
+    endless = F.lit(float("inf"))
+    failing = [
+        test
+        for column, test in (
+            ("number_of_credits_earned_year_1", F.col("number_of_credits_earned_year_1") == -endless),
+            ("total_courses_enrolled", F.abs("total_courses_enrolled") == endless),
+        )
+        if column in present
     ]
-    checked = text_rows.withColumn("error", F.coalesce(*messages))
-    good = checked.filter(F.col("error").isNull()).drop("error")
-    good = good.withColumns({c: F.col(c).try_cast("double") for c in present})
-    return good, checked.filter(F.col("error").isNotNull())
+    error = F.coalesce(*[F.when(t, F.lit(NOT_FINITE)) for t in failing]) if failing else F.lit(None).cast("string")
+    checked = typed.withColumn("error", error)
+    return checked.filter(F.col("error").isNull()).drop("error"), checked.filter(F.col("error").isNotNull())
 
 
 def _select(readiness: DataFrame, students: DataFrame | None, filters: dict) -> DataFrame:
@@ -167,23 +181,24 @@ def readiness_by_major(readiness: DataFrame, students: DataFrame) -> DataFrame:
     )
 
 
-def top_risk_factors(readiness: DataFrame, k: int = 10) -> DataFrame:
-    """Most common factors by their first 100 characters; text that is no JSON list is skipped."""
+def top_risk_factors(readiness: DataFrame, k: int | None = None) -> DataFrame:
+    """Most common factors (the first ``k`` if given); text that is no JSON list is skipped."""
     lists = F.from_json("risk_factors", "array<string>", {"mode": "PERMISSIVE"})
-    return (
+    counted = (
         readiness.select(F.explode(lists).alias("factor"))
         .filter(F.col("factor").isNotNull())
-        .groupBy(F.substring("factor", 1, 100).alias("factor"))
+        .groupBy("factor")
         .agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "factor")
-        .limit(k)
     )
+    return counted if k is None else counted.limit(k)
 
 
-def recent_assessments(readiness: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest records first, lists parsed."""
+def recent_assessments(readiness: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest records first (the first ``limit`` if given), lists parsed."""
     empty = F.array().cast("array<string>")
-    newest = readiness.orderBy(F.desc_nulls_first("generated_at"), "student_guid").limit(limit)
+    newest = readiness.orderBy(F.desc_nulls_first("generated_at"), "student_guid")
+    newest = newest if limit is None else newest.limit(limit)
     return newest.withColumns(
         {
             c: F.coalesce(F.from_json(c, "array<string>"), empty)
@@ -193,26 +208,27 @@ def recent_assessments(readiness: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def readiness_extract(readiness: DataFrame) -> DataFrame:
-    """Level and score-range tables with percent of all records, from one pass over the records."""
-    by_level = F.col("readiness_level")
-    by_range = F.col("score_range")
-    sets = (
-        readiness.select("readiness_level", score_range().alias("score_range"))
-        .groupingSets([[by_level], [by_range], []], by_level, by_range)
-        .agg(
-            F.grouping_id().alias("which"),
-            F.count("*").alias("count"),
-        )
+    """Level and score-range tables with percent of all records, from one pass over the records.
+
+    Records are counted by level and range; the few counts are then added up both ways in a single row.
+    """
+    cells = (
+        readiness.groupBy("readiness_level", score_range().alias("score_range"))
+        .agg(F.count("*").alias("n"))
+        .agg(F.collect_list(F.struct("readiness_level", "score_range", "n")).alias("cells"), F.sum("n").alias("total"))
+    )
+    each = cells.select("total", F.explode("cells").alias("c"))
+    rows = each.select(
+        "total",
+        F.explode(
+            F.array(
+                F.struct(F.lit("level").alias("section"), F.col("c.readiness_level").alias("label"), F.col("c.n").alias("n")),
+                F.struct(F.lit("score_range").alias("section"), F.col("c.score_range").alias("label"), F.col("c.n").alias("n")),
+            )
+        ).alias("x"),
     )
-    total = sets.filter("which = 3").select(F.lit(1).alias("one"), F.col("count").alias("total"))
     return (
-        sets.filter("which < 3")
-        .select(
-            F.when(F.col("which") == 1, "level").otherwise("score_range").alias("section"),
-            F.coalesce("readiness_level", "score_range").alias("label"),
-            "count",
-            F.lit(1).alias("one"),
-        )
-        .join(total, "one")
+        rows.groupBy("x.section", "x.label", "total")
+        .agg(F.sum("x.n").alias("count"))
         .select("section", "label", "count", percent("count", "total").alias("percentage"))
     )

@@ -11,8 +11,6 @@ from ..sources.layouts import LAYOUTS
 from .dashboards import at_risk, dashboard_filter
 from .ingest import latest_upload
 
-MAX_PAGE = 100  # fixed value: largest page
-
 
 def join_readiness(students: DataFrame, readiness: DataFrame) -> DataFrame:
     """Students with their readiness, if any."""
@@ -97,7 +95,7 @@ def roster(
     first. ``worst_first`` puts URGENT at the top whatever the direction. Nulls come first when
     descending. The student id breaks ties.
     """
-    size = min(MAX_PAGE, max(1, page_size))
+    size = max(1, page_size)
     rows = roster_filter(join_readiness(students, readiness), **filters)
     key = SORT_KEYS.get(sort_by, "at_risk_alert")
     if key == "at_risk_alert":
@@ -111,7 +109,7 @@ def roster(
 
 
 def roster_count(students: DataFrame, readiness: DataFrame, page_size: int = 50, **filters) -> DataFrame:
-    size = min(MAX_PAGE, max(1, page_size))
+    size = max(1, page_size)
     total = roster_filter(join_readiness(students, readiness), **filters).agg(F.count("*").alias("total"))
     return total.withColumn("page_count", F.ceil(F.col("total") / size))
 
@@ -193,7 +191,7 @@ def drill_through(
     **filters,
 ) -> DataFrame:
     """One page of source rows in id order; ids are blanked unless the reader may see them."""
-    size = min(MAX_PAGE, max(1, page_size))
+    size = max(1, page_size)
     rows = metric_rows(scored, metric, category, student_guid, **filters)
     paged = rows.orderBy("student_guid").offset((max(1, page) - 1) * size).limit(size)
     return paged.select(

@@ -118,13 +118,17 @@ def snapshot_changes(previous: DataFrame, current: DataFrame, drop_by: float = 0
     ).filter(changed | F.col("probability_drop"))
 
 
-def change_matrix(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Students per (alert before, alert now)."""
+def snapshot_pairs(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Every student of both snapshots with the alert before and now, changed or not."""
     p = previous.select("student_guid", F.col("at_risk_alert").alias("previous_alert"))
     c = current.select("student_guid", F.col("at_risk_alert").alias("current_alert"))
-    return (
-        p.join(c, "student_guid").groupBy("previous_alert", "current_alert").agg(F.count("*").alias("students"))
-    )
+    return p.join(c, "student_guid")
+
+
+def change_matrix(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Students per (alert before, alert now)."""
+    pairs = snapshot_pairs(previous, current)
+    return pairs.groupBy("previous_alert", "current_alert").agg(F.count("*").alias("students"))
 
 
 def contradictions(scored: DataFrame) -> DataFrame:

@@ -35,17 +35,17 @@ class Layout:
 # Code to label tables of the submission layouts.
 ENROLLMENT_TYPE = {"F": "First-Time", "R": "Re-admit", "T": "Transfer-In"}
 RACE = {
+    "W": "White",
+    "B": "Black or African American",
     "A": "Asian",
     "AN": "American Indian or Alaska Native",
-    "B": "Black or African American",
-    "HP": "Native Hawaiian or Other Pacific Islander",
     "IA": "American Indian or Alaska Native",
+    "HP": "Native Hawaiian or Other Pacific Islander",
     "TM": "Two or More Races",
     "UK": "Unknown",
-    "W": "White",
 }
 ETHNICITY = {"H": "Hispanic", "N": "Not Hispanic", "UK": "Unknown"}
-GENDER = {"F": "Female", "M": "Male", "P": "Non-binary", "UK": "Unknown", "X": "Other"}
+GENDER = {"M": "Male", "F": "Female", "P": "Non-binary", "X": "Other", "UK": "Unknown"}
 
 # The five layouts. Column names are normalized headers.
 _STUDENT_TABLE, _COURSE_TABLE = "student_level_with_predictions", "course_enrollments"
@@ -57,15 +57,38 @@ LAYOUTS = [
         target=_STUDENT_TABLE,
         key=("student_guid",),
         required=("student_guid", "cohort", "cohort_term", "enrollment_type"),
-        columns=tuple(
-            """student_guid institution_id cohort cohort_term student_age enrollment_type
-            enrollment_intensity_first_term race ethnicity gender first_gen pell_status_first_year
-            math_placement english_placement reading_placement gateway_math_status gateway_english_status
-            credential_type_sought_year_1 gpa_group_term_1 gpa_group_year_1
-            number_of_credits_attempted_year_1 number_of_credits_earned_year_1
-            number_of_credits_attempted_year_2 number_of_credits_earned_year_2
-            retention persistence time_to_credential years_to_bachelors_at_cohort_inst_
-            years_to_associates_or_certificate_at_cohort_inst_ school dataset_type""".split()
+        columns=(
+            "student_guid",
+            "institution_id",
+            "cohort",
+            "cohort_term",
+            "student_age",
+            "enrollment_type",
+            "enrollment_intensity_first_term",
+            "race",
+            "ethnicity",
+            "gender",
+            "first_gen",
+            "pell_status_first_year",
+            "math_placement",
+            "english_placement",
+            "reading_placement",
+            "gateway_math_status",
+            "gateway_english_status",
+            "credential_type_sought_year_1",
+            "gpa_group_term_1",
+            "gpa_group_year_1",
+            "number_of_credits_attempted_year_1",
+            "number_of_credits_earned_year_1",
+            "number_of_credits_attempted_year_2",
+            "number_of_credits_earned_year_2",
+            "retention",
+            "persistence",
+            "time_to_credential",
+            "years_to_bachelors_at_cohort_inst_",
+            "years_to_associates_or_certificate_at_cohort_inst_",
+            "school",
+            "dataset_type",
         ),
         numeric=(
             "number_of_credits_attempted_year_1", "number_of_credits_earned_year_1",
@@ -81,10 +104,23 @@ LAYOUTS = [
         target=_STUDENT_TABLE,
         key=("student_guid",),
         required=("student_guid", "cohort", "cohort_term", "enrollment_type"),
-        columns=tuple(
-            """student_guid cohort cohort_term first_name last_name date_of_birth enrollment_type race
-            ethnicity gender math_placement english_placement gateway_math_status gateway_english_status
-            first_gen dual_and_summer_enrollment""".split()
+        columns=(
+            "student_guid",
+            "cohort",
+            "cohort_term",
+            "first_name",
+            "last_name",
+            "date_of_birth",
+            "enrollment_type",
+            "race",
+            "ethnicity",
+            "gender",
+            "math_placement",
+            "english_placement",
+            "gateway_math_status",
+            "gateway_english_status",
+            "first_gen",
+            "dual_and_summer_enrollment",
         ),
         aliases={"student_guid": ("student_id",)},
         recodes={"enrollment_type": ENROLLMENT_TYPE, "race": RACE, "ethnicity": ETHNICITY, "gender": GENDER},
@@ -95,11 +131,31 @@ LAYOUTS = [
         target=_COURSE_TABLE,
         key=_COURSE_KEY,
         required=("student_guid", "academic_year", "academic_term", "course_prefix", "course_number", "grade"),
-        columns=tuple(
-            """student_guid cohort cohort_term academic_year academic_term course_prefix course_number
-            section_id course_name course_cip course_type math_or_english_gateway grade
-            number_of_credits_attempted number_of_credits_earned delivery_method course_begin_date
-            course_end_date student_age race ethnicity gender institution_id school""".split()
+        columns=(
+            "student_guid",
+            "cohort",
+            "cohort_term",
+            "academic_year",
+            "academic_term",
+            "course_prefix",
+            "course_number",
+            "section_id",
+            "course_name",
+            "course_cip",
+            "course_type",
+            "math_or_english_gateway",
+            "grade",
+            "number_of_credits_attempted",
+            "number_of_credits_earned",
+            "delivery_method",
+            "course_begin_date",
+            "course_end_date",
+            "student_age",
+            "race",
+            "ethnicity",
+            "gender",
+            "institution_id",
+            "school",
         ),
         numeric=("number_of_credits_attempted", "number_of_credits_earned"),
         aliases={"student_guid": ("student_id",)},
@@ -110,11 +166,26 @@ LAYOUTS = [
         target=_COURSE_TABLE,
         key=_COURSE_KEY,
         required=("student_guid", "academic_year", "academic_term", "course_prefix", "course_number", "grade"),
-        columns=tuple(
-            """student_guid cohort cohort_term academic_year academic_term course_prefix course_number
-            section_id course_name course_cip course_type grade number_of_credits_attempted
-            number_of_credits_earned first_name last_name date_of_birth semester_session_gpa
-            overall_gpa""".split()
+        columns=(
+            "student_guid",
+            "cohort",
+            "cohort_term",
+            "academic_year",
+            "academic_term",
+            "course_prefix",
+            "course_number",
+            "section_id",
+            "course_name",
+            "course_cip",
+            "course_type",
+            "grade",
+            "number_of_credits_attempted",
+            "number_of_credits_earned",
+            "first_name",
+            "last_name",
+            "date_of_birth",
+            "semester_session_gpa",
+            "overall_gpa",
         ),
         numeric=("number_of_credits_attempted", "number_of_credits_earned", "semester_session_gpa", "overall_gpa"),
         aliases={"student_guid": ("student_id",), "academic_term": ("term",)},

@@ -91,7 +91,7 @@ def finish_run(
 ) -> None:
     row = (
         run_id, datetime.now(timezone.utc), "finished", None, None, students_input, students_scored, errors,
-        json.dumps(sample[:5]), None,
+        json.dumps(sample), None,
     )
     spark.createDataFrame([row], RUN_EVENT).write.mode("append").parquet(path)
 

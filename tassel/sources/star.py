@@ -18,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than there are cores (one small file).
-
-    Large inputs have many splits and pass through untouched, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def enrollments(spark: SparkSession, sf_dir: str, line_rows: DataFrame | None = None) -> DataFrame:
     """Conformed course enrollments, one row per student and course taken.
 
@@ -57,7 +46,7 @@ def enrollments(spark: SparkSession, sf_dir: str, line_rows: DataFrame | None =
     )
     used = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_linestatus", "l_returnflag"]
     rows = (table(spark, sf_dir, "lineitem") if line_rows is None else line_rows).select(*used)
-    lines = spread(rows, "l_orderkey", "l_partkey").selectExpr(
+    lines = rows.selectExpr(
         "l_orderkey",
         "l_partkey",
         "try_element_at(array('A','A-','B+','B','B-','C+','C','C-','D','F','W','I',null,''),"
@@ -251,7 +240,7 @@ def academic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 # Upload layout ids in the order used to spread the events over them.
@@ -300,6 +289,18 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role",
         "case when role <> 'assistant' then text"
         " when conv_id % 3 = 0 then to_json(named_struct('summary', text, 'caveats', array('small n')))"
-        " when conv_id % 3 = 1 then concat('{\"summary\": \"', cast(length(text) as string))"
+        " when conv_id % 6 = 1 then concat('{\"summary\": \"', cast(length(text) as string))"
+        " when conv_id % 6 = 4 then concat('{\"summary\": 1, \"summary\": NaN, \"key_insights\": [1, -Infinity],"
+        " \"context\": \"\", \"action_items\": [], \"caveats\": [\"n = ', cast(length(text) as string), '\"]}')"
+        " when conv_id % 30 = 5 then '[\"a\", {\"b\": [NaN, 1e5, true]}] '"
         " else text end as content",
     )
+
+
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per conversation with all its messages in order: a conversation is one record, whatever its length."""
+    message = F.struct("turn", "role", "content")
+    gathered = chat_messages(spark, sf_dir).groupBy(F.col("conv_id").alias("id")).agg(
+        F.array_sort(F.collect_list(message)).alias("messages")
+    )
+    return gathered

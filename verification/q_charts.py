@@ -50,11 +50,11 @@ chart(
 )
 chart(
     "completion_vs_retention",
-    lambda df: charts.completion_vs_retention(df).filter("students > 2"),
+    charts.completion_vs_retention,
     """SELECT at_risk_alert, count(*) AS students, round(regr_slope(retention_probability, course_completion_rate),4) AS slope,
  round(regr_intercept(retention_probability, course_completion_rate),4) AS intercept,
  round(corr(retention_probability, course_completion_rate),4) AS correlation
-FROM scored WHERE course_completion_rate IS NOT NULL GROUP BY 1 HAVING count(*)>2""",
+FROM scored WHERE course_completion_rate IS NOT NULL GROUP BY 1""",
 )
 for _by in ("cohort", P):
     chart(
@@ -194,7 +194,7 @@ chart("baseline_at_risk_top", lambda df: _baseline(df, 25), _BASE + " ORDER BY p
 
 
 def _treated(s, d):
-    changes = scored.snapshot_changes(_later(s, d), scored_rows(s, d)).withColumn(
+    changes = scored.snapshot_pairs(_later(s, d), scored_rows(s, d)).withColumn(
         "treated", F.substring("student_guid", 11, 1).isin("1", "2", "3", "4", "5")
     )
     return charts.intervention_success_rate(changes, ALERT_ORDER)
@@ -208,7 +208,7 @@ def _treated_sql() -> str:
         f"""SELECT n AS treated_students, i AS improved_students, {pct('i', 'n')} AS success_rate FROM (
 SELECT count(*) AS n, count(*) FILTER (WHERE {rank.format('s.at_risk_alert')} > {rank.format('alert2')}) AS i
 FROM scored s JOIN later l ON s.student_guid=l.student_guid
-WHERE s.at_risk_alert<>alert2 AND substr(s.student_guid,11,1) IN ('1','2','3','4','5'))"""
+WHERE substr(s.student_guid,11,1) IN ('1','2','3','4','5'))"""
     )
 
 

@@ -18,7 +18,7 @@ FROM enr {where} GROUP BY course_prefix, course_number {having}"""
 register(
     "dfwi_by_course",
     lambda s, d: courses.dfwi_by_course(enrollments(s, d)),
-    with_ctes(["enr"], _rates() + " ORDER BY dfwi_rate DESC, course_prefix, course_number LIMIT 200"),
+    with_ctes(["enr"], _rates() + " "),
 )
 register(
     "dfwi_gateway_cohort_term",

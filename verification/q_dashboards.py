@@ -175,7 +175,7 @@ register(
     lambda s, d: _roster(s, d, sort_by="readiness_score", descending=False, page_size=500, alerts=["HIGH", "URGENT"]),
     with_ctes(
         ["ready"],
-        f"SELECT {_ROSTER} FROM ready WHERE at_risk_alert IN ('HIGH','URGENT') ORDER BY readiness_score, student_guid LIMIT 100",
+        f"SELECT {_ROSTER} FROM ready WHERE at_risk_alert IN ('HIGH','URGENT') ORDER BY readiness_score, student_guid LIMIT 500",
     ),
 )
 register(

@@ -149,20 +149,22 @@ register(
 )
 register(
     "stored_errors",
-    lambda s, d: ingest.stored_errors(ingest.validate_required(mapped_submissions(s, d), SUBMISSION)[1], 50),
-    f"WITH {_SUB} {_ERRORS} ORDER BY row LIMIT 50",
+    lambda s, d: ingest.stored_errors(ingest.validate_required(mapped_submissions(s, d), SUBMISSION)[1]),
+    f"WITH {_SUB} {_ERRORS}",
 )
 
 
 def _missing_column(s, d):
-    return ingest.validate_required(mapped_submissions(s, d).drop("cohort", "enrollment_type"), SUBMISSION)[1]
+    """A file without two required columns: its rows are counted and none is loaded."""
+    rows = mapped_submissions(s, d).drop("cohort", "enrollment_type")
+    return ingest.rejected_files(rows, SUBMISSION)
 
 
 register(
     "validate_missing_column",
     _missing_column,
-    """SELECT 0 AS row, c AS "column", 'Required column not mapped: ' || c AS message FROM (VALUES ('cohort'),('enrollment_type')) v(c)
-WHERE EXISTS (SELECT 1 FROM orders)""",
+    """SELECT 0 AS row, c AS "column", 'Required column not mapped: ' || c AS message, n AS rows_rejected
+FROM (VALUES ('cohort'),('enrollment_type')) v(c), (SELECT count(*) AS n FROM orders)""",
 )
 _RULES = [
     *ingest.layout_rules(SUBMISSION),
@@ -269,7 +271,7 @@ register(
     "upload_history_page",
     lambda s, d: ingest.upload_history_page(star.upload_history(s, d), 2, 80).select("id", "user_email", "filename"),
     with_ctes(
-        ["uploads"], "SELECT id, user_email, filename FROM uploads ORDER BY uploaded_at DESC, id DESC LIMIT 50 OFFSET 50"
+        ["uploads"], "SELECT id, user_email, filename FROM uploads ORDER BY uploaded_at DESC, id DESC LIMIT 80 OFFSET 80"
     ),
 )
 register(
@@ -310,7 +312,7 @@ UNION ALL SELECT '/part', count(*) FROM part""",
 register(
     "run_history",
     lambda s, d: ingest.run_history(
-        star.table(s, d, "events").selectExpr("event_id as run_id", "ts as started_at", "event_type as source")
+        star.table(s, d, "events").selectExpr("event_id as run_id", "ts as started_at", "event_type as source"), 20
     ).select("run_id", "source"),
     "SELECT event_id AS run_id, event_type AS source FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
 )
@@ -446,7 +448,13 @@ register(
 register(
     "personal_column_scan",
     lambda s, d: privacy.personal_column_scan(
-        s, {"uploads": star.upload_history(s, d), "students": star.students(s, d), "submissions": mapped_submissions(s, d)}
+        {"uploads": star.upload_history(s, d), "students": star.students(s, d), "submissions": mapped_submissions(s, d)}
+    ),
+    with_ctes(["uploads", "cohort_rows"], "@@").replace(
+        "\n@@",
+        f""",
+{_SUB} SELECT 'uploads' AS table_name, 'user_email' AS column_name, count(user_email) AS filled FROM uploads
+ UNION ALL SELECT 'students', 'student_guid', count(student_guid) FROM cohort_rows
+ UNION ALL SELECT 'submissions', 'student_guid', count(student_guid) FROM sub""",
     ),
-    """SELECT * FROM (VALUES ('uploads','user_email'),('students','student_guid'),('submissions','student_guid')) v(table_name, column_name)""",
 )

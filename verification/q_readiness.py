@@ -119,21 +119,29 @@ register(
 )
 register(
     "top_risk_factors",
-    lambda s, d: r.top_risk_factors(readiness_rows(s, d)),
+    lambda s, d: r.top_risk_factors(readiness_rows(s, d), 10),
     with_ctes(
         ["ready"],
-        """SELECT left(factor,100) AS factor, count(*) AS count FROM (SELECT unnest(factors) AS factor FROM ready) GROUP BY 1
+        """SELECT factor, count(*) AS count FROM (SELECT unnest(factors) AS factor FROM ready) GROUP BY 1
 ORDER BY 2 DESC, 1 LIMIT 10""",
     ),
 )
+
+
+def _dated(s, d):
+    """Records written at different times."""
+    moment = F.timestamp_seconds(F.substring("student_guid", 4, 9).cast("bigint") % 977)
+    return readiness_rows(s, d).withColumn("generated_at", moment)
+
+
 register(
     "recent_assessments",
-    lambda s, d: r.recent_assessments(readiness_rows(s, d)).select(
+    lambda s, d: r.recent_assessments(_dated(s, d), 100).select(
         "student_guid", "readiness_level", F.size("risk_factors").alias("n_factors"), F.size("suggested_actions").alias("n_actions")
     ),
     with_ctes(
         ["ready"],
-        """SELECT student_guid, readiness_level, len(factors) AS n_factors, len(actions) AS n_actions FROM ready ORDER BY student_guid LIMIT 100""",
+        """SELECT student_guid, readiness_level, len(factors) AS n_factors, len(actions) AS n_actions FROM ready ORDER BY CAST(substr(student_guid,4) AS BIGINT)%977 DESC, student_guid LIMIT 100""",
     ),
 )
 register(
@@ -149,14 +157,25 @@ register(
 
 
 def _isolated(s, d):
-    """Every 40th student's GPA turned into text no number can be read from."""
+    """Some students' GPA is text no number can be read from or blank, which counts as missing; some have an
+    endless number of courses, which cannot be scored."""
     text = scored_rows(s, d).withColumn(
         "gpa_group_year_1",
-        F.when(F.substring("student_guid", 11, 2) == "40", F.lit("three")).otherwise(F.col("gpa_group_year_1").cast("string")),
+        F.when(F.substring("student_guid", 11, 2) == "40", F.lit("three"))
+        .when(F.substring("student_guid", 11, 2) == "41", F.lit(" "))
+        .otherwise(F.col("gpa_group_year_1").cast("string")),
+    )
+    text = text.withColumn(
+        "total_courses_enrolled",
+        F.when(F.substring("student_guid", 11, 2) == "42", F.lit("inf")).otherwise(F.col("total_courses_enrolled").cast("string")),
     )
     good, bad = r.split_scorable(text)
-    scored = r.with_readiness(good).groupBy(F.lit("scored").alias("outcome")).agg(F.count("*").alias("n"))
-    failed = bad.groupBy(F.col("error").alias("outcome")).agg(F.count("*").alias("n"))
+    scored = r.with_readiness(good).groupBy(F.lit("scored").alias("outcome")).agg(
+        F.count("*").alias("n"), F.count("gpa_group_year_1").alias("with_gpa"), F.count("readiness_score").alias("with_score")
+    )
+    failed = bad.groupBy(F.col("error").alias("outcome")).agg(
+        F.count("*").alias("n"), F.count("gpa_group_year_1").alias("with_gpa"), F.lit(0).cast("long").alias("with_score")
+    )
     return scored.unionByName(failed)
 
 
@@ -165,6 +184,8 @@ register(
     _isolated,
     with_ctes(
         ["scored"],
-        """SELECT CASE WHEN substr(student_guid,11,2)='40' THEN 'not a number: gpa_group_year_1' ELSE 'scored' END AS outcome, count(*) AS n FROM scored GROUP BY 1""",
+        """SELECT CASE WHEN substr(student_guid,11,2)='42' THEN 'cannot convert float infinity to integer' ELSE 'scored' END AS outcome,
+ count(*) AS n, count(gpa_group_year_1) FILTER (WHERE substr(student_guid,11,2) NOT IN ('40','41')) AS with_gpa,
+ count(*) FILTER (WHERE substr(student_guid,11,2)<>'42') AS with_score FROM scored GROUP BY 1""",
     ),
 )
