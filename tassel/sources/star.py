@@ -264,7 +264,11 @@ def upload_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query audit log as raw lines (``value``), one per event; every 50th line is cut short."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return as_audit_lines(table(spark, sf_dir, "events"))
+
+
+def as_audit_lines(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "case when event_id % 50 = 7 then '{\"prompt\": \"cut' else to_json(named_struct("
         "'prompt', concat('show ', event_type, ' for user ', cast(user_id as string)),"
         "'institution', concat('inst', cast(user_id % 7 as string)),"

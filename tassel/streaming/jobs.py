@@ -1,22 +1,23 @@
 """Streaming versions of the reports that follow arriving files.
 
 The aggregations are ordinary DataFrame functions and run on batch tables as well; ``run_to_table``
-drives a streaming query over everything available and leaves its result in a parquet table.
+drives a streaming query over everything available and leaves its result in a parquet table. Every job keeps
+its tables and its progress in the folder the caller names, so it goes on where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.grades import is_course_pass, is_dfwi
 from ..functions.numeric import percent
-from ..operators.ingest import last_per_key, recode_values, validate_required
+from ..operators.ingest import last_per_key, recode_values
 from ..operators.ingest import map_columns as map_headers_of
-from ..session import checkpoint_dir
-from ..sources.files import dense_positions, with_chunks
+from ..operators.ingest import upsert as upsert_rows
+from ..sources.files import audit_entries, dense_positions, with_chunks
 from ..sources.layouts import Layout
 
 
@@ -67,21 +68,17 @@ def without_repeats(rows: DataFrame, keys: list[str], time: str, delay: str) ->
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Process everything available and return the resulting table.
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Process everything that has arrived since the last call and return the resulting table.
 
-    Append mode uses the exactly-once file sink. Complete and update mode write each micro-batch to
-    its own folder, named by the batch id, so a repeated batch replaces itself.
+    Append mode uses the exactly-once file sink and holds closed windows only. Complete and update mode write each
+    micro-batch to its own folder, named by the batch id, so a repeated batch replaces itself; ``last_batch`` (update)
+    or ``newest_batch`` (complete) turn them into the current answer, open windows included.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    base = path or _fresh(spark, name)
-    out = f"{base}/rows"
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    out = f"{path}/rows"
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", out).start()
     else:
@@ -94,51 +91,114 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str |
     return spark.read.schema(stream.schema if mode == "append" else _with_batch(stream)).parquet(out)
 
 
-def _with_batch(stream: DataFrame):
-    from pyspark.sql.types import LongType, StructField, StructType
-
+def _with_batch(stream: DataFrame) -> StructType:
     return StructType([*stream.schema.fields, StructField("batch_id", LongType())])
 
 
 def last_batch(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest row of every key from a complete- or update-mode table."""
-    return last_per_key(table, keys, "batch_id")
+    """Newest row of every key from an update-mode table."""
+    return last_per_key(table, keys, "batch_id").drop("batch_id")
 
 
-# ---------------------------------------------------------------- file drop
+def newest_batch(table: DataFrame) -> DataFrame:
+    """The rows of the last micro-batch of a complete-mode table; the batch ids are folder names."""
+    newest = table.agg(F.max("batch_id").alias("_newest"))
+    return table.join(F.broadcast(newest), F.col("batch_id") == F.col("_newest")).drop("batch_id", "_newest")  # one row
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, layout: Layout, out: str) -> None:
-    """Map, recode and validate one micro-batch of raw text rows; good rows and errors are stored by batch id.
+# ---------------------------------------------------------------- file drop
 
-    Every folder is overwritten as a whole, so running a batch twice gives the same tables.
-    """
-    rows = dense_positions(batch)
-    mapped = [(h, c) for h, c in map_headers_of([c for c in batch.columns if c not in ("file", "chunk")], layout) if c]
-    typed = rows.select("file", "row_no", *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(c) for h, c in mapped])
-    good, errors = validate_required(recode_values(typed, layout), layout)
-    good.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
-    errors.write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
 
+def ingest_batch(batch: DataFrame, batch_id: int, layout: Layout, out: str, compact_every: int = 0) -> None:
+    """Map, recode and validate one micro-batch of raw text rows; rows and their errors are one table by batch id.
 
-def file_drop_ingest(stream: DataFrame, layout: Layout, out: str) -> None:
+    Every folder is overwritten as a whole, so running a batch twice gives the same tables. Blank fields are null.
+    With ``compact_every`` the current rows are written out after every so many batches.
+    """
+    held = batch.persist()
+    try:
+        rows = dense_positions(held)
+        mapped = [(h, c) for h, c in map_headers_of([c for c in batch.columns if c not in ("file", "chunk")], layout) if c]
+        typed = rows.select("file", "row_no", *[F.nullif(F.col(f"`{h}`"), F.lit("")).alias(c) for h, c in mapped])
+        marked = with_errors(recode_values(typed, layout), layout)
+        marked.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+    finally:
+        held.unpersist()
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact(batch.sparkSession, layout, out, batch_id)
+
+
+def with_errors(rows: DataFrame, layout: Layout) -> DataFrame:
+    """All rows with the column and the message of their first error, or nulls (the rules of validate_required)."""
+    ordered = [c for c in layout.columns if c in layout.required and c in rows.columns]
+    absent = [F.lit(c) for c in layout.required if c not in rows.columns]
+    empty = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(c)) for c in ordered]
+    column = F.coalesce(*absent, *empty)
+    text = "Required column not mapped: " if absent else "Empty required field: "
+    return rows.withColumns({"error_column": column, "error": F.concat(F.lit(text), column)})
+
+
+def file_drop_ingest(stream: DataFrame, layout: Layout, out: str, compact_every: int = 0) -> None:
     """Ingest all files that have arrived (from ``stream_text_files``) and stop."""
     query = (
         stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, layout, out))
+        .foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, layout, out, compact_every))
         .start()
     )
     query.awaitTermination()
 
 
+def ingest_errors(spark: SparkSession, out: str) -> DataFrame:
+    """file, row, column and message of every rejected row so far."""
+    bad = spark.read.parquet(f"{out}/rows").filter(F.col("error").isNotNull())
+    return bad.select("file", F.col("row_no").cast("bigint").alias("row"), F.col("error_column").alias("column"), F.col("error").alias("message"))
+
+
+def _since(spark: SparkSession, out: str) -> tuple[DataFrame | None, int]:
+    """(the last compacted table, the batch it covers)."""
+    try:
+        listed = spark.read.parquet(f"{out}/compacted")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, -1
+    upto = listed.agg(F.max("upto")).first()[0]
+    return (None, -1) if upto is None else (listed.filter(F.col("upto") == upto).drop("upto"), upto)
+
+
 def current_rows(spark: SparkSession, layout: Layout, out: str) -> DataFrame:
-    """The target as of now: the last row of every key over all ingested batches."""
-    rows = spark.read.parquet(f"{out}/rows")
-    ordered = rows.withColumn("_order", F.struct(F.col("batch_id").cast("bigint"), "file", "row_no")).drop(
-        "batch_id", "file", "row_no"
-    )
-    return last_per_key(ordered, list(layout.key), "_order").drop("_order")
+    """The target as of now: the last valid row of every key over all ingested batches, by batch, file and row.
+
+    Reads the last compacted table and the batches after it only.
+    """
+    base, upto = _since(spark, out)
+    rows = spark.read.schema(_rows_schema(spark, out)).parquet(f"{out}/rows")
+    rows = rows.filter((F.col("batch_id") > upto) & F.col("error").isNull())
+    order = F.struct(F.col("batch_id").cast("bigint").alias("b"), F.col("file").alias("f"), F.col("row_no").alias("r"))
+    rows = rows.withColumn("_order", order).drop("batch_id", "file", "row_no", "error", "error_column")
+    if base is not None:
+        first = F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit("").alias("f"), F.lit(0).cast("bigint").alias("r"))
+        rows = rows.unionByName(base.withColumn("_order", first))
+    return last_per_key(rows, list(layout.key), "_order").drop("_order")
+
+
+def _rows_schema(spark: SparkSession, out: str) -> StructType:
+    known = spark.read.parquet(f"{out}/rows").schema
+    return StructType([f if f.name != "batch_id" else StructField("batch_id", IntegerType()) for f in known.fields])
+
+
+def compact(spark: SparkSession, layout: Layout, out: str, upto: int) -> None:
+    """Write the current rows as of batch ``upto``; later reads start from there."""
+    current_rows(spark, layout, out).write.mode("overwrite").parquet(f"{out}/compacted/upto={upto}")
+
+
+def upserted(target: DataFrame, layout: Layout, out: str) -> DataFrame:
+    """``target`` after all ingested rows: known keys get the new values of the columns the files carry, new keys
+    are added."""
+    rows = current_rows(target.sparkSession, layout, out)
+    kept = [c for c in rows.columns if c in target.columns]
+    return upsert_rows(target, rows.select(*kept).withColumn("row_no", F.lit(0)), list(layout.key))
 
 
 def stream_parquet(spark: SparkSession, folder: str, file: str, schema) -> DataFrame:
@@ -146,6 +206,14 @@ def stream_parquet(spark: SparkSession, folder: str, file: str, schema) -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
+def stream_audit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream of the query audit log, JSON lines: ts, institution, viz_type; malformed lines are skipped."""
+    entries = audit_entries(spark.readStream.schema("value string").text(folder))
+    return entries.select(
+        F.col("timestamp").try_cast("timestamp").alias("ts"), "institution", F.col("vizType").alias("viz_type")
+    )
+
+
 def stream_text_files(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """Stream of headed CSV files as text columns, with the file and chunk each row came from."""
     schema = ", ".join(f"`{c}` string" for c in columns)

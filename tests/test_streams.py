@@ -15,8 +15,9 @@ def drop_file(folder, name, rows):
 
 
 def current(spark, out):
-    return sorted(tuple(r) for r in jobs.current_rows(spark, LAYOUT, out).select(
-        "student_guid", "prediction_type", "prediction_value", "confidence_score").collect())
+    rows = jobs.current_rows(spark, LAYOUT, out)
+    names = ["student_guid", "prediction_type", "prediction_value", "confidence_score"]
+    return sorted(tuple(r) for r in rows.select(*names).collect())
 
 
 def test_files_arrive_in_turns(spark, tmp_path):
@@ -27,8 +28,8 @@ def test_files_arrive_in_turns(spark, tmp_path):
 
     drop_file(inbox, "1.csv", [("a", "risk", "0.1", "0.5"), ("b", "risk", "0.2", ""), ("", "risk", "0.3", "1"), ("a", "risk", "0.4", "0.6")])
     ingest()
-    assert current(spark, out) == [("a", "risk", "0.4", "0.6"), ("b", "risk", "0.2", "")]
-    errors = spark.read.parquet(f"{out}/errors").collect()
+    assert current(spark, out) == [("a", "risk", "0.4", "0.6"), ("b", "risk", "0.2", None)]
+    errors = jobs.ingest_errors(spark, out).collect()
     assert [(e.row, e.column, e.message) for e in errors] == [(3, "student_guid", "Empty required field: student_guid")]
     # nothing new: nothing changes
     ingest()
@@ -38,6 +39,29 @@ def test_files_arrive_in_turns(spark, tmp_path):
     assert current(spark, out) == [("a", "risk", "0.4", "0.6"), ("b", "gpa", "3.0", "0.9"), ("c", "gpa", "2.0", "0.8")]
 
 
+def test_compaction_and_upsert(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    for i, value in enumerate(("0.1", "0.2", "0.3")):
+        drop_file(inbox, f"{i}.csv", [("a", "risk", value, ""), (f"s{i}", "gpa", value, "1")])
+        jobs.file_drop_ingest(jobs.stream_text_files(spark, str(inbox), HEADER), LAYOUT, out, compact_every=2)
+    assert [p.name for p in (tmp_path / "out" / "compacted").iterdir()] == ["upto=1"]
+    assert current(spark, out) == [("a", "risk", "0.3", None), ("s0", "gpa", "0.1", "1"), ("s1", "gpa", "0.2", "1"), ("s2", "gpa", "0.3", "1")]
+    target = spark.createDataFrame([("a", "old", "x"), ("z", "old", "y")], "student_guid string, prediction_type string, note string")
+    got = sorted(tuple(r) for r in jobs.upserted(target, LAYOUT, out).collect())
+    assert [g[:2] for g in got] == [("a", "risk"), ("s0", "gpa"), ("s1", "gpa"), ("s2", "gpa"), ("z", "old")]
+    assert got[0][2] == "x" and got[1][2] is None
+
+
+def test_open_windows_are_in_the_update_table(spark, tmp_path):
+    source, base = str(tmp_path / "events"), str(tmp_path / "job")
+    for i in range(3):
+        events(spark, [(i, f"2024-01-0{i + 1} 10:00:00", "i", "bar", 1)] * 2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events(spark, []).schema).parquet(source)
+        table = jobs.run_to_table(jobs.daily_counts(stream, "1 hour"), base, "update")
+    found = jobs.last_batch(table, ["day_start", "institution", "viz_type"]).collect()
+    assert sorted((str(r.day_start)[:10], r.queries) for r in found) == [("2024-01-01", 2), ("2024-01-02", 2), ("2024-01-03", 2)]
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     drop_file(inbox, "1.csv", [("a", "risk", "0.1", "0.5")])
@@ -59,7 +83,7 @@ def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(events(spark, []).schema).parquet(source)
-        return jobs.run_to_table(jobs.daily_counts(stream, "1 hour"), "daily", path=base)
+        return jobs.run_to_table(jobs.daily_counts(stream, "1 hour"), base)
 
     events(spark, [(1, "2024-01-01 10:00:00", "i", "bar", 1), (2, "2024-01-03 10:00:00", "i", "bar", 1)]).coalesce(1).write.parquet(source)
     assert [(str(r.day_start)[:10], r.queries) for r in run().collect()] == [("2024-01-01", 1)]

@@ -13,50 +13,94 @@ from .base_sql import DFWI, PASS, pct, with_ctes
 from .registry import register
 
 
-def _events(s, d):
+TURNS = 4
+
+
+def _folder(s, name):
+    return f"{checkpoint_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _in_turns(s, d, name, write, stream, job, mode):
+    """Events arrive in four parts, in order of time; after each the job runs on from where it stopped."""
+    base, events = _folder(s, name), star.table(s, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.select(F.percentile_approx(at, [i / TURNS for i in range(1, TURNS)], 1000)).first()[0] or []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = events.filter(at >= low) if low is not None else events
+        part = part.filter(at < high) if high is not None else part
+        write(part, f"{base}/in")
+        out = jobs.run_to_table(job(stream(f"{base}/in")), f"{base}/job", mode)
+    return out
+
+
+def _event_turns(s, d, name, job, mode):
     schema = star.table(s, d, "events").schema
-    return star.audit_columns(jobs.stream_parquet(s, d, "events.parquet", schema))
+    return _in_turns(
+        s,
+        d,
+        name,
+        lambda part, path: part.write.mode("append").parquet(path),
+        lambda path: star.audit_columns(s.readStream.schema(schema).parquet(path)),
+        job,
+        mode,
+    )
+
+
+def _daily(rows):
+    found = jobs.last_batch(rows, ["day_start", "institution", "viz_type"])
+    return found.select(F.col("day_start").cast("date").cast("string").alias("day"), "institution", "viz_type", "queries")
 
 
-_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL {0} FROM events)"
 _INST = "'inst' || CAST(user_id%7 AS VARCHAR)"
+_DAILY = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_INST} AS institution, event_type AS viz_type, count(*) AS queries FROM events"
 register(
     "stream_daily_counts",
-    lambda s, d: jobs.run_to_table(jobs.daily_counts(_events(s, d)), "daily").select(
-        F.col("day_start").cast("date").cast("string").alias("day"), "institution", "viz_type", "queries"
-    ),
-    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_INST} AS institution, event_type AS viz_type, count(*) AS queries FROM events
-GROUP BY 1,2,3 HAVING CAST(CAST(max(ts) AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= {_CLOSED.format('1 DAY')}""",
+    lambda s, d: _daily(_event_turns(s, d, "daily", jobs.daily_counts, "update")),
+    f"{_DAILY} GROUP BY 1,2,3",
+)
+
+
+def _log_turns(s, d):
+    def write(part, path):
+        star.as_audit_lines(part).write.mode("append").text(path)
+
+    return _in_turns(s, d, "log", write, lambda path: jobs.stream_audit_log(s, path), jobs.daily_counts, "update")
+
+
+register(
+    "stream_audit_log", lambda s, d: _daily(_log_turns(s, d)), f"{_DAILY} WHERE event_id%50<>7 GROUP BY 1,2,3"
 )
 register(
     "stream_sliding_activity",
-    lambda s, d: jobs.run_to_table(jobs.sliding_activity(_events(s, d)), "sliding").select(
-        F.unix_timestamp("window_start").alias("start_s"), "institution", "queries"
-    ),
+    lambda s, d: jobs.last_batch(
+        _event_turns(s, d, "sliding", jobs.sliding_activity, "update"), ["window_start", "institution"]
+    ).select(F.unix_timestamp("window_start").alias("start_s"), "institution", "queries"),
     f"""SELECT w AS start_s, institution, count(*) AS queries FROM (
  SELECT {_INST} AS institution, unnest([b, b-7200, b-14400]) AS w FROM (SELECT *, CAST(floor(epoch(ts)/7200) AS BIGINT)*7200 AS b FROM events))
-GROUP BY 1,2 HAVING to_timestamp(w+21600) AT TIME ZONE 'UTC' <= {_CLOSED.format('1 HOUR')}""",
+GROUP BY 1,2""",
 )
 register(
     "stream_activity_sessions",
-    lambda s, d: jobs.run_to_table(jobs.activity_sessions(_events(s, d)), "sessions").select(
+    lambda s, d: jobs.newest_batch(_event_turns(s, d, "sessions", jobs.activity_sessions, "complete")).select(
         "user_id",
         F.unix_micros("session_start").alias("start_us"),
         F.unix_micros("session_end").alias("end_us"),
         "queries",
     ),
-    f"""SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts))+1800000000 AS end_us, count(*) AS queries FROM (
+    """SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts))+1800000000 AS end_us, count(*) AS queries FROM (
  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
   SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events))
-GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED.format('1 HOUR')}""",
+GROUP BY user_id, sid""",
 )
 
 
 def _course_stream(s, d):
     schema = star.table(s, d, "lineitem").schema
     lines = jobs.stream_parquet(s, d, "lineitem.parquet", schema)
-    counts = jobs.run_to_table(jobs.running_course_counts(star.enrollments(s, d, lines)), "courses", mode="update")
-    return jobs.course_rates_so_far(jobs.last_batch(counts, ["course_prefix", "course_number"]).drop("batch_id"))
+    counts = jobs.run_to_table(
+        jobs.running_course_counts(star.enrollments(s, d, lines)), _folder(s, "courses"), mode="update"
+    )
+    return jobs.course_rates_so_far(jobs.last_batch(counts, ["course_prefix", "course_number"]))
 
 
 register(
@@ -72,31 +116,50 @@ register(
 
 
 def _without_repeats(s, d):
-    events = _events(s, d)
+    schema = star.table(s, d, "events").schema
+    events = star.audit_columns(jobs.stream_parquet(s, d, "events.parquet", schema))
     doubled = events.union(events)
-    rows = jobs.run_to_table(jobs.without_repeats(doubled, ["event_id"], "ts", "40 days"), "unique")
+    rows = jobs.run_to_table(jobs.without_repeats(doubled, ["event_id"], "ts", "40 days"), _folder(s, "unique"))
     return rows.groupBy("viz_type").agg(F.count("*").alias("n"))
 
 
 register("stream_without_repeats", _without_repeats, "SELECT event_type AS viz_type, count(*) AS n FROM events GROUP BY 1")
 
 
+DROP_FILES = 6
+
+
 def _dropped_files(s, d):
-    """Submission rows written as files, ingested by the streaming job, read back as the current table."""
-    base = f"{checkpoint_dir(s)}/drop-{uuid.uuid4().hex}"
-    raw = star.submissions(s, d).withColumnRenamed("row_no", "position").coalesce(1).sortWithinPartitions("position")
-    sinks.write_csv(raw.drop("position"), f"{base}/in")
+    """Submission rows written as several files in row order, ingested a file at a time by the streaming job with a
+    compaction on the way, then upserted into a table that knows some of the students."""
+    base = _folder(s, "drop")
+    raw = star.submissions(s, d).withColumnRenamed("row_no", "position")
+    ranged = raw.repartitionByRange(DROP_FILES, "position").sortWithinPartitions("position")
+    sinks.write_csv(ranged.drop("position"), f"{base}/in")
     columns = [c for c in raw.columns if c != "position"]
     layout = BY_ID["pdp_cohort_submission"]
-    jobs.file_drop_ingest(jobs.stream_text_files(s, f"{base}/in", columns), layout, f"{base}/out")
-    return jobs.current_rows(s, layout, f"{base}/out").select("student_guid", "cohort", "enrollment_type", "math_placement")
+    stream = jobs.stream_text_files(s, f"{base}/in", columns)
+    jobs.file_drop_ingest(stream, layout, f"{base}/out", compact_every=1)
+    names = ["student_guid", "cohort", "enrollment_type", "math_placement", "school"]
+    known = star.students(s, d).filter("substring(student_guid, 12, 1) in ('1', '4')").select(*names)
+    return jobs.upserted(known, layout, f"{base}/out")
 
 
 def _dropped_sql() -> str:
     from .q_ingest import _SUB
 
-    return f"""WITH {_SUB} SELECT student_guid, cohort, enrollment_type, math_placement FROM good
-QUALIFY row_number() OVER (PARTITION BY student_guid ORDER BY row_no DESC)=1"""
+    return with_ctes(["cohort_rows"], "@@").replace(
+        "\n@@",
+        f""",
+{_SUB}, newest AS (SELECT student_guid, cohort, enrollment_type, math_placement FROM good
+  QUALIFY row_number() OVER (PARTITION BY student_guid ORDER BY row_no DESC)=1),
+known AS (SELECT student_guid, cohort, enrollment_type, math_placement, school FROM cohort_rows WHERE substr(student_guid,12,1) IN ('1','4'))
+SELECT coalesce(k.student_guid, n.student_guid) AS student_guid,
+ CASE WHEN n.student_guid IS NOT NULL THEN nullif(n.cohort,'') ELSE k.cohort END AS cohort,
+ CASE WHEN n.student_guid IS NOT NULL THEN nullif(n.enrollment_type,'') ELSE k.enrollment_type END AS enrollment_type,
+ CASE WHEN n.student_guid IS NOT NULL THEN nullif(n.math_placement,'') ELSE k.math_placement END AS math_placement, school
+FROM known k FULL JOIN newest n ON k.student_guid=n.student_guid""",
+    )
 
 
 register("file_drop_ingest", _dropped_files, _dropped_sql())
