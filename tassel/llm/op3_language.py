@@ -165,10 +165,10 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mo
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    spark = labelled.sparkSession
-    rates = spark.createDataFrame([(x, min(1.0, rows_per_language / n)) for x, n in sizes.items()], "_l string, _rate double")
+    # as many entries as there are languages, which the model holds anyway
+    rates = F.create_map(*[F.lit(v) for x, n in sorted(sizes.items()) for v in (x, min(1.0, rows_per_language / n))])
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.withColumn("_u", u).join(rates, F.col("lang") == F.col("_l")).filter("_u < _rate")
+    drawn = labelled.filter(u < F.element_at(rates, F.col("lang")))
     grams = in_arrow(drawn.select("lang", "text"), gram_counts, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = grams.toPandas()
     counts = {x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for x, g in rows.groupby("lang")}
