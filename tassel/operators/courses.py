@@ -126,7 +126,7 @@ def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool =
     the test, otherwise when either does.
     """
     sat = _sittings(enrollments, "course_name", hit=hit)
-    pairs = _sides(sat, sat, [*COURSE, "n", "n_hit", "course_name"]).filter(
+    pairs = _sides(sat, sat, [*COURSE, "course_name", "n", "n_hit"]).filter(
         (F.col("course_prefix_a") < F.col("course_prefix_b"))
         | (
             (F.col("course_prefix_a") == F.col("course_prefix_b"))

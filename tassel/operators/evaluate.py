@@ -60,11 +60,15 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> Data
         .groupBy(F.col(score).cast("double").alias("s"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
-    # both counts go through, so every use of ``counts`` is the same and is computed once
+    # every column that running_totals adds is read below, so all its uses of ``counts`` are the same and share
+    # one scan and one shuffle
     placed = running_totals(counts, "s", ["neg", "pos"])
     # pairs won by a positive: negatives strictly below, plus half of those tied
     won = F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)
-    pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
+    def total(c: str) -> Column:
+        return F.max(F.greatest(f"all_{c}", f"cum_{c}")).cast("double")
+
+    pairs = total("pos") * total("neg")
     return placed.agg(F.try_divide(F.sum(won), pairs).alias("auc_roc"))
 
 
@@ -79,7 +83,6 @@ def binary_metrics(
         F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"),
         F.count_if(y == p).alias("right"),
-        F.lit(1).alias("one"),
     )
 
     def share(a: Column, b: Column) -> Column:
@@ -87,14 +90,13 @@ def binary_metrics(
 
     tp = F.col("tp")
     rates = counts.select(
-        "one",
         "n",
         share(F.col("right"), F.col("n")).alias("accuracy"),
         share(tp, tp + F.col("fp")).alias("precision"),
         share(tp, tp + F.col("fn")).alias("recall"),
         share(2 * tp, 2 * tp + F.col("fp") + F.col("fn")).alias("f1"),
     )
-    return rates.join(roc_auc(pred, label, score).withColumn("one", F.lit(1)), "one").drop("one")
+    return rates.crossJoin(F.broadcast(roc_auc(pred, label, score)))  # one row beside one row
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -166,10 +168,17 @@ def fill_missing(df: DataFrame, numeric: list[str], text: list[str]) -> DataFram
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Alphabetical code 0.. for every value of a text column (few values)."""
+    """Alphabetical code 0.. for every value of a text column, however many.
+
+    Values are numbered among those with the same first two characters; the sizes of these ranges, a small table,
+    say how many values come before.
+    """
     from pyspark.sql import Window
 
-    values = df.select(F.col(column).alias("value")).distinct()
-    return values.withColumn(
-        "code", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")) - 1).cast("int")
-    )
+    values = df.select(F.col(column).alias("value")).distinct().withColumn("_range", F.substring("value", 1, 2))
+    sizes = values.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = values.join(offsets, F.col("_range").eqNullSafe(F.col("_r")))
+    inside = Window.partitionBy("_range").orderBy("value")
+    return joined.select("value", (F.row_number().over(inside) - 1 + F.col("_before")).cast("int").alias("code"))

@@ -58,38 +58,48 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(alias_rows(), "layout string, name string, column string, required int")
 
 
+def _names_by_layout(spark: SparkSession) -> DataFrame:
+    """One row for each known header name: whether layout i knows it (``m<i>``) and, as a bit, which of its required
+    columns it stands for (``r<i>``)."""
+    table: dict[str, list[int]] = {}
+    place = {x.id: i for i, x in enumerate(LAYOUTS)}
+    for layout, name, column, required in alias_rows():
+        i = place[layout]
+        cells = table.setdefault(name, [0] * (2 * len(LAYOUTS)))
+        cells[2 * i] = 1
+        if required:
+            cells[2 * i + 1] = 1 << LAYOUTS[i].required.index(column)
+    columns = ", ".join(f"m{i} long, r{i} long" for i in range(len(LAYOUTS)))
+    return spark.createDataFrame([(n, *c) for n, c in table.items()], f"name string, {columns}")
+
+
 def detect_schemas(headers: DataFrame) -> DataFrame:
-    """Layout of many files at once from rows (file, header): one grouped job.
+    """Layout of many files at once from rows (file, header): one join to the names and one grouped pass.
 
-    Result: file, layout (null below the tentative threshold), confidence.
+    Result: file, layout (null below the tentative threshold), confidence. The layout with the most known headers
+    wins, then the one with more columns.
     """
-    spark = headers.sparkSession
-    sizes = [(x.id, len(x.columns), len(x.required)) for x in LAYOUTS]
-    layouts = spark.createDataFrame(sizes, "layout string, width int, needed int")
     named = headers.select("file", normalized(F.col("header")).alias("name"))
-    per_file = named.groupBy("file").agg(F.count("*").alias("headers"))
-    # the alias table is a fixed list of about a hundred names
-    hits = (
-        named.join(F.broadcast(alias_table(spark)), "name")
-        .groupBy("file", "layout")
-        .agg(
-            F.count("*").alias("matched"),
-            F.count_distinct(F.when(F.col("required") == 1, F.col("column"))).alias("present"),
-        )
-        .join(F.broadcast(layouts), "layout")
+    # the table of names is fixed, about a hundred rows
+    known = named.join(F.broadcast(_names_by_layout(headers.sparkSession)), "name", "left")
+    per_file = known.groupBy("file").agg(
+        F.count("*").alias("headers"),
+        *[F.sum(F.coalesce(f"m{i}", F.lit(0))).alias(f"m{i}") for i in range(len(LAYOUTS))],
+        *[F.bit_or(F.coalesce(f"r{i}", F.lit(0))).alias(f"r{i}") for i in range(len(LAYOUTS))],
     )
-    best = (
-        hits.groupBy("file")
-        .agg(F.max(F.struct("matched", "width", "layout", "present", "needed")).alias("b"))
-        .select("file", "b.*")
-    )
-    score = F.coalesce(F.col("matched") / F.col("headers"), F.lit(0.0))
-    capped = F.when(
-        (score >= CONFIDENT) & (F.col("present") < F.col("needed")), F.least(score, F.lit(CONFIDENT - 0.01))
-    ).otherwise(score)
-    return per_file.join(best, "file", "left").select(
+
+    def all_of(value) -> Column:
+        return F.array(*[value(i, x) for i, x in enumerate(LAYOUTS)])
+
+    order = [F.col(f"m{i}") * 2**20 + len(x.columns) * 2**8 + i for i, x in enumerate(LAYOUTS)]
+    best = per_file.withColumn("_best", F.greatest(*order).bitwiseAND(255).cast("int"))
+    pick = lambda values: F.get(values, F.col("_best"))
+    complete = pick(all_of(lambda i, x: F.col(f"r{i}") == (1 << len(x.required)) - 1))
+    score = pick(all_of(lambda i, x: F.col(f"m{i}"))) / F.col("headers")
+    capped = F.when((score >= CONFIDENT) & ~complete, F.least(score, F.lit(CONFIDENT - 0.01))).otherwise(score)
+    return best.select(
         "file",
-        F.when(score >= TENTATIVE, F.col("layout")).alias("layout"),
+        F.when(score >= TENTATIVE, pick(all_of(lambda i, x: F.lit(x.id)))).alias("layout"),
         F.round(capped, 4).alias("confidence"),
     )
 

@@ -35,8 +35,8 @@ def hash_row_numbers(df: DataFrame, key: str, by: list[str] | None = None, seed:
     match = F.col("_range") == F.col("_r")
     for i, c in enumerate(by):
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
-    # at most 4096 rows per group
-    joined = hashed.join(F.broadcast(offsets), match)
+    # at most 4096 rows per group; without groups that bounds the table, with groups Spark's sizes decide
+    joined = hashed.join(offsets if by else F.broadcast(offsets), match)
     inside = Window.partitionBy(*by, "_range").orderBy("_h", key)
     return joined.withColumn("row_no", F.row_number().over(inside) + F.col("_before")).drop(
         "_h", "_range", "_r", "_before", *[f"_by_{i}" for i in range(len(by))]
@@ -63,8 +63,9 @@ def running_totals(counts: DataFrame, order: str, values: list[str], by: str | N
     )
     coarse = F.transform(F.sequence(F.lit(1), F.lit(STEP - 1)), lambda i: F.get("_bounds", i * STEP - 1))
     bounds = bounds.withColumn("_coarse", coarse)
-    # one row per group
-    ranged = rows.join(F.broadcast(bounds), F.col("_by").eqNullSafe(F.col("_b")))
+    # one row per group; a single group bounds the tables joined here, otherwise Spark's sizes decide
+    small = (lambda t: t) if by else F.broadcast
+    ranged = rows.join(small(bounds), F.col("_by").eqNullSafe(F.col("_b")))
     # count the bounds below the value in two steps: first every STEP-th bound, then those in between
     ranged = ranged.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < F.col(order))))
     between = F.slice("_bounds", F.col("_c") * STEP + 1, F.lit(STEP - 1))
@@ -80,7 +81,7 @@ def running_totals(counts: DataFrame, order: str, values: list[str], by: str | N
     )
     # at most RANGES rows per group
     joined = ranged.join(
-        F.broadcast(offsets), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r"))
+        small(offsets), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r"))
     )
     inside = Window.partitionBy("_by", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumns(
