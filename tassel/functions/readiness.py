@@ -159,6 +159,7 @@ def suggested_actions() -> Column:
     return F.array_compact(F.array(*[F.when(fired[name], text) for name, text in ACTION_TEXT.items()]))
 
 
+# The wording of the rationale below.
 def rationale(raw: str = "readiness_raw", level: str = "readiness_level") -> Column:
     def shown(value: Column, text: Column) -> Column:
         return F.when(value.isNotNull(), text).otherwise("N/A")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -26,6 +26,7 @@ from ..operators.evaluate import (
     stratified_split,
 )
 from ..operators.scored import with_scores, with_targets
+from ..session import checkpoint_dir
 
 # Features of each model. Columns that give the target away are left out.
 DEMOGRAPHIC = ["student_age", "race", "ethnicity", "gender", "first_gen", "pell_status_first_year"]
@@ -61,47 +62,52 @@ def _kinds(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Preprocessor:
-    """Medians and label codes learned on one table and applied to any other."""
+    """Medians and label codes learned once on one table, for all models and any other table."""
 
     numeric: list[str]
     text: list[str]
     medians: dict[str, float]
-    encoder: PipelineModel
+    codes: StringIndexerModel | None
 
     @classmethod
-    def fit(cls, df: DataFrame, features: list[str]) -> Preprocessor:
-        numeric, text = _kinds(df, features)
-        # one number per feature reaches the driver
-        medians = {r["column"]: r["q0"] for r in exact_quantiles(df, numeric, [0.5]).collect()}
+    def fit(cls, df: DataFrame, columns: list[str]) -> Preprocessor:
+        """Learn the given columns; several models share one fit on the columns of them all."""
+        names = list(dict.fromkeys(columns))
+        numeric, text = _kinds(df, names)
+        # one number per column reaches the driver
+        medians = {r["column"]: r["q0"] for r in exact_quantiles(df, numeric, [0.5]).collect()} if numeric else {}
         medians = {c: medians.get(c, 0.0) for c in numeric}
-        # one indexer for all text columns: their values are counted in a single job
-        stages = []
+        codes = None
         if text:
-            stages.append(
-                StringIndexer(
-                    inputCols=text,
-                    outputCols=[f"{c}__code" for c in text],
-                    stringOrderType="alphabetAsc",
-                    handleInvalid="keep",
-                )
+            # one indexer for all text columns: their values are counted in a single job
+            indexer = StringIndexer(
+                inputCols=[f"{c}__text" for c in text],
+                outputCols=[f"{c}__code" for c in text],
+                stringOrderType="alphabetAsc",
+                handleInvalid="keep",
             )
-        columns = [f"{c}__code" if c in text else c for c in features]
-        stages.append(VectorAssembler(inputCols=columns, outputCol="features"))
-        filled = cls._fill(df, numeric, text, medians)
-        return cls(numeric, text, medians, Pipeline(stages=stages).fit(filled))
+            codes = indexer.fit(cls._filled(df, [], text, {}))
+        return cls(numeric, text, medians, codes)
 
     @staticmethod
-    def _fill(df: DataFrame, numeric: list[str], text: list[str], medians: dict[str, float]) -> DataFrame:
-        known = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(medians[c])) for c in numeric}
-        return df.withColumns({**known, **{c: F.coalesce(c, F.lit("Unknown")) for c in text}})
+    def _filled(df: DataFrame, numeric: list[str], text: list[str], medians: dict[str, float]) -> DataFrame:
+        known = {
+            f"{c}__number": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(medians[c])) for c in numeric
+        }
+        return df.withColumns({**known, **{f"{c}__text": F.coalesce(c, F.lit("Unknown")) for c in text}})
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Adds a number for every learned column, beside the columns themselves."""
+        filled = self._filled(df, self.numeric, self.text, self.medians)
+        return self.codes.transform(filled).drop(*[f"{c}__text" for c in self.text]) if self.codes else filled
 
-    def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        filled = self._fill(df.select(*dict.fromkeys([*keep, *self.numeric, *self.text])), self.numeric, self.text, self.medians)
-        originals = [c for c in keep if c in self.numeric or c in self.text]
-        out = self.encoder.transform(filled).select(*[c for c in keep if c not in originals], "features")
-        if originals:
-            raise ValueError(f"keep columns are features as well: {originals}")
-        return out
+    def assemble(self, encoded: DataFrame, features: list[str], output: str = "features") -> DataFrame:
+        columns = [f"{c}__code" if c in self.text else f"{c}__number" for c in features]
+        return VectorAssembler(inputCols=columns, outputCol=output).transform(encoded)
+
+    def transform(self, df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
+        needed = dict.fromkeys([*keep, *self.numeric, *self.text])
+        return self.assemble(self.encode(df.select(*needed)), features).select(*keep, "features")
 
 
 # Estimator settings.
@@ -134,6 +140,7 @@ class Trained:
     name: str
     pre: Preprocessor | None
     model: Model | None
+    features: list[str] = field(default_factory=list)
     metrics: dict[str, float] = field(default_factory=dict)
     comparison: list[dict] = field(default_factory=list)
     importances: list[tuple[str, float]] = field(default_factory=list)
@@ -143,11 +150,18 @@ def _first(df: DataFrame) -> dict[str, float]:
     return df.first().asDict()
 
 
-def _importances(pre: Preprocessor, model: Model) -> list[tuple[str, float]]:
+def _importances(features: list[str], model: Model) -> list[tuple[str, float]]:
     if not hasattr(model, "featureImportances"):
         return []
-    names = [c.removesuffix("__code") for c in pre.encoder.stages[-1].getInputCols()]
-    return sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
+    return sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
+
+
+def _with_checkpoints(df: DataFrame) -> DataFrame:
+    """Boosting cuts its lineage now and then, in the folder the cluster names."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df
 
 
 def feature_importance_top(trained: Trained, k: int = 10) -> list[tuple[str, float]]:
@@ -155,32 +169,42 @@ def feature_importance_top(trained: Trained, k: int = 10) -> list[tuple[str, flo
 
 
 def train_classifier(
-    students: DataFrame, name: str, target: str, features: list[str], estimator: Estimator | None = None
+    students: DataFrame,
+    name: str,
+    target: str,
+    features: list[str],
+    estimator: Estimator | None = None,
+    pre: Preprocessor | None = None,
 ) -> Trained:
     """Preprocess, split 80/20 within classes, fit, measure on the held-out rows."""
-    pre = Preprocessor.fit(students, features)
-    rows = pre.transform(students.filter(F.col(target).isNotNull()), [KEY, target]).withColumnRenamed(target, "label")
-    split = stratified_split(rows, KEY, "label").persist()
+    pre = pre or Preprocessor.fit(students, features)
+    known = _with_checkpoints(students).filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
+    split = stratified_split(pre.transform(known, [KEY, "label"], features), KEY, "label").persist()
     try:
         model = (estimator or boosted_trees()).fit(split.filter("not is_test"))
         metrics = _first(binary_metrics(_scored(model, split.filter("is_test"))))
     finally:
         split.unpersist()
-    return Trained(name, pre, model, metrics, importances=_importances(pre, model))
+    return Trained(name, pre, model, features, metrics, importances=_importances(features, model))
 
 
 def compare_models(
-    students: DataFrame, target: str = "target_retention", features: list[str] | None = None, folds: int = 5,
-    parallelism: int = 4, candidates: list[str] | None = None,
+    students: DataFrame,
+    target: str = "target_retention",
+    features: list[str] | None = None,
+    folds: int = 5,
+    parallelism: int = 5,
+    candidates: list[str] | None = None,
+    pre: Preprocessor | None = None,
 ) -> Trained:
     """Three candidates (or those named) by cross-validated ROC AUC; the best is kept, with the comparison.
 
     Each row of the comparison has cv_auc, cv_std, train_auc, test_auc, gap and a verdict.
     """
     names = features or RETENTION_FEATURES
-    pre = Preprocessor.fit(students, names)
-    rows = pre.transform(students.filter(F.col(target).isNotNull()), [KEY, target]).withColumnRenamed(target, "label")
-    split = stratified_split(rows, KEY, "label").persist()
+    pre = pre or Preprocessor.fit(students, names)
+    known = _with_checkpoints(students).filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
+    split = stratified_split(pre.transform(known, [KEY, "label"], names), KEY, "label").persist()
     train, test = split.filter("not is_test"), split.filter("is_test")
     dealt = stratified_folds(train, KEY, "label", folds).persist()
     try:
@@ -218,47 +242,52 @@ def compare_models(
     finally:
         dealt.unpersist()
         split.unpersist()
-    return Trained(best[1], pre, best[2], metrics, table, _importances(pre, best[2]))
+    return Trained(best[1], pre, best[2], names, metrics, table, _importances(names, best[2]))
 
 
 def train_regressor(
-    students: DataFrame, name: str, target: str, features: list[str], estimator: RandomForestRegressor, minimum: int = 0
+    students: DataFrame,
+    name: str,
+    target: str,
+    features: list[str],
+    estimator: RandomForestRegressor,
+    minimum: int = 0,
+    pre: Preprocessor | None = None,
 ) -> Trained:
-    """Fit on rows with a target; without more than ``minimum`` rows there is no model."""
-    usable = students.filter(F.col(target).isNotNull())
-    if usable.count() <= minimum:
-        return Trained(name, None, None)
-    pre = Preprocessor.fit(students, features)
+    """Fit on rows with a target; without more than ``minimum`` rows there is no model, and its name says so."""
     # the target of one model may be a feature of another, so it is copied first
-    rows = pre.transform(usable.withColumn("label", F.col(target).cast("double")), [KEY, "label"])
-    split = random_split(rows, KEY).persist()
+    usable = students.filter(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
+    if usable.count() <= minimum:
+        return Trained(f"{name} (no model: {minimum} rows or fewer)", None, None, features)
+    pre = pre or Preprocessor.fit(students, features)
+    split = random_split(pre.transform(usable, [KEY, "label"], features), KEY).persist()
     try:
         model = estimator.fit(split.filter("not is_test"))
         metrics = _first(regression_metrics(model.transform(split.filter("is_test"))))
     finally:
         split.unpersist()
-    return Trained(name, pre, model, metrics, importances=_importances(pre, model))
+    return Trained(name, pre, model, features, metrics, importances=_importances(features, model))
 
 
-def train_time_to_credential(students: DataFrame) -> Trained:
-    """Only completers (0 < years < 99), and only with more than 100 of them."""
+def train_time_to_credential(students: DataFrame, minimum: int = 100, pre: Preprocessor | None = None) -> Trained:
+    """Only completers (0 < years < 99), and only with more than ``minimum`` of them."""
     done = (F.col("target_time_to_credential") > 0) & (F.col("target_time_to_credential") < 99)
     rows = students.withColumn("_time", F.when(done, F.col("target_time_to_credential")))
     forest = RandomForestRegressor(numTrees=50, maxDepth=4, seed=42)
-    return train_regressor(rows, "Time-to-Credential", "_time", RETENTION_FEATURES, forest, minimum=100)
+    return train_regressor(rows, "Time-to-Credential", "_time", RETENTION_FEATURES, forest, minimum, pre)
 
 
-def train_gpa(students: DataFrame) -> Trained:
+def train_gpa(students: DataFrame, pre: Preprocessor | None = None) -> Trained:
     forest = RandomForestRegressor(numTrees=100, maxDepth=8, minInstancesPerNode=5, seed=42)
-    return train_regressor(students, "GPA", "average_grade", RETENTION_FEATURES, forest)
+    return train_regressor(students, "GPA", "average_grade", RETENTION_FEATURES, forest, pre=pre)
 
 
-def train_credential_type(students: DataFrame, balanced: bool = True) -> Trained:
+def train_credential_type(students: DataFrame, balanced: bool = True, pre: Preprocessor | None = None) -> Trained:
     """Four classes; balanced class weights unless told otherwise."""
     target = "target_credential_type"
-    pre = Preprocessor.fit(students, RETENTION_FEATURES)
-    rows = pre.transform(students.filter(F.col(target).isNotNull()), [KEY, target]).withColumnRenamed(target, "label")
-    split = stratified_split(rows, KEY, "label")
+    pre = pre or Preprocessor.fit(students, RETENTION_FEATURES)
+    known = students.filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
+    split = stratified_split(pre.transform(known, [KEY, "label"], RETENTION_FEATURES), KEY, "label")
     forest = RandomForestClassifier(numTrees=50, maxDepth=5, seed=42)
     if balanced:
         weights = class_weights(split.filter("not is_test"), "label").select(F.col("label").alias("_l"), "weight")
@@ -273,7 +302,7 @@ def train_credential_type(students: DataFrame, balanced: bool = True) -> Trained
         metrics = _first(multiclass_metrics(held))
     finally:
         split.unpersist()
-    return Trained("Credential Type", pre, model, metrics, importances=_importances(pre, model))
+    return Trained("Credential Type", pre, model, RETENTION_FEATURES, metrics, importances=_importances(RETENTION_FEATURES, model))
 
 
 @dataclass
@@ -290,43 +319,62 @@ class ModelSet:
         return list(vars(self).values())
 
 
-def train_all(student_table: DataFrame, compare: bool = True, classifier: Estimator | None = None) -> ModelSet:
-    """Every model from one student table with course features.
+def train_all(student_table: DataFrame, compare: bool = True) -> ModelSet:
+    """Every model from one student table with course features; medians and codes are learned once for all.
 
-    ``classifier`` replaces the boosted trees of the three success and risk models.
+    Without ``compare`` the retention model is the simple forest instead of the best of three.
     """
     rows = with_targets(student_table).persist()
+    every = [*RETENTION_FEATURES, *GATEWAY_MATH_FEATURES, *GATEWAY_ENGLISH_FEATURES, *LOW_GPA_FEATURES]
     try:
+        pre = Preprocessor.fit(rows, every)
         retention = (
-            compare_models(rows)
+            compare_models(rows, pre=pre)
             if compare
-            else train_classifier(rows, "Retention", "target_retention", RETENTION_FEATURES, simple_forest())
+            else train_classifier(rows, "Retention", "target_retention", RETENTION_FEATURES, simple_forest(), pre)
         )
         return ModelSet(
             retention=retention,
-            time_to_credential=train_time_to_credential(rows),
-            credential=train_credential_type(rows),
-            gateway_math=train_classifier(
-                rows, "Gateway Math", "target_gateway_math", GATEWAY_MATH_FEATURES, classifier
-            ),
-            gateway_english=train_classifier(
-                rows, "Gateway English", "target_gateway_english", GATEWAY_ENGLISH_FEATURES, classifier
-            ),
-            low_gpa=train_classifier(rows, "Low GPA", "target_low_gpa", LOW_GPA_FEATURES, classifier),
-            gpa=train_gpa(rows),
+            time_to_credential=train_time_to_credential(rows, pre=pre),
+            credential=train_credential_type(rows, pre=pre),
+            gateway_math=train_gateway_math(rows, pre),
+            gateway_english=train_gateway_english(rows, pre),
+            low_gpa=train_low_gpa(rows, pre),
+            gpa=train_gpa(rows, pre),
         )
     finally:
         rows.unpersist()
 
 
+def train_gateway_math(students: DataFrame, pre: Preprocessor | None = None) -> Trained:
+    return train_classifier(students, "Gateway Math", "target_gateway_math", GATEWAY_MATH_FEATURES, pre=pre)
+
+
+def train_gateway_english(students: DataFrame, pre: Preprocessor | None = None) -> Trained:
+    return train_classifier(students, "Gateway English", "target_gateway_english", GATEWAY_ENGLISH_FEATURES, pre=pre)
+
+
+def train_low_gpa(students: DataFrame, pre: Preprocessor | None = None) -> Trained:
+    return train_classifier(students, "Low GPA", "target_low_gpa", LOW_GPA_FEATURES, pre=pre)
+
+
+def apply_model(trained: Trained, rows: DataFrame) -> DataFrame:
+    """``rows`` with what the model predicts: ``prediction`` and, from classifiers, ``probability``."""
+    if trained.model is None:
+        return rows.withColumn("prediction", F.lit(None).cast("double"))
+    extra = [f"{c}__number" for c in trained.pre.numeric] + [f"{c}__code" for c in trained.pre.text]
+    assembled = trained.pre.assemble(trained.pre.encode(rows), trained.features).drop(*extra)
+    return trained.model.transform(assembled).drop("features", "rawPrediction")
+
+
 CLASS_COLUMNS = ["prob_no_credential", "prob_certificate", "prob_associate", "prob_bachelor"]
 
 
 def score_all(student_table: DataFrame, models: ModelSet) -> DataFrame:
     """The student table with every prediction column.
 
-    Models run one after the other on the same rows, each adding columns; there is no join and no
-    shuffle beyond the input's own.
+    The features are filled and encoded once; models run one after the other on the same rows, each adding
+    columns. There is no join and no shuffle beyond the input's own.
     """
     made = set(CLASS_COLUMNS) | {
         "retention_probability", "retention_prediction", "gateway_math_probability", "gateway_math_prediction",
@@ -334,20 +382,19 @@ def score_all(student_table: DataFrame, models: ModelSet) -> DataFrame:
         "predicted_time_to_credential", "predicted_credential_type", "predicted_gpa",
     }
     original = [c for c in student_table.columns if c not in made]
-    out = student_table.select(F.struct(*original).alias("_row"), *original)
+    out, encoders = student_table.select(*original), []
 
     def run(trained: Trained, columns: dict) -> None:
         nonlocal out
-        kept = [c for c in out.columns if c not in original]
         if trained.model is None:
             out = out.withColumns({name: F.lit(None).cast("double") for name in columns})
             return
-        filled = Preprocessor._fill(out, trained.pre.numeric, trained.pre.text, trained.pre.medians)
-        applied = trained.model.transform(trained.pre.encoder.transform(filled))
-        # the untouched input comes back from _row, so one model's filling never reaches the next
-        out = applied.select(
-            *[F.col(f"_row.{c}").alias(c) for c in original], *kept, *[e.alias(n) for n, e in columns.items()]
-        )
+        if trained.pre not in encoders:  # models that share a preprocessor share its columns
+            kept = [c for c in out.columns if not c.endswith(("__number", "__code"))]
+            encoders[:] = [trained.pre]
+            out = trained.pre.encode(out.select(*kept))
+        applied = trained.model.transform(trained.pre.assemble(out, trained.features))
+        out = applied.select(*out.columns, *[e.alias(n) for n, e in columns.items()])
 
     def binary(prefix: str) -> dict:
         return {
@@ -371,4 +418,4 @@ def score_all(student_table: DataFrame, models: ModelSet) -> DataFrame:
             **{c: (chances[i] if i < classes else F.lit(0.0)) for i, c in enumerate(CLASS_COLUMNS)},
         },
     )
-    return with_scores(out.drop("_row"))
+    return with_scores(out.drop(*[c for c in out.columns if c.endswith(("__number", "__code"))]))

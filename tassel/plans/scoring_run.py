@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +28,20 @@ def run(
     out: str,
     models: ModelSet | None = None,
     compare: bool = True,
-    classifier: Estimator | None = None,
+    error_sample: int = 5,
 ) -> RunResult:
     """Write scored students, enrollments with predictions, readiness records and summary tables under ``out``.
 
-    Every stage reads the table the one before it wrote, so a lost executor repeats one stage at most.
+    Every stage reads the table the one before it wrote, so a lost executor repeats one stage at most. Students
+    whose readiness cannot be scored are left out of the records and written to ``readiness_errors``; the ledger
+    gets their number and the ids of the first ``error_sample``.
     """
     spark = cohort.sparkSession
     run_id = sinks.start_run(spark, f"{out}/run_events", readiness.SOURCE, readiness.MODEL_VERSION)
     table = students.student_table(students.normalize_institution_id(cohort), records, enrollments)
     n_students = sinks.save_table(table, f"{out}/student_level")
     base = spark.read.parquet(f"{out}/student_level").drop("upload_timestamp")
-    models = models or train_all(base, compare, classifier)
+    models = models or train_all(base, compare)
     for trained in models.all():
         if trained.model is not None:
             kind = "regression" if "rmse" in trained.metrics else "classification"
@@ -52,9 +53,13 @@ def run(
     scored = spark.read.parquet(f"{out}/student_predictions").drop("upload_timestamp")
     joined = students.enrollments_with_predictions(enrollments, predictions(scored))
     n_rows = sinks.save_table(joined, f"{out}/course_predictions", partition_by=["academic_year"])
-    n_ready = sinks.save_table(readiness.readiness_records(scored, run_id), f"{out}/readiness")
+    good, bad = readiness.split_scorable(scored)
+    n_ready = sinks.save_table(readiness.readiness_records(good, run_id), f"{out}/readiness")
+    n_bad = sinks.save_table(bad.select("student_guid", "error"), f"{out}/readiness_errors")
+    failed = spark.read.parquet(f"{out}/readiness_errors").orderBy("student_guid").limit(error_sample)
+    sample = [f"{r['student_guid']}: {r['error']}" for r in failed.collect()]
     sinks.write_csv(dashboards.dashboard_extract(scored), f"{out}/dashboard_extract")
-    sinks.finish_run(spark, f"{out}/run_events", run_id, n_students, n_ready, n_students - n_ready, [])
+    sinks.finish_run(spark, f"{out}/run_events", run_id, n_students, n_ready, n_bad, sample)
     return RunResult(run_id, n_students, n_ready, n_rows)
 
 

@@ -45,7 +45,7 @@ def test_preprocessor_fills_with_medians_and_alphabetical_codes(spark):
     df = spark.createDataFrame([("a", 1.0, "z"), ("b", None, None), ("c", 4.0, "y")], "student_guid string, n double, t string")
     pre = models.Preprocessor.fit(df, ["n", "t"])
     assert pre.medians == {"n": 2.5}
-    got = {r.student_guid: list(r.features) for r in pre.transform(df, ["student_guid"]).collect()}
+    got = {r.student_guid: list(r.features) for r in pre.transform(df, ["student_guid"], ["n", "t"]).collect()}
     # Unknown < y < z
     assert got == {"a": [1.0, 2.0], "b": [2.5, 0.0], "c": [4.0, 1.0]}
 
@@ -65,9 +65,10 @@ def test_no_time_model_without_enough_completers(table):
     assert models.train_time_to_credential(table).model is None
 
 
-def test_every_student_is_scored(table):
+def test_every_student_is_scored(table, monkeypatch):
     forest = RandomForestClassifier(numTrees=5, maxDepth=3, seed=1)
-    trained = models.train_all(table.drop(*[c for c in table.columns if c.startswith("target_")]), compare=False, classifier=forest)
+    monkeypatch.setattr(models, "boosted_trees", lambda: forest)
+    trained = models.train_all(table.drop(*[c for c in table.columns if c.startswith("target_")]), compare=False)
     scored = models.score_all(table, trained).persist()
     assert scored.count() == N
     for c in ("retention_probability", "gateway_math_probability", "gateway_english_probability", "low_gpa_probability"):

@@ -260,12 +260,21 @@ for _metric, _given, _where in (
     )
 _LATEST = """SELECT id AS upload_id, filename AS upload_file, file_type AS upload_type FROM uploads
 WHERE file_type IN ('pdp_cohort_ar','pdp_cohort_submission','ml_predictions') ORDER BY uploaded_at DESC, id DESC LIMIT 1"""
+_STEPS = ", ".join(
+    "({}, '{}', '{}')".format(i, title.replace("'", "''"), detail.replace("'", "''"))
+    for i, (title, detail) in enumerate(
+        [*roster.SHARED_STEPS, roster.METRIC_STEPS["roster_cell"], ("Cohort", "Read from cohort.")], 1
+    )
+)
 register(
     "metric_provenance",
     lambda s, d: roster.metric_provenance(star.upload_history(s, d), "roster_cell", "cohort").select(
-        "metric", "step", "upload_id", "upload_file", "upload_type"
+        "metric", "step", "title", "detail", "upload_id", "upload_file", "upload_type"
+    ),
+    with_ctes(
+        ["uploads"],
+        f"SELECT 'roster_cell' AS metric, step, title, detail, u.* FROM (VALUES {_STEPS}) t(step, title, detail), ({_LATEST}) u",
     ),
-    with_ctes(["uploads"], f"SELECT 'roster_cell' AS metric, step, u.* FROM range(1,5) t(step), ({_LATEST}) u"),
 )
 
 # ------------------------------------------------------------------ privacy

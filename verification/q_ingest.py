@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tassel.operators import ingest, privacy
@@ -394,20 +395,24 @@ register(
 def _numbered(s, d):
     """Rows of a one-chunk-per-file export carry a sequence; the position must follow it in every file."""
     path = folder(s, "numbered")
-    orders = star.table(s, d, "orders").select("o_orderkey").repartition(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    orders = star.table(s, d, "orders").select("o_orderkey").repartition("o_orderkey").sortWithinPartitions("o_orderkey")
     sinks.write_csv(orders, path)
     rows = files.number_rows(files.read_text_table(s, path))
+    earlier = F.lag(F.col("o_orderkey").cast("long")).over(Window.partitionBy("file").orderBy("row_no"))
+    rows = rows.withColumn("in_order", F.coalesce(earlier < F.col("o_orderkey").cast("long"), F.lit(True)))
     ranked = rows.groupBy("file").agg(
+        F.bool_and("in_order").alias("in_order"),
         F.count("*").alias("n"), F.min("row_no").alias("lowest"), F.max("row_no").alias("highest"),
         F.count_distinct("row_no").alias("distinct_numbers"),
     )
     return ranked.agg(
         F.sum("n").alias("orders"),
         F.bool_and((F.col("lowest") == 1) & (F.col("highest") == F.col("n")) & (F.col("distinct_numbers") == F.col("n"))).alias("dense"),
+        F.bool_and("in_order").alias("in_order"),
     )
 
 
-register("number_rows", _numbered, "SELECT count(*) AS orders, true AS dense FROM orders")
+register("number_rows", _numbered, "SELECT count(*) AS orders, true AS dense, true AS in_order FROM orders")
 
 
 def _bronze_loaded(s, d):

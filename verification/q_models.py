@@ -1,7 +1,8 @@
-"""Splits, preprocessing, metrics (with SQL) and model training (rows only)."""
+"""Splits, preprocessing, metrics and model training."""
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tassel.operators import evaluate, ranks, scored, students
@@ -219,63 +220,145 @@ register(
     ),
 )
 
-# ------------------------------------------------------------------ training (no SQL counterpart)
+# ------------------------------------------------------------------ training
+# What a model must satisfy whatever it learned: every student is scored, values are in range, labels follow from
+# them, importances sum to 1 and measures are shares.
 
 
 def training_table(s, d):
-    return scored.with_targets(student_rows(s, d))
-
-
-def _metrics(s, trained):
-    rows = [(trained.name, k, float(v)) for k, v in trained.metrics.items() if v is not None]
-    return s.createDataFrame(rows, "model string, metric string, value double")
+    """The students with targets, written once: training passes over them many times."""
+    path = f"{checkpoint_dir(s)}/training-{uuid.uuid4().hex}"
+    rows = scored.with_targets(student_rows(s, d))
+    rows.write.parquet(path)
+    return s.read.schema(rows.schema).parquet(path)
+
+
+def _measures_hold(trained) -> bool:
+    shares = [v for k, v in trained.metrics.items() if k not in ("n", "rmse", "mae", "r2") and v is not None]
+    errors = [trained.metrics[k] for k in ("rmse", "mae") if k in trained.metrics]
+    return bool(trained.metrics) and all(0 <= v <= 1 for v in shares) and all(v >= 0 for v in errors)
+
+
+def _classified(s, d, train):
+    """Each student's probability of class 1 is in range and the prediction follows from it."""
+    rows = training_table(s, d)
+    trained = train(rows)
+    p = F.get(vector_to_array("probability"), 1)
+    top = F.array_max(vector_to_array("probability"))
+    chosen = F.get(vector_to_array("probability"), F.col("prediction").cast("int"))
+    return models.apply_model(trained, rows.drop("probability", "prediction")).select(
+        "student_guid",
+        p.between(0, 1).alias("in_range"),
+        (chosen == top).alias("follows"),
+        F.lit(round(sum(v for _, v in trained.importances), 6)).alias("importances"),
+        F.lit(_measures_hold(trained)).alias("measured"),
+    )
 
 
-def _importances(s, trained):
-    rows = [(i, n, float(v)) for i, (n, v) in enumerate(models.feature_importance_top(trained), 1)]
-    return s.createDataFrame(rows, "place int, feature string, importance double")
+def _regressed(s, d, train, target, low, high):
+    """Each student's prediction lies between the least and the greatest value learned from."""
+    rows = training_table(s, d)
+    trained = train(rows)
+    known = rows.filter(F.col(target).between(low, high)).agg(F.min(target).alias("_low"), F.max(target).alias("_high"))
+    out = models.apply_model(trained, rows.drop("probability", "prediction")).crossJoin(F.broadcast(known))  # one row
+    return out.select(
+        "student_guid",
+        F.col("prediction").between(F.col("_low") - 1e-9, F.col("_high") + 1e-9).alias("in_range"),
+        F.lit(round(sum(v for _, v in trained.importances), 6)).alias("importances"),
+        F.lit(_measures_hold(trained)).alias("measured"),
+    )
 
 
-register(
-    "train_retention_forest",
-    lambda s, d: _importances(
-        s,
-        models.train_classifier(
-            training_table(s, d), "Retention", "target_retention", models.RETENTION_FEATURES, models.simple_forest()
+_CLASSIFIED = with_ctes(
+    ["cohort_rows"],
+    "SELECT student_guid, true AS in_range, true AS follows, 1.0::DOUBLE AS importances, true AS measured FROM cohort_rows",
+)
+for _name, _train in (
+    (
+        "train_retention_forest",
+        lambda rows: models.train_classifier(
+            rows, "Retention", "target_retention", models.RETENTION_FEATURES, models.simple_forest()
         ),
     ),
+    ("train_gateway_math", models.train_gateway_math),
+    ("train_gateway_english", models.train_gateway_english),
+    ("train_low_gpa", models.train_low_gpa),
+    ("train_credential_type", models.train_credential_type),
+):
+    register(_name, lambda s, d, t=_train: _classified(s, d, t), _CLASSIFIED)
+_REGRESSED = with_ctes(
+    ["cohort_rows"],
+    "SELECT student_guid, true AS in_range, 1.0::DOUBLE AS importances, true AS measured FROM cohort_rows",
 )
 register(
-    "train_gateway_math",
-    lambda s, d: _metrics(
-        s, models.train_classifier(training_table(s, d), "Gateway Math", "target_gateway_math", models.GATEWAY_MATH_FEATURES)
+    "train_time_to_credential",
+    lambda s, d: _regressed(
+        s, d, lambda rows: models.train_time_to_credential(rows, minimum=0), "target_time_to_credential", 1e-9, 98.999
     ),
+    _REGRESSED,
 )
-register(
-    "train_time_to_credential", lambda s, d: _metrics(s, models.train_time_to_credential(training_table(s, d)))
-)
-register("train_gpa", lambda s, d: _metrics(s, models.train_gpa(training_table(s, d))))
-register("train_credential_type", lambda s, d: _metrics(s, models.train_credential_type(training_table(s, d))))
+register("train_gpa", lambda s, d: _regressed(s, d, models.train_gpa, "average_grade", 0.0, 4.0), _REGRESSED)
+
+
+def _compared(s, d, candidates=None):
+    """Every candidate is measured, the measures are shares, and the verdict follows from the gap."""
+    rows = s.createDataFrame(models.compare_models(training_table(s, d), candidates=candidates).comparison)
+    gap = F.col("train_auc") - F.col("test_auc")
+    verdict = F.when(gap < 0.05, "no overfitting").when(gap < 0.10, "minimal overfitting").otherwise("overfitting")
+    shares = [F.col(c).between(0, 1) for c in ("cv_auc", "cv_std", "train_auc", "test_auc")]
+    return rows.select(
+        "model", (shares[0] & shares[1] & shares[2] & shares[3]).alias("in_range"), (F.col("verdict") == verdict).alias("follows")
+    )
 
 
-def _compared(s, d):
-    """The two quicker candidates; boosted trees take minutes of local time for six fits."""
-    names = ["Logistic Regression", "Random Forest (Simple)"]
-    return s.createDataFrame(models.compare_models(training_table(s, d), candidates=names).comparison)
+_TWO = ["Logistic Regression", "Random Forest (Simple)"]
+_NAMED = "SELECT model, true AS in_range, true AS follows FROM (VALUES {0}) v(model) WHERE EXISTS (SELECT 1 FROM customer)"
+register(
+    "compare_logistic_and_forest",
+    lambda s, d: _compared(s, d, _TWO),
+    _NAMED.format(", ".join(f"('{x}')" for x in _TWO)),
+)
+register(
+    "compare_models",
+    _compared,
+    _NAMED.format(", ".join(f"('{x}')" for x in [*_TWO, "Boosted Trees (Regularized)"])),
+)
 
 
-register("compare_logistic_and_forest", _compared)
+SCORED_LABELS = ["risk_score", "at_risk_alert", "retention_risk_category", "gateway_math_risk", "gateway_english_risk", "academic_risk_level"]
 
 
 def _scoring_run(s, d):
-    """Train every model, score every student, write all tables, read the predictions back.
-
-    Forests stand in for the boosted trees, whose training is registered on its own."""
+    """Train every model with the comparison of all candidates, score every student, write all tables, read the
+    predictions back: each probability is in range and each label follows from it."""
     out = f"{checkpoint_dir(s)}/run-{uuid.uuid4().hex}"
     cohort = star.students(s, d)
     cohort = cohort.drop(*[c for c in cohort.columns if "probability" in c or "predict" in c or c.startswith("prob_")])
-    scoring_run.run(cohort, star.academic_records(s, d), enrollments(s, d), out, compare=False, classifier=models.simple_forest())
-    return scored.predictions(s.read.parquet(f"{out}/student_predictions"))
+    result = scoring_run.run(cohort, star.academic_records(s, d), enrollments(s, d), out)
+    rows = s.read.parquet(f"{out}/student_predictions")
+    chances = ["retention_probability", "gateway_math_probability", "gateway_english_probability", "low_gpa_probability"]
+    in_range = F.lit(True)
+    for c in [*chances, *models.CLASS_COLUMNS]:
+        in_range = in_range & F.col(f"a.{c}").between(0, 1)
+    again = scored.with_scores(rows.select(*[c for c in rows.columns if c not in SCORED_LABELS]))
+    labels = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in SCORED_LABELS if c in rows.columns]
+    follows = F.lit(True)
+    for test in labels:
+        follows = follows & test
+    both = rows.alias("a").join(again.alias("b"), "student_guid")
+    return both.select(
+        "student_guid",
+        in_range.alias("in_range"),
+        follows.alias("labels_follow"),
+        F.lit(result.students == result.readiness_records).alias("all_ready"),
+    )
 
 
-register("scoring_run", _scoring_run)
+register(
+    "scoring_run",
+    _scoring_run,
+    with_ctes(
+        ["cohort_rows"],
+        "SELECT student_guid, true AS in_range, true AS labels_follow, true AS all_ready FROM cohort_rows",
+    ),
+)

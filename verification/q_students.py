@@ -108,26 +108,22 @@ register(
 )
 
 
-def _spring(s, d):
-    return enrollments(s, d).filter("academic_term = 'SUMMER' and course_prefix = 'STA'")
-
-
 register(
     "students_without_courses",
-    lambda s, d: students.without_courses(star.students(s, d), _spring(s, d)).select("student_guid", "cohort"),
+    lambda s, d: students.without_courses(star.students(s, d), enrollments(s, d)).select("student_guid", "cohort"),
     with_ctes(
         ["cohort_rows", "enr"],
         """SELECT student_guid, cohort FROM cohort_rows c WHERE NOT EXISTS
- (SELECT 1 FROM enr e WHERE e.student_guid=c.student_guid AND academic_term='SUMMER' AND course_prefix='STA')""",
+ (SELECT 1 FROM enr e WHERE e.student_guid=c.student_guid)""",
     ),
 )
 register(
     "students_with_courses",
-    lambda s, d: students.with_courses(star.students(s, d), _spring(s, d)).select("student_guid", "cohort"),
+    lambda s, d: students.with_courses(star.students(s, d), enrollments(s, d)).select("student_guid", "cohort"),
     with_ctes(
         ["cohort_rows", "enr"],
         """SELECT student_guid, cohort FROM cohort_rows c WHERE EXISTS
- (SELECT 1 FROM enr e WHERE e.student_guid=c.student_guid AND academic_term='SUMMER' AND course_prefix='STA')""",
+ (SELECT 1 FROM enr e WHERE e.student_guid=c.student_guid)""",
     ),
 )
 register(
