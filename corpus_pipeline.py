@@ -22,7 +22,7 @@ CAPACITY = 2048
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; those without a letter, without text or of an unsure language go."""
     rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
-    found = op3_language.predict_languages(rows, keep=["row"])
+    found = op3_language.predict_languages(rows, keep=["row"], text="row.text")
     kept = found.filter((F.col("lang_pred") != op3_language.UNKNOWN) & (F.col("score") >= SURE))
     return kept.select("row.*")
 
@@ -34,8 +34,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in windows of benchmark items."""
-    rows = docs.select("text", F.struct("*").alias("row"))
-    found = op6_decontaminate.find_passages(rows, documents(spark, sf_dir, "benchmark"), ["row"])
+    rows = docs.select(F.struct("*").alias("row"))
+    found = op6_decontaminate.find_passages(rows, documents(spark, sf_dir, "benchmark"), ["row"], text="row.text")
     hit = op6_decontaminate.is_contaminated(op6_decontaminate.hit_words(), F.col("n_words"))
     return found.filter(~hit).select("row.*")
 

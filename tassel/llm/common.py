@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tassel.session import checkpoint_dir
 
+#: Rows in an Arrow batch: whole texts can be long, and a task holds a batch on both sides.
+BATCH_ROWS = 1000
 #: A slice of texts that numpy handles at once; one longer text makes a longer slice.
 SLICE_BYTES = 1 << 21
 
@@ -35,8 +38,12 @@ class Scratch:
 def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """``mapInArrow`` whose workers can import this package from where the driver has it.
 
-    On a cluster the package is installed or sent with the job; then the extra path does no harm.
+    On a cluster the package is installed or sent with the job; then the extra path does no harm. Batches are
+    held to ``BATCH_ROWS`` rows (a setting of the session, lowered but never raised).
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     settings = df.sparkSession.sparkContext.environment
     paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -49,6 +56,18 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_beside(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` and, unless one of them holds it, the column ``text`` (a name or ``column.field``)."""
+    return docs.select(*keep) if text.split(".")[0] in keep else docs.select(*keep, text)
+
+
+def text_in(batch: pa.RecordBatch, text: str) -> pa.Array:
+    """The texts of a batch of :func:`text_beside`."""
+    name, _, field = text.partition(".")
+    column = batch.column(name)
+    return pc.struct_field(column, field) if field else column
+
+
 # ---------------------------------------------------------------------------------------------- texts in numpy
 
 

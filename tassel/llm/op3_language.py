@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, in_arrow, text_slices
+from .common import SLICE_BYTES, in_arrow, text_beside, text_in, text_slices
 
 #: Expected number of labelled rows that a language's tree is counted from; whole texts, drawn by hash.
 ROWS_PER_LANGUAGE = 1000
@@ -179,7 +179,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score`` of every whole text.
 
     The language whose tree gives the shortest code wins, ties by name; the score is its share among equally
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = text_in(batch, text)
             has = pc.fill_null(pc.match_substring_regex(texts, LETTER), False).to_numpy(zero_copy_only=False)
             names, value = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if own is not None and has.any():
@@ -207,14 +207,18 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                 names = np.where(has, np.array(own.languages, object)[best], names)
                 value = np.where(has, share, value)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"]
+                [*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"]
             )
 
-    # text last, under a name of its own, so that ``keep`` may hold it too
-    return in_arrow(docs.select(*keep, F.col("text").alias("_text_")), score, schema)
+    return in_arrow(text_beside(docs, keep, text), score, schema)
 
 
-def predict_languages(docs: DataFrame, keep: list[str] | None = None, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
+def predict_languages(
+    docs: DataFrame,
+    keep: list[str] | None = None,
+    rows_per_language: int = ROWS_PER_LANGUAGE,
+    text: str = "text",
+) -> DataFrame:
     """Learns from the labelled rows of ``docs`` that are not held out and predicts all rows.
 
     Held out: crc32 of doc_id as text, modulo 4, is 2 (a null doc_id is not held out). Needs doc_id, text, lang.
@@ -222,5 +226,5 @@ def predict_languages(docs: DataFrame, keep: list[str] | None = None, rows_per_l
     model = train(docs.filter(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), rows_per_language)
     columns = keep or ["doc_id"]
     marked = docs.withColumn("_held_", is_held_out(F.col("doc_id")))
-    out = identify(marked, model, [*columns, "_held_"])
+    out = identify(marked, model, [*columns, "_held_"], text)
     return out.withColumnRenamed("_held_", "held_out")

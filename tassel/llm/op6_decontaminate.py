@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import in_arrow, text_slices, word_hashes
+from .common import in_arrow, text_beside, text_in, text_slices, word_hashes
 
 WINDOW = 13
 #: Bytes of text in a shard; each gets an index of its own.
@@ -219,7 +219,9 @@ def _lists(owner: np.ndarray, n: int) -> pa.Array:
     return pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
 
 
-def _search_block(docs: DataFrame, keep: list[str], items: list[tuple[str, str]], window: int, shard_bytes: int) -> DataFrame:
+def _search_block(
+    docs: DataFrame, keep: list[str], text: str, items: list[tuple[str, str]], window: int, shard_bytes: int
+) -> DataFrame:
     phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
     schema = StructType(
         [docs.schema[c] for c in keep]
@@ -230,22 +232,21 @@ def _search_block(docs: DataFrame, keep: list[str], items: list[tuple[str, str]]
         own = phrases.value
         labels = np.array(own.labels, object)
         for batch in batches:
-            for first, end, raw, offsets in text_slices(batch.column(batch.num_columns - 1), shard_bytes):
+            for first, end, raw, offsets in text_slices(text_in(batch, text), shard_bytes):
                 n = end - first
-                n_words, (text, a, b), (owner, item) = shard_hits(raw, offsets, own)
+                n_words, (of, a, b), (owner, item) = shard_hits(raw, offsets, own)
                 span = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["start", "end"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[c.slice(first, n) for c in batch.columns[:-1]],
+                        *[batch.column(c).slice(first, n) for c in keep],
                         pa.array(n_words, pa.int64()),
-                        pa.ListArray.from_arrays(_lists(text, n), span),
+                        pa.ListArray.from_arrays(_lists(of, n), span),
                         pa.ListArray.from_arrays(_lists(owner, n), pa.array(labels[item] if len(item) else [], pa.string())),
                     ],
-                    schema=None,
                     names=[*keep, "n_words", "spans", "items"],
                 )
 
-    return in_arrow(docs.select(*keep, F.col("text").alias("_text_")), search, schema)
+    return in_arrow(text_beside(docs, keep, text), search, schema)
 
 
 def merged(spans: Column) -> Column:
@@ -268,6 +269,7 @@ def find_passages(
     window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES,
     item_block: int = ITEM_BLOCK,
+    text: str = "text",
 ) -> DataFrame:
     """``keep`` with n_words, spans (word positions, end exclusive, merged) and items (sorted ids as text).
 
@@ -285,9 +287,9 @@ def find_passages(
     first = next(blocks, [])
     second = next(blocks, None)
     if second is None:
-        return _search_block(docs, keep, first, window, shard_bytes)
+        return _search_block(docs, keep, text, first, window, shard_bytes)
     rows = docs.withColumn("_row_", F.monotonically_increasing_id())
-    parts = [_search_block(rows, [*keep, "_row_"], b, window, shard_bytes) for b in (first, second, *blocks)]
+    parts = [_search_block(rows, [*keep, "_row_"], text, b, window, shard_bytes) for b in (first, second, *blocks)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionAll(p)

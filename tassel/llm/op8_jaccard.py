@@ -22,6 +22,9 @@ TOLERANCE = 1e-6
 BLOCK_UNITS = 512
 BLOCK_GRAMS = 1 << 20
 STREAM_ROWS = 8192
+#: Members of sets laid out as bits at once, and pairs compared at once.
+BITS = 1 << 14
+PAIRS = 500_000
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,10 +147,10 @@ def _near(least: dict[int, int]):
         values = _values(table.column("short").combine_chunks(), "<u2", BANDS * ROWS)
         ends = np.append(starts[1:], len(unit))
         first = 0
-        while first < len(starts):  # as many groups as make about a million pairs
+        while first < len(starts):  # as many groups as make about PAIRS pairs
             last = first + 1
             pairs = (ends[first] - starts[first]) ** 2
-            while last < len(starts) and pairs + (ends[last] - starts[last]) ** 2 < 2_000_000:
+            while last < len(starts) and pairs + (ends[last] - starts[last]) ** 2 < 2 * PAIRS:
                 pairs += (ends[last] - starts[last]) ** 2
                 last += 1
             s = slice(int(starts[first]), int(ends[last - 1]))
@@ -181,21 +184,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shared members of the pairs: sets as rows of bits over all members."""
+    """Shared members of the pairs: sets as rows of bits over all members, ``BITS`` members at a time."""
     members, at = np.unique(np.concatenate(sets), return_inverse=True)
-    width = (len(members) + 63) // 64
-    bits = np.zeros((len(sets), width * 8), np.uint8)
-    start = 0
-    for i, s in enumerate(sets):
-        row = np.zeros(width * 64, np.uint8)
-        row[at[start : start + len(s)]] = 1
-        bits[i] = np.packbits(row)
-        start += len(s)
-    words = bits.view(np.uint64)
-    out = np.empty(len(a), np.int64)
-    step = max(1, (1 << 20) // max(1, width))
-    for s in range(0, len(a), step):
-        out[s : s + step] = np.bitwise_count(words[a[s : s + step]] & words[b[s : s + step]]).sum(axis=1, dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros(len(a), np.int64)
+    for low in range(0, len(members), BITS):
+        inside = slice(*np.searchsorted(at, (low, low + BITS)))
+        width = min(BITS, (len(members) - low + 63) // 64 * 64)
+        rows = np.zeros((len(sets), width), np.uint8)
+        rows[owner[inside], at[inside] - low] = 1
+        words = np.packbits(rows, axis=1).view(np.uint64)
+        step = max(1, (1 << 19) // (width // 64))
+        for s in range(0, len(a), step):
+            both = words[a[s : s + step]] & words[b[s : s + step]]
+            out[s : s + step] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -234,7 +238,7 @@ def _verify(least: dict[int, int]):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from whole_groups(batches, ["group", "_i", "_j"], 2048, work)
+        yield from whole_groups(batches, ["group", "_i", "_j"], 512, work)
 
     return run
 
