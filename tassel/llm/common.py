@@ -16,7 +16,7 @@ from tassel.session import checkpoint_dir
 #: Rows in an Arrow batch: whole texts can be long, and a task holds a batch on both sides.
 BATCH_ROWS = 1000
 #: A slice of texts that numpy handles at once; one longer text makes a longer slice.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 class Scratch:

@@ -146,7 +146,7 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def total_codes(model: Model, texts: pa.Array) -> np.ndarray:
     """Whole code length of every padded text under every language."""
     a, out = np.int32(model.symbols), np.zeros((len(texts), len(model.languages)), np.int64)
-    for first, end, raw, offsets in text_slices(texts, SLICE_BYTES // 4):
+    for first, end, raw, offsets in text_slices(texts, SLICE_BYTES // 2):
         s = model.symbol[raw].astype(np.int32)
         place = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
         costs = np.take(model.codes, np.take(model.context, place) * a + s[3:], axis=0)

@@ -17,8 +17,8 @@ from .common import Scratch, in_arrow
 
 CAPACITY = 2048
 END_ID = 1
-#: Cached pieces of text a worker; the cache starts anew beyond it.
-CACHE = 600_000
+#: Pieces of text a worker remembers that it has met twice, and those it has met once; a set that is full starts anew.
+KNOWN, FRESH = 250_000, 150_000
 #: A lone comma or full stop after a letter is a part of its own for the tokenizer, too.
 _LONE = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])[.,](?=\\s|\\Z)")
 #: White space on which Python and the tokenizer may differ: such a text is encoded as a whole.
@@ -30,7 +30,8 @@ class Encoder:
     """Token ids of whole texts as 32-bit bytes, little-endian on every machine Spark runs on here.
 
     The tokenizer lowers the text, cuts at white space and drops it, so a text's ids are those of its parts
-    between white space; each part is encoded by the tokenizer once and then looked up.
+    between white space; parts met before are looked up. Most different parts come once only, so a part is kept
+    for long from its second text on.
     """
 
     def __init__(self, path: str):
@@ -39,6 +40,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.known: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -48,12 +50,22 @@ class Encoder:
             return self._bytes(text)
         if "\u03a3" not in text:  # the one letter whose lower form depends on its place
             text = _LONE.sub(r" \g<0>", text.lower())
-        parts, known = text.split(), self.known
-        if len(known) > CACHE:
+        parts, known, fresh = text.split(), self.known, self.fresh
+        if len(known) > KNOWN:
             known.clear()
+        if len(fresh) > FRESH:
+            fresh.clear()
+        once = []
         for new in set(parts).difference(known):
-            known[new] = self._bytes(new)
-        return b"".join(map(known.__getitem__, parts))
+            found = fresh.pop(new, None)
+            if found is None:
+                found = self._bytes(new)
+                once.append(new)
+            known[new] = found
+        ids = b"".join(map(known.__getitem__, parts))
+        for new in once:
+            fresh[new] = known.pop(new)
+        return ids
 
 
 _encoders: dict[str, Encoder] = {}
