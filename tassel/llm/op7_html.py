@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import unescape
 
 import pyarrow as pa
@@ -44,9 +44,15 @@ MARKS = (
     "related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar topbar widget widgets"
 )
+#: Beginnings and ends of a name that tell a state or a topic, not what the element is: has-sidebar, category-ads, comments-open.
+STATES = "no not non has have with without category tag type format status overflow layout"
+ENDS = "open closed none off enabled disabled layout"
+#: Names of a discussion; its articles are never the page's main one.
+THREADS = "comment comments comment-list commentlist comments-area comment-body reply replies respond disqus_thread"
 #: A header is a page's only outside an article.
 PAGE_HEADER = "header"
 _RAW, _BLOCK, _OUTSIDE, _HOLDERS, _MARKS = (frozenset(x.split()) for x in (RAW, BLOCK, OUTSIDE, HOLDERS, MARKS))
+_STATES, _ENDS, _THREADS = (frozenset(x.split()) for x in (STATES, ENDS, THREADS))
 _CONTAINERS = frozenset("article aside body details dialog div fieldset figure footer form header html head li main menu nav ol p section span table td tr ul".split())
 _STOP = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 
@@ -57,9 +63,8 @@ _TOKEN = re.compile(
     rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LEGAL = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b|\ball rights reserved\b", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -73,29 +78,60 @@ class Block:
     region: int  # number of the article it stands in; 0 outside any
     heading: bool
     label: bool | None = field(default=None)  # text or not; None while undecided
+    marks: tuple[int, ...] = ()  # numbers of the marked elements it stands in
 
 
-def is_marked(rest: str) -> bool:
-    """A class, id or role names something that is not the text, or the element is hidden."""
-    for m in _NAMED.finditer(rest):
-        if not _MARKS.isdisjoint(p.lower() for p in _PARTS.findall(m[1] or m[2] or m[3] or "")):
+def attributes(rest: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_hidden(found: dict[str, str]) -> bool:
+    """Not shown: by the attribute itself or by its style."""
+    return ("hidden" in found and found["hidden"].lower() != "false") or bool(_UNSEEN.search(found.get("style", "")))
+
+
+def names(found: dict[str, str]) -> list[str]:
+    return [x for a in ("class", "id", "role") if a in found for x in found[a].split()]
+
+
+def is_marked(found: dict[str, str]) -> bool:
+    """A class, id or role names something that is not the text, or readers are told to pass it over."""
+    for name in names(found):
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if _MARKS.isdisjoint(parts) or ":" in name:
+            continue
+        if len(parts) == 1 or not (parts[0] in _STATES or parts[-1] in _ENDS):
             return True
-    return bool(_HIDDEN.search(rest))
+    return found.get("aria-hidden", "").lower() == "true"
+
+
+def is_thread(found: dict[str, str]) -> bool:
+    return not _THREADS.isdisjoint(x.lower() for x in names(found))
 
 
 def blocks(html: str) -> list[Block]:
-    """The page cut at block elements, in order; white space is one space, references are decoded."""
+    """The page cut at block elements, in order; white space is one space, references are decoded.
+
+    A mark counts neither on an article nor on an element that holds the page's longest article; a discussion's
+    articles are none.
+    """
     out: list[Block] = []
     pieces: list[str] = []
     linked, link_depth, heading, regions = 0, 0, False, 0
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, outside, article
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = [("", False, 0, ())]  # element, outside, article, marks
+    n_marks, threads = 0, set()
+    holders: dict[int, tuple[int, ...]] = {}  # article -> marked elements around it
 
     def end_block() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, linked, stack[-1][1], stack[-1][2], heading))
+                out.append(Block(text, linked, stack[-1][1], stack[-1][2], heading, marks=stack[-1][3]))
             pieces.clear()
         linked = 0
 
@@ -129,20 +165,39 @@ def blocks(html: str) -> list[Block]:
                         end_block()
                     del stack[i:]
                     break
-        elif tag in ("p", "li", "span", "td", "tr"):
-            if rest and is_marked(rest):  # these are often left open: only marked ones are followed
-                end_block()
-                stack.append((tag, True, stack[-1][2]))
         else:
-            _, outside, region = stack[-1]
-            if tag in _HOLDERS and not outside:
-                regions += 1
-                region = regions
-            if tag in _OUTSIDE or (tag == PAGE_HEADER and not region) or (rest and tag not in ("html", "body") and is_marked(rest)):
+            found = attributes(rest) if rest and tag not in ("html", "body") else {}
+            hidden, marked = is_hidden(found), is_marked(found)
+            thread = is_thread(found)
+            _, outside, region, marks = stack[-1]
+            if tag in ("p", "li", "span", "td", "tr"):
+                if not (hidden or marked):  # these are often left open: only marked ones are followed
+                    continue
+                end_block()
+            elif tag in _HOLDERS:
+                marked = thread
+                if not outside:
+                    regions += 1
+                    region = regions
+                    if not thread and threads.isdisjoint(marks):
+                        holders[region] = marks
+            if marked:
+                n_marks += 1
+                marks = (*marks, n_marks)
+                if thread:
+                    threads.add(n_marks)
+            if hidden or tag in _OUTSIDE or (tag == PAGE_HEADER and not region):
                 outside = True
-            stack.append((tag, outside, region))
+            stack.append((tag, outside, region, marks))
     pieces.append(html[at:])
     end_block()
+    sizes = dict.fromkeys(holders, 0)
+    for b in out:
+        if not b.outside and b.region in sizes:
+            sizes[b.region] += len(b.text)
+    free = set(holders[max(sizes, key=sizes.get)]) if sizes else set()
+    for b in out:
+        b.marks = tuple(x for x in b.marks if x not in free)
     return out
 
 
@@ -202,13 +257,34 @@ def second_pass(found: list[Block]) -> None:
                 b.label = bool(b.region) or not (inside or any_text)
 
 
-def main_text(html: str) -> str:
-    found = blocks(html)
+def decide(found: list[Block], marks: bool) -> bool:
+    """Labels every block, with or without the marks; whether any is running text or an article's text."""
+    for b in found:
+        if b.marks and marks:
+            b.outside = True
+        if b.outside:
+            b.region = 0
     for b in found:
         b.label = first_pass(b)
+    running = any(b.label for b in found)
     second_pass(found)
-    # blocks outside all articles are not the text of a page that has an article with text
-    if any(b.label and b.region for b in found):
+    return running or any(b.label and b.region for b in found)
+
+
+def main_text(html: str) -> str:
+    found = blocks(html)
+    if any(b.marks and not b.outside for b in found):
+        plain = [replace(b) for b in found]
+        # marks on all that is running text are names of the page's own text
+        if not decide(found, True):
+            others = sum(len(b.text) for b in found if b.label)
+            if decide(plain, False) and sum(len(b.text) for b in plain if b.marks and first_pass(b)) > others:
+                found = plain
+    else:
+        decide(found, False)
+    # blocks outside all articles are not the text of a page whose articles hold most of the text
+    within = sum(len(b.text) for b in found if b.label and b.region)
+    if 2 * within > sum(len(b.text) for b in found if b.label):
         found = [b for b in found if b.region]
     return "\n".join(b.text for b in found if b.label)
 

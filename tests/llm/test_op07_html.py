@@ -49,6 +49,42 @@ def test_article_without_stop_words_is_whole():
     assert op.main_text(PAGE % f"<article>{body}</article>") == "\n".join("xyz " * (n - 1) + "xyz" for n in (1, 40, 300))
 
 
+LINE = "This is the text of the page and it is of use to all of the readers that we have."
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'div style="overflow:hidden"', 'div data-x="hidden"', 'div title="not hidden"', 'div style="backface-visibility:hidden"',
+        'div class="content has-sidebar"', 'div class="no-sidebar"', 'div class="overflow-hidden"', 'div data-class="sidebar"',
+        'article class="post category-ads"', 'main class="widget"', 'div id="comments-open"', 'div class="page-widget-text"',
+    ],
+)
+def test_loose_marks(tag):
+    name = tag.split()[0]
+    assert op.main_text(f"<{tag}><p>{LINE}</p></{name}>") == LINE
+    assert op.main_text(f"<{tag}><article><p>{LINE}</p></article></{name}>") == LINE
+    assert op.main_text(f"<p>Short</p><{tag}><article><p>{LINE}</p><p>End</p></article></{name}>") == f"{LINE}\nEnd"
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div style='display: none'", 'article hidden=""', 'div class="sidebar"', 'section id="comments"', 'div aria-hidden="true"'])
+def test_marked_beside_the_text(tag):
+    marked = f"<{tag}><p>It is {LINE}</p></{tag.split()[0]}>"
+    for page in (f"<div><p>{LINE}</p></div>{marked}", f"<article><p>{LINE}</p>{marked}</article>", f"{marked}<article><p>{LINE}</p></article>"):
+        assert op.main_text(page) == LINE
+
+
+def test_wrapper_of_the_longest_article():
+    teaser = '<section class="related"><article><p>It is one of the other texts that we have.</p></article></section>'
+    thread = f'<ol class="comment-list"><li class="comment"><article class="comment-body"><p>{LINE * 5}</p></article></li></ol>'
+    assert op.main_text(f'<div class="sidebar-left"><article><p>{LINE}</p></article>{teaser}{thread}</div>') == LINE
+
+
+def test_text_beside_short_articles():
+    cards = "<article><h3>Other</h3><p>It is one of the other texts that we have.</p></article>" * 2
+    assert op.main_text(f"<div><p>{LINE}</p><p>{LINE * 3}</p></div>{cards}").startswith(f"{LINE}\n{LINE * 3}")
+
+
 def test_long_block_is_not_cut():
     long = "the word and " * 50_000
     assert op.main_text(f"<article><p>{long}</p></article>") == long.strip()
