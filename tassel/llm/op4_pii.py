@@ -16,11 +16,43 @@ EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 IP = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+#: Length of an IBAN -> countries; others are taken at any length.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Groups of four behind country and check digits, a space before each or not."""
+    known = "|".join(" ".join(IBANS.values()).split())
+    sized = [
+        f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+        for n, c in IBANS.items()
+    ]
+    return rf"\b(?:{'|'.join(sized)}|(?!{known})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b"
+
+
+IBAN = _iban_pattern()
+#: Card numbers as they are written, longest first, and those in any groups.
+CARDS = [rf"\b\d{{4}}{x}\d{{4}}{x}\d{{4}}{x}\d{{4}}{x}\d{{3}}\b" for x in " -"]
+CARDS += [rf"\b\d{{4}}{x}\d{{4}}{x}\d{{4}}{x}\d{{4}}\b" for x in " -"]
+CARDS += [rf"\b\d{{4}}{x}\d{{6}}{x}\d{{{n}}}\b" for n in (5, 4) for x in " -"] + [r"\b\d{13,19}\b"]
 CARD = r"\b\d(?:[ \-]?\d){12,18}\b"
+#: All that stands together from 13 digits on, and an IBAN with the digits behind it; no part of a mail address.
+_NO_MAIL = r"(?![A-Za-z0-9._%+\-]*@)"
+RUN = rf"\b(?=\d(?:[ .\-/]*\d){{12}})\d[\d .\-/]*\d\b{_NO_MAIL}"
+IBAN_RUN = rf"{IBAN}(?:[ .\-/][\d .\-/]*\d\b|){_NO_MAIL}"
 PHONE = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\b\d{3}[ .\-])\d{3}[ .\-]\d{4}\b|\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}\b"
 SECRET = r"""\b(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_\-]?[Kk]ey) ?[:=] ?["']?[A-Za-z0-9_\-/+]{8,}"""
-ANY = "|".join((EMAIL, SECRET, IP, DATE, SSN, IBAN, CARD, PHONE))
+PLAIN_PHONE = r"\b\d{3}[ .\-]\d{3}[ .\-]\d{4}\b"
+ANY = "|".join((EMAIL, SECRET, RUN, IBAN_RUN, IP, DATE, SSN, PHONE))
+#: What may stand inside such a run, in the order in which it is tried at each of its words.
+INSIDE = [("iban", IBAN), *(("card", x) for x in CARDS), ("ip", IP), ("date", DATE), ("ssn", SSN), ("phone", PLAIN_PHONE)]
+#: Words of a run that one of them has at most, and the fewest characters of a run.
+INSIDE_WORDS, LEAST_RUN = 9, 13
 #: Every value holds one of these.
 HINT = "[0-9@=:]"
 
@@ -249,7 +281,7 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """Kind of a matched value; null for one that is not valid, which stays as it is."""
+    """Kind of a matched value; null for one that is not valid as a whole."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(whole(EMAIL), "email")
@@ -258,11 +290,76 @@ def kind_of(m: Column) -> Column:
         .when(whole(DATE), F.when(date_valid(m), F.lit("date")))
         .when(whole(SSN), F.when(ssn_valid(m), F.lit("ssn")))
         .when(whole(IBAN), F.when(iban_valid(m), F.lit("iban")))
-        .when(whole(CARD) & luhn(m), "card")
+        .when(whole("|".join(CARDS)) & luhn(m), "card")
         .when(whole(PHONE), "phone")
     )
 
 
+PIECES = "array<struct<b:string,m:string,k:string>>"
+VALID = {"iban": iban_valid, "card": luhn, "ip": ip_valid, "date": date_valid, "ssn": ssn_valid}
+
+
+def _let(value: Column, function) -> Column:
+    """``function`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), function), 0)
+
+
+def _piece(before: Column, m: Column, kind: Column) -> Column:
+    return F.struct(before.alias("b"), m.alias("m"), kind.cast("string").alias("k"))
+
+
+def _first_valid(window: Column) -> Column:
+    """The first kind of ``INSIDE`` with a valid value at the beginning of the text; null if there is none."""
+    tried = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_extract(window, f"^(?:{p})", 0).alias("m")) for k, p in INSIDE])
+
+    def valid(x: Column) -> Column:
+        return (x["m"] != "") & reduce(lambda out, k: out.when(x["k"] == k, VALID[k](x["m"])), VALID, F.when(F.lit(False), F.lit(True))).otherwise(True)
+
+    return F.get(F.filter(tried, valid), 0)
+
+
+def _loose_cards(p: Column) -> Column:
+    """A piece whose text before may hold card numbers in groups of any size."""
+    gaps, found = F.split(p["b"], CARD, -1), F.regexp_extract_all(p["b"], F.lit(CARD), F.lit(0))
+    cards = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda b, m: _piece(b, m, F.when(luhn(m), F.lit("card"))))
+    rest = F.array(_piece(F.element_at(gaps, -1), p["m"], p["k"]))
+    return F.when(p["b"].rlike(CARD), F.concat(cards, rest).cast(PIECES)).otherwise(F.array(p).cast(PIECES))
+
+
+def inside(run: Column) -> Column:
+    """Pieces (text before, value, kind) of a run: at each word in turn the first valid kind, which may begin inside
+    of what is not valid, then card numbers in any groups between them."""
+    hits_kind = "array<struct<i:int,n:int,m:string,k:string>>"
+
+    def at(words: Column, i: Column) -> Column:
+        window = F.array_join(F.slice(words, i + 1, F.lit(INSIDE_WORDS)), "")
+        return F.struct(i.alias("i"), _let(window, _first_valid).alias("x"))
+
+    def taken(s: Column, c: Column) -> Column:
+        n = F.size(F.split(c["x"]["m"], "[^A-Z0-9]+"))
+        hit = F.struct(c["i"].alias("i"), n.alias("n"), c["x"]["m"].alias("m"), c["x"]["k"].alias("k"))
+        longer = F.struct((c["i"] + n).alias("next"), F.concat(s["hits"], F.array(hit)).cast(hits_kind).alias("hits"))
+        return F.when(c["x"].isNotNull() & (c["i"] >= s["next"]), longer).otherwise(s)
+
+    def hits(words: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.array().cast(hits_kind).alias("hits"))
+        return F.aggregate(F.transform(words, lambda _, i: at(words, i)), start, taken, lambda s: s["hits"])
+
+    def pieces(words: Column, found: Column) -> Column:
+        def before(j: Column, end: Column) -> Column:
+            last = F.get(found, j - 1)
+            first = F.coalesce(last["i"] + last["n"], F.lit(0))
+            gap = F.regexp_extract(F.get(words, first - 1), "[^A-Z0-9]*$", 0)
+            return F.concat(F.coalesce(gap, F.lit("")), F.array_join(F.slice(words, first + 1, end - first), ""))
+
+        parts = F.transform(found, lambda h, j: _piece(before(j, h["i"]), h["m"], h["k"]))
+        rest = F.array(_piece(before(F.size(found), F.size(words)), F.lit(""), F.lit(None)))
+        return F.flatten(F.transform(F.concat(parts, rest), _loose_cards))
+
+    words = F.regexp_extract_all(run, F.lit("[A-Z0-9]+[^A-Z0-9]*"), F.lit(0))
+    return _let(words, lambda w: _let(hits(w), lambda h: pieces(w, h)))
+
+
 MAKERS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "card": _card, "phone": _phone}
 
 
@@ -277,7 +374,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     Values: card numbers (Luhn), IBANs (mod 97), social security numbers, IP addresses, dates, phone numbers,
     e-mail addresses and values after password or token names. The same value gives the same pseudonym in every
     document whatever its spacing, under one ``key`` (kept by the caller); lengths and formats stay, except that
-    an IP address may change its length. Values that fail their check are left. ``start`` counts code points of the new text from 0. A null text stays null
+    an IP address may change its length. Values that fail their check are left, but what is valid inside of them or
+    beside them is found (see :func:`inside`). ``start`` counts code points of the new text from 0. A null text stays null
     with no values. Other columns stay; rows are independent, so skew, order and repeats do not matter.
     """
     kind = "array<struct<kind:string,start:int,value:string>>"
@@ -287,17 +385,21 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(column).alias("old"))
     guarded = F.when(F.col("old").rlike(HINT), F.regexp_extract_all("old", F.lit(ANY), F.lit(0)))
     found = rows.withColumn("found", F.when(F.size(guarded) > 0, guarded))
-    named = F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    found = found.withColumn("named", named)
-    made = F.transform("named", lambda x: F.struct(x["k"].alias("kind"), pseudonym(x["m"], x["k"], key).alias("value")))
     between = F.when(F.col("found").isNotNull(), F.split("old", ANY, -1))
-    cut = found.withColumns({"made": made, "between": between})
-    pieces = F.zip_with(
-        "between",
-        "made",
-        lambda b, x: F.struct(b.alias("b"), x["kind"].alias("kind"), F.coalesce(x["value"], F.lit("")).alias("value")),
+    named = F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    cut = found.withColumns({"named": named, "between": between})
+    whole = F.zip_with("between", "named", lambda b, x: _piece(b, F.coalesce(x["m"], F.lit("")), x["k"]))
+
+    def searched(p: Column) -> Column:
+        again = p["k"].isNull() & (F.length(p["m"]) >= LEAST_RUN)
+        first = F.array(_piece(p["b"], F.lit(""), F.lit(None)))
+        return F.when(again, F.concat(first, inside(p["m"])).cast(PIECES)).otherwise(F.array(p).cast(PIECES))
+
+    cut = cut.withColumn("whole", whole).withColumn("parts", F.flatten(F.transform("whole", searched)))
+    made = F.transform(
+        "parts", lambda p: F.struct(p["b"].alias("b"), p["k"].alias("kind"), pseudonym(p["m"], p["k"], key).alias("value"))
     )
-    cut = cut.withColumn("pieces", pieces)
+    cut = cut.withColumn("pieces", made)
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["b"], p["value"])), "")
 
     def start(i: Column) -> Column:
