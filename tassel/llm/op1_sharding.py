@@ -61,10 +61,11 @@ def range_shards(rows: DataFrame, n_shards: int, ranges_per_shard: int = RANGES_
     parts = n_shards * ranges_per_shard
     sample = _draw(rows, parts * SAMPLES_PER_RANGE / total) if n else []
     bounds = _quantiles(sample, parts) if sample else []
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
+        # the last turn only totals, so that the totals are those of the last boundaries
         sums = rows.groupBy(_range_of(bounds).alias("_range")).agg(F.sum("size"), F.count("*"), F.min("_key"), F.max("_key"), F.min("_tie"), F.max("_tie")).collect()
         over = [r for r in sums if r[1] > 2 * total / parts and r[2] > 1 and (r[3], r[5]) != (r[4], r[6])]
-        if not over:
+        if not over or turn == ROUNDS:
             break
         again = _draw(
             rows.filter(_range_of(bounds).isin([r[0] for r in over])), parts * SAMPLES_PER_RANGE * 2 / total
@@ -82,6 +83,8 @@ def range_shards(rows: DataFrame, n_shards: int, ranges_per_shard: int = RANGES_
     for r in sorted(sums, key=lambda r: r[0]):
         table.append((r[0], bytes_before, rows_before))
         bytes_before, rows_before = bytes_before + r[1], rows_before + r[2]
+    if n and (bytes_before, rows_before) != (total, n):
+        raise RuntimeError(f"ranges hold {rows_before} rows of {bytes_before} bytes, the table {n} of {total}")
     offsets = spark.createDataFrame(table, "_r int, _bytes long, _rows long")
     # one row for each range
     placed = rows.withColumn("_range", _range_of(bounds)).join(

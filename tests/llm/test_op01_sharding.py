@@ -59,6 +59,15 @@ def test_hot_text_is_cut(spark):
     assert len({r.shard for r in out if r.doc_id % 3}) > 8
 
 
+def test_ranges_still_cut_in_the_last_round(spark, monkeypatch):
+    draw = op._draw
+    monkeypatch.setattr(op, "_draw", lambda rows, rate: draw(rows, rate)[1:3])
+    rows = [(i, f"text {i} " * (1 + i % 7)) for i in range(500)]
+    out = op.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    check(out, 4)
+    assert sorted(r.doc_id for r in out) == list(range(500))
+
+
 @pytest.mark.parametrize("parts", [2, 7])
 def test_quantiles(parts):
     sample = [((f"{i:03d}", i), 1 + i % 3) for i in range(100)]
