@@ -15,14 +15,14 @@ ROUNDS = 4
 FINE = 16
 
 
-def _draw(rows: DataFrame, rate: float) -> list[tuple[tuple[str, int], int]]:
+def _draw(rows: DataFrame, rate: float) -> list[tuple[tuple[str, int, int], int]]:
     """Keys drawn with a chance of size x rate, sorted, with how often each counts."""
-    u = F.pmod(F.xxhash64("_key", "_tie"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = rows.filter(u < F.col("size") * rate).select("_key", "_tie", "size").collect()
-    return sorted(((r[0], r[1]), max(1, round(r[2] * rate))) for r in drawn)
+    u = F.pmod(F.xxhash64("_key", "_tie", "_nth"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = rows.filter(u < F.col("size") * rate).select("_key", "_tie", "_nth", "size").collect()
+    return sorted(((r[0], r[1], r[2]), max(1, round(r[3] * rate))) for r in drawn)
 
 
-def _quantiles(sample: list, parts: int) -> list[tuple[str, int]]:
+def _quantiles(sample: list, parts: int) -> list[tuple]:
     total, seen, out = sum(w for _, w in sample), 0, []
     for key, weight in sample:
         if seen * parts // total != (seen + weight) * parts // total and (not out or out[-1] != key):
@@ -31,12 +31,12 @@ def _quantiles(sample: list, parts: int) -> list[tuple[str, int]]:
     return out[:-1] if out and out[-1] == sample[-1][0] else out
 
 
-def _range_of(bounds: list[tuple[str, int]]) -> Column:
+def _range_of(bounds: list[tuple[str, int, int]]) -> Column:
     """Number of boundaries at or below the key, in two short steps rather than one long one."""
     if not bounds:
         return F.coalesce(F.length("_key") * 0, F.lit(0))
-    quoted = [f"struct('{k}' as _key, {t}L as _tie)" for k, t in bounds]
-    key = F.struct("_key", "_tie")
+    quoted = [f"struct('{k}' as _key, {t}L as _tie, {n}L as _nth)" for k, t, n in bounds]
+    key = F.struct("_key", "_tie", "_nth")
     groups = [quoted[i : i + FINE] for i in range(0, len(quoted), FINE)]
     heads = F.expr("array(" + ", ".join(g[0] for g in groups) + ")")
     table = F.expr("array(" + ", ".join("array(" + ", ".join(g) + ")" for g in groups) + ")")
@@ -46,14 +46,15 @@ def _range_of(bounds: list[tuple[str, int]]) -> Column:
 
 
 def range_shards(rows: DataFrame, n_shards: int, ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to rows with ``_key`` (text), ``_tie`` (long, no null) and ``size`` (long, from 1).
+    """Adds ``shard`` and ``slot`` to rows with ``_key`` (text), ``_tie`` (long, no null), ``_nth`` (long, one of its own
+    for each row, the same at each reading) and ``size`` (long, from 1).
 
     Draws about ``SAMPLES_PER_RANGE`` keys for each of ``n_shards * ranges_per_shard`` ranges, each key with a
     chance in proportion to its size, takes weighted quantiles as boundaries and totals the ranges. A range over
-    twice its due is sampled again and cut (``ROUNDS`` times at most; equal keys stay in one range). Byte
+    twice its due is sampled again and cut (``ROUNDS`` times at most). Byte
     positions are then exact: ranges are totalled before, and a window runs inside each range only, so a shard
     ends at the row whose middle crosses its share. Sizes differ from equal shares by at most one row's size.
-    Rows with equal (_key, _tie) take adjacent slots in any order. An empty table gives no rows.
+    Rows with equal (_key, _tie) take adjacent slots in the order of _nth and may be cut between any two. An empty table gives no rows.
     """
     spark = rows.sparkSession
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
@@ -63,15 +64,15 @@ def range_shards(rows: DataFrame, n_shards: int, ranges_per_shard: int = RANGES_
     bounds = _quantiles(sample, parts) if sample else []
     for turn in range(ROUNDS + 1):
         # the last turn only totals, so that the totals are those of the last boundaries
-        sums = rows.groupBy(_range_of(bounds).alias("_range")).agg(F.sum("size"), F.count("*"), F.min("_key"), F.max("_key"), F.min("_tie"), F.max("_tie")).collect()
-        over = [r for r in sums if r[1] > 2 * total / parts and r[2] > 1 and (r[3], r[5]) != (r[4], r[6])]
+        sums = rows.groupBy(_range_of(bounds).alias("_range")).agg(F.sum("size"), F.count("*")).collect()
+        over = [r for r in sums if r[1] > 2 * total / parts and r[2] > 1]
         if not over or turn == ROUNDS:
             break
         again = _draw(
             rows.filter(_range_of(bounds).isin([r[0] for r in over])), parts * SAMPLES_PER_RANGE * 2 / total
         )
-        edges = [("", 0)] + bounds
-        more: list[tuple[str, int]] = []
+        edges = [("", 0, 0)] + bounds
+        more: list[tuple[str, int, int]] = []
         for r in over:
             inside = [(k, w) for k, w in again if bisect_right(bounds, k) == r[0]]
             if inside:
@@ -90,7 +91,7 @@ def range_shards(rows: DataFrame, n_shards: int, ranges_per_shard: int = RANGES_
     placed = rows.withColumn("_range", _range_of(bounds)).join(
         F.broadcast(offsets), F.col("_range") == F.col("_r")
     )
-    inside = Window.partitionBy("_range").orderBy("_key", "_tie")
+    inside = Window.partitionBy("_range").orderBy("_key", "_tie", "_nth")
     end = F.col("_bytes") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumns({"_end": end, "_row": F.col("_rows") + F.row_number().over(inside) - 1})
     middle = F.expr(f"(2 * _end - size) * {n_shards} div (2 * {total}L)")
@@ -105,7 +106,7 @@ def range_shards(rows: DataFrame, n_shards: int, ranges_per_shard: int = RANGES_
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document, with shards of nearly equal bytes.
 
-    The key is (md5 of the text, doc_id): equal texts are neighbours, so they share a shard unless a boundary
+    The key is (md5 of the text, doc_id, a number of the row): equal texts are neighbours, so they share a shard unless a boundary
     falls between them, and a text that many documents share is cut by doc_id. A null text has no bytes (size 1,
     CRC 0); a null doc_id sorts first; repeated rows each get a slot. Other columns are not carried.
     """
@@ -116,6 +117,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("_key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("_tie"),
+        F.monotonically_increasing_id().alias("_nth"),
     )
     slim = Scratch(docs.sparkSession, "shard-keys").table(slim)
-    return range_shards(slim, n_shards).drop("_key", "_tie")
+    return range_shards(slim, n_shards).drop("_key", "_tie", "_nth")

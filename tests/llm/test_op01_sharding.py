@@ -68,6 +68,16 @@ def test_ranges_still_cut_in_the_last_round(spark, monkeypatch):
     assert sorted(r.doc_id for r in out) == list(range(500))
 
 
+def test_repeated_rows_are_drawn_and_cut(spark, monkeypatch):
+    draw, range_of, drawn, bounds = op._draw, op._range_of, [], []
+    monkeypatch.setattr(op, "_draw", lambda rows, rate: drawn.append(draw(rows, rate)) or drawn[-1])
+    monkeypatch.setattr(op, "_range_of", lambda b: bounds.append(len(b)) or range_of(b))
+    rows = [(None, "the same text")] * 3000
+    out = op.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    check(out, 2)
+    assert len(out) == 3000 and 0 < len(drawn[0]) < 2000 and bounds[-1] >= 16
+
+
 @pytest.mark.parametrize("parts", [2, 7])
 def test_quantiles(parts):
     sample = [((f"{i:03d}", i), 1 + i % 3) for i in range(100)]
