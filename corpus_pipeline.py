@@ -20,7 +20,11 @@ CAPACITY = 2048
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; those without a letter, without text or of an unsure language go."""
+    """Documents without a letter or without text go, and short ones between languages.
+
+    The score is the best language's share for the whole text, practically 1 from a few dozen bytes on: junk with
+    letters and texts in a language never learned stay, under the learned language nearest to them.
+    """
     rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
     found = op3_language.predict_languages(rows, keep=["row"], text="row.text")
     kept = found.filter((F.col("lang_pred") != op3_language.UNKNOWN) & (F.col("score") >= SURE))
