@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats
+from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats, op11_lines
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,32 @@ def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("spans", lambda s: s["start"]).alias("starts"),
         F.transform("spans", lambda s: s["end"]).alias("ends"),
     )
+
+
+@query
+def op11_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three documents or more have, but for the last of them."""
+    out = op11_lines.drop_common_lines(documents(spark, sf_dir), ["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op11_common_lines"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775807 - 1) AS id,
+    string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), l AS (
+  SELECT r, id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs)
+), common AS (
+  SELECT key, max(id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT id) >= 3
+), marked AS (
+  SELECT r, i, line, coalesce(l.id <> common.keeper, false) AS gone FROM l LEFT JOIN common ON l.key = common.key
+), joined AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY r
+)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM docs JOIN joined USING (r)
+"""
