@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats, op11_lines
+from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats, op11_lines, op12_whitening
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,10 @@ WITH docs AS (
 )
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM docs JOIN joined USING (r)
 """
+
+
+@query
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 8 principal components of all vectors, whitened."""
+    rows = documents(spark, sf_dir, "embeddings")
+    return op12_whitening.whiten(rows, op12_whitening.fit_whitening(rows))
