@@ -56,25 +56,25 @@ class Whitening:
         return (self.centred(x) @ self.components.T) * scale
 
 
-def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id and the vector as doubles, of rows whose vector and components are all there and finite."""
-    v = F.transform(vector_column, lambda c: c.cast("double"))
-    fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    kept = rows.filter(F.col(vector_column).isNotNull() & fine)
-    return kept.select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
+def vectors_of(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    return rows.filter(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
 
 
 def matrices(batch: pa.RecordBatch, scale: float, offset: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, integer vectors) of the rows of each length but 0."""
+    """(row numbers, integer vectors) of the rows of each length but 0 whose components are all there and finite."""
     vectors = batch.column(1)
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null becomes NaN
     ends = np.cumsum(lengths)
     for d in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == d)
+        own = values[(ends[at] - d)[:, None] + np.arange(d)]
+        fine = np.isfinite(own).all(axis=1)
+        if not fine.any():
+            continue
         with np.errstate(over="ignore"):
-            scaled = np.floor(scale * values[(ends[at] - d)[:, None] + np.arange(d)])
-        yield at, np.clip(scaled, -HELD, HELD).astype(np.int64) + offset
+            scaled = np.floor(scale * own[fine])
+        yield at[fine], np.clip(scaled, -HELD, HELD).astype(np.int64) + offset
 
 
 def sums(data: DataFrame, scale: float, offset: int) -> dict[int, Whitening]:
@@ -197,7 +197,7 @@ def fit_whitening(
 
     A component's largest entry is positive. Without variance (none, or beyond rounding) it has variance 0.
     """
-    data = usable(rows, id_column, vector_column)
+    data = vectors_of(rows, id_column, vector_column)
     fits = sums(data, scale, offset)
     for turn in range(rounds if fits else 0):
         of = {d: (lambda x, fit=fit: orthogonal(x, fit)) for d, fit in fits.items()}
@@ -278,4 +278,4 @@ def whiten(
                     names=schema.fieldNames(),
                 )
 
-    return in_arrow(usable(rows, id_column, vector_column), project, schema)
+    return in_arrow(vectors_of(rows, id_column, vector_column), project, schema)

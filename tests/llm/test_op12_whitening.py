@@ -75,7 +75,7 @@ def test_equals_brute_force(spark):
 
 def test_rows_that_take_no_part_and_rows_that_do(spark):
     rows = vectors(50, 3, 2)
-    rows += [(60, None), (61, [1.0, None, 0.0]), (62, [float("nan")] * 3), (63, [0.0, float("inf"), 0.0]), (64, [])]
+    rows += [(60, None), (61, [1.0, None, 0.0]), (62, [float("nan")] * 3), (63, [0.0, float("inf"), 0.0]), (64, []), (65, [float("nan"), 1.0])]
     rows += [(None, [0.5, 0.25, 0.125]), (7, [0.1, 0.2, 0.3]), (7, [0.1, 0.2, 0.3])]
     got = run(spark, rows)
     assert {r.vec_id for r in got} == {None, *range(50)} and {r.component for r in got} == {1, 2, 3}
