@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats, op11_lines, op12_whitening
+from . import op1_sharding, op2_search, op3_language, op4_pii, op5_licenses, op6_decontaminate, op7_html, op8_jaccard, op9_packing, op10_repeats, op11_lines, op12_whitening, op13_ranking
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,35 @@ def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the first 8 principal components of all vectors, whitened."""
     rows = documents(spark, sf_dir, "embeddings")
     return op12_whitening.whiten(rows, op12_whitening.fit_whitening(rows))
+
+
+@query
+def op13_shared_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return op13_ranking.rank_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_shared_ranking"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text="text")} AS w FROM documents
+), sized AS (
+  SELECT r, doc_id, w, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0
+), total AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized
+), found AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM sized) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM found, total GROUP BY term
+), items AS (
+  SELECT DISTINCT item_id, unnest({WORDS_SQL.format(text="text")}) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM items JOIN found USING (term) JOIN weights USING (term) JOIN sized USING (r), total GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
