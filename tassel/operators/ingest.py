@@ -332,7 +332,11 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: str = "r
     Only columns the batch carries change; the last row of a key wins. A batch without other columns
     adds new keys and leaves known ones alone. Null keys never match, as in a database.
     """
-    new = last_per_key(batch.dropna(subset=keys), keys, order).drop(order)
+    return merge_rows(target, last_per_key(batch.dropna(subset=keys), keys, order).drop(order), keys)
+
+
+def merge_rows(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The target with the rows of ``new``, one a key, inserted or written over those of the same key."""
     carried = [c for c in new.columns if c not in keys]
     t, n = target.alias("t"), new.withColumn("_new", F.lit(True)).alias("n")
     on = [F.col(f"t.{k}") == F.col(f"n.{k}") for k in keys]

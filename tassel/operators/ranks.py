@@ -15,6 +15,14 @@ STEP = 32
 RANGES = STEP * STEP  # ranges of about equal numbers of distinct values
 
 
+def last_at_most(bounds: Column, value: Column, most: int) -> Column:
+    """Place (from 0) of the last of up to ``most`` ascending bounds that is not above the value, by halving; the first
+    bound is taken to lie below every value."""
+    steps = [1 << s for s in reversed(range(max(1, (most - 1).bit_length())))]
+    step = lambda at, s: F.when(F.get(bounds, at + s) <= value, at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
 def hash_row_numbers(df: DataFrame, key: str, by: list[str] | None = None, seed: str = "") -> DataFrame:
     """Adds ``row_no`` (1-based, by md5 of seed and key, then key) and ``row_total`` per ``by`` group.
 
