@@ -40,7 +40,7 @@ def run(
     run_id = sinks.start_run(spark, f"{out}/run_events", readiness.SOURCE, readiness.MODEL_VERSION)
     table = students.student_table(students.normalize_institution_id(cohort), records, enrollments)
     n_students = sinks.save_table(table, f"{out}/student_level")
-    base = spark.read.parquet(f"{out}/student_level").drop("upload_timestamp")
+    base = sinks.read_table(spark, f"{out}/student_level").drop("upload_timestamp")
     models = models or train_all(base, compare)
     for trained in models.all():
         if trained.model is not None:
@@ -50,13 +50,13 @@ def run(
         sinks.write_csv(spark.createDataFrame(models.retention.comparison), f"{out}/model_comparison")
 
     sinks.save_table(score_all(base, models), f"{out}/student_predictions", expected=n_students)
-    scored = spark.read.parquet(f"{out}/student_predictions").drop("upload_timestamp")
+    scored = sinks.read_table(spark, f"{out}/student_predictions").drop("upload_timestamp")
     joined = students.enrollments_with_predictions(enrollments, predictions(scored))
     n_rows = sinks.save_table(joined, f"{out}/course_predictions", partition_by=["academic_year"])
     good, bad = readiness.split_scorable(scored)
     n_ready = sinks.save_table(readiness.readiness_records(good, run_id), f"{out}/readiness")
     n_bad = sinks.save_table(bad.select("student_guid", "error"), f"{out}/readiness_errors")
-    failed = spark.read.parquet(f"{out}/readiness_errors").orderBy("student_guid").limit(error_sample)
+    failed = sinks.read_table(spark, f"{out}/readiness_errors").orderBy("student_guid").limit(error_sample)
     sample = [f"{r['student_guid']}: {r['error']}" for r in failed.collect()]
     sinks.write_csv(dashboards.dashboard_extract(scored), f"{out}/dashboard_extract")
     sinks.finish_run(spark, f"{out}/run_events", run_id, n_students, n_ready, n_bad, sample)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import bronze_rows
+from .snapshots import SnapshotTable
 
 
 def save_table(
@@ -18,32 +19,29 @@ def save_table(
     mode: str = "overwrite",
     partition_by: list[str] | None = None,
     expected: int | None = None,
+    keep: int = 2,
 ) -> int:
     """Write with an upload timestamp; ``mode`` is overwrite, append or error. Returns the rows added.
 
-    The count comes from the written files' footers, so the input is computed once. With
-    ``expected`` a different count is an error.
+    The table is one of versions (``snapshots``) and shows the new rows at once, when all are written and counted; a job
+    that fails, or a count other than ``expected``, leaves it as it was. The count comes from the files' footers, so
+    the input is computed once. Files that only versions before the newest ``keep`` have are deleted.
     """
-    spark = df.sparkSession
-    before = spark.read.parquet(path).count() if mode == "append" and _exists(spark, path) else 0
-    writer = df.withColumn("upload_timestamp", F.current_timestamp()).write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    added = spark.read.parquet(path).count() - before
-    if expected is not None and added != expected:
-        raise RuntimeError(f"{path}: expected {expected} rows, found {added}")
+    table = SnapshotTable(df.sparkSession, path)
+    if mode not in ("overwrite", "append", "error"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "error" and table.versions():
+        raise FileExistsError(path)
+    stamped = df.withColumn("upload_timestamp", F.current_timestamp())
+    write = table.append if mode == "append" else table.overwrite
+    added = write(stamped, partition_by=partition_by or [], expected=expected).rows
+    table.expire(keep)
     return added
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table of ``save_table``."""
+    return SnapshotTable(spark, path).read()
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -44,12 +44,13 @@ class TableChanged(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """What one write did: the files of the version before that it replaced and left, and those it added."""
+    """What one write did: the files of the version before that it replaced and left, those it added and their rows."""
 
     version: int
     replaced: int
     left: int
     added: int
+    rows: int = 0
 
 
 class SnapshotTable:
@@ -159,7 +160,7 @@ class SnapshotTable:
             files = [self._add(df, state["partition_by"])]
         self._expect(files, expected)
         replaced = len(self.files(before["version"])) if before else 0
-        return self._commit(state, files, replaced, 0, len(files))
+        return self._commit(state, files, replaced, 0, files)
 
     def append(self, df: DataFrame, partition_by: Iterable[str] = (), expected: int | None = None, tries: int = 5) -> Change:
         """A version with the rows of ``df`` added to a table without keys; the rows are written once, and listed
@@ -175,7 +176,7 @@ class SnapshotTable:
             state = self.state()
             before = [(r.path, r.rows) for r in self.files(state["version"])]
             try:
-                return self._commit(state, [*before, added], 0, len(before), 1)
+                return self._commit(state, [*before, added], 0, len(before), [added])
             except TableChanged:
                 if turn == tries - 1:
                     raise
@@ -224,7 +225,7 @@ class SnapshotTable:
         return out
 
     def _commit(
-        self, state: dict, files: list[tuple], replaced: int, left: int, added: int, applied: dict | None = None
+        self, state: dict, files: list[tuple], replaced: int, left: int, added: list[tuple], applied: dict | None = None
     ) -> Change:
         schema = StructType.fromJson(json.loads(state["schema"]))
         keys = StructType([StructField(k, schema[k].dataType) for k in state["keys"]])
@@ -238,7 +239,7 @@ class SnapshotTable:
                 "applied": state["applied"] | (applied or {}),
             }
         )
-        return Change(version, replaced, left, added)
+        return Change(version, replaced, left, len(added), sum(r[1] for r in added))
 
     # ------------------------------------------------------------ upserts
 
@@ -296,7 +297,7 @@ class SnapshotTable:
         listed: list[tuple] = [] if files else by_owner[0]
         for f in files:
             listed += by_owner.get(f.place, [(f.path, f.rows, f.low, f.first, f.last)])
-        added = sum(map(len, by_owner.values()))
+        added = [entry for entries in by_owner.values() for entry in entries]
         return self._commit(state, listed, len(replaced), len(files) - len(replaced), added, applied)
 
     # ------------------------------------------------------------ clean-up

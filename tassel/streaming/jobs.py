@@ -19,6 +19,7 @@ from ..operators.ingest import map_columns as map_headers_of
 from ..operators.ingest import upsert as upsert_rows
 from ..sources.files import audit_entries, dense_positions, with_chunks
 from ..sources.layouts import Layout
+from ..sources.snapshots import SnapshotTable
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day", day: str = "1 day") -> DataFrame:
@@ -117,17 +118,20 @@ def ingest_batch(batch: DataFrame, batch_id: int, layout: Layout, out: str, comp
     """
     held = batch.persist()
     try:
-        rows = dense_positions(held)
-        mapped = [(h, c) for h, c in map_headers_of([c for c in batch.columns if c not in ("file", "chunk")], layout) if c]
-        typed = rows.select("file", "row_no", *[F.nullif(F.col(f"`{h}`"), F.lit("")).alias(c) for h, c in mapped])
-        marked = with_errors(recode_values(typed, layout), layout)
-        marked.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        checked_rows(held, layout).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
     finally:
         held.unpersist()
     if compact_every and (batch_id + 1) % compact_every == 0:
         compact(batch.sparkSession, layout, out, batch_id)
 
 
+def checked_rows(batch: DataFrame, layout: Layout) -> DataFrame:
+    """Raw text rows with file and chunk as the layout's columns, recoded, with file, row_no and the first error."""
+    mapped = [(h, c) for h, c in map_headers_of([c for c in batch.columns if c not in ("file", "chunk")], layout) if c]
+    values = [F.nullif(F.col(f"`{h}`"), F.lit("")).alias(c) for h, c in mapped]
+    return with_errors(recode_values(dense_positions(batch).select("file", "row_no", *values), layout), layout)
+
+
 def with_errors(rows: DataFrame, layout: Layout) -> DataFrame:
     """All rows with the column and the message of their first error, or nulls (the rules of validate_required)."""
     ordered = [c for c in layout.columns if c in layout.required and c in rows.columns]
@@ -149,6 +153,38 @@ def file_drop_ingest(stream: DataFrame, layout: Layout, out: str, compact_every:
     query.awaitTermination()
 
 
+def upsert_batch(batch: DataFrame, batch_id: int, layout: Layout, table: SnapshotTable, out: str) -> None:
+    """Write one micro-batch of raw text rows into a table with keys; rejected rows go to a folder of the batch.
+
+    The last row of a key by file and position wins. The table remembers the last batch of this inbox, so a batch
+    that is repeated after a failure changes nothing.
+    """
+    held = batch.persist()
+    try:
+        marked = checked_rows(held, layout).persist()
+        bad = marked.filter(F.col("error").isNotNull())
+        bad.select("file", "row_no", "error_column", "error").write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
+        good = marked.filter(F.col("error").isNull()).withColumn("_order", F.struct("file", "row_no"))
+        table.upsert(good, order="_order", applied={out: batch_id})
+        marked.unpersist()
+    finally:
+        held.unpersist()
+
+
+def file_drop_upserts(stream: DataFrame, layout: Layout, table: SnapshotTable, out: str) -> None:
+    """Upsert all files that have arrived (from ``stream_text_files``) into ``table``, micro-batch by micro-batch, and stop.
+
+    Each batch rewrites the files that own its keys and shows as one version of the table.
+    """
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(lambda batch, batch_id: upsert_batch(batch, batch_id, layout, table, out))
+        .start()
+    )
+    query.awaitTermination()
+
+
 def ingest_errors(spark: SparkSession, out: str) -> DataFrame:
     """file, row, column and message of every rejected row so far."""
     bad = spark.read.parquet(f"{out}/rows").filter(F.col("error").isNotNull())
@@ -214,7 +250,13 @@ def stream_audit_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stream_text_files(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """Stream of headed CSV files as text columns, with the file and chunk each row came from."""
+def stream_text_files(spark: SparkSession, folder: str, columns: list[str], files_a_batch: int | None = None) -> DataFrame:
+    """Stream of headed CSV files as text columns, with the file and chunk each row came from.
+
+    Files come by their time; ``files_a_batch`` limits how many make a micro-batch.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return with_chunks(spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(folder))
+    reader = spark.readStream.schema(schema).option("header", True).option("escape", '"')
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return with_chunks(reader.csv(folder))

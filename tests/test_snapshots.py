@@ -139,7 +139,7 @@ def test_of_two_writers_one_loses(spark, table):
     files = [(f.path, f.rows, f.low, f.first, f.last) for f in table.files()]
     table.upsert(people(spark, [9]).withColumn("row_no", F.lit(1)))
     with pytest.raises(TableChanged):
-        table._commit(state, files, 0, 1, 0)
+        table._commit(state, files, 0, 1, [])
     assert table.read().count() == 6
 
 

@@ -1,8 +1,11 @@
 """Streaming jobs: late data, repeats, restarts."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tassel.sources.layouts import BY_ID
+from tassel.sources.snapshots import SnapshotTable
 from tassel.streaming import jobs
 
 LAYOUT = BY_ID["ml_predictions"]
@@ -52,6 +55,35 @@ def test_compaction_and_upsert(spark, tmp_path):
     assert got[0][2] == "x" and got[1][2] is None
 
 
+def test_files_upserted_one_a_batch(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    table = SnapshotTable(spark, str(tmp_path / "table"))
+    known = [(f"k{i:03d}", "old", "0", None, f"note {i}") for i in range(100)]
+    columns = "student_guid string, prediction_type string, prediction_value string, confidence_score string, note string"
+    table.overwrite(spark.createDataFrame(known, columns), keys=["student_guid"], file_rows=10)
+    files = len(table.files())
+
+    def ingest():
+        jobs.file_drop_upserts(jobs.stream_text_files(spark, str(inbox), HEADER, files_a_batch=1), LAYOUT, table, out)
+
+    drop_file(inbox, "1.csv", [("k001", "risk", "0.1", "1"), ("k001", "risk", "0.2", "1"), ("", "risk", "0.3", "1")])
+    drop_file(inbox, "2.csv", [("k050", "risk", "0.4", ""), ("new", "risk", "0.5", "1")])
+    os.utime(inbox / "1.csv", (1, 1))
+    drop_file(inbox, "3.csv", [("k001", "risk", "0.6", "1")])
+    os.utime(inbox / "2.csv", (2, 2))
+    ingest()
+    assert table.versions() == [1, 2, 3, 4]  # a version for each file
+    got = {r.student_guid: r for r in table.read().collect()}
+    assert len(got) == 101 and got["k001"].prediction_value == "0.6" and got["k001"].note == "note 1"
+    assert got["k050"].confidence_score is None and got["new"].note is None and got["k002"].prediction_type == "old"
+    kept = {f.path for f in table.files(1)} & {f.path for f in table.files()}
+    assert len(kept) >= files - 3
+    bad = spark.read.parquet(f"{out}/errors").collect()
+    assert [(r.row_no, r.error) for r in bad] == [(3, "Empty required field: student_guid")]
+    ingest()  # nothing new
+    assert table.versions() == [1, 2, 3, 4]
+
+
 def test_open_windows_are_in_the_update_table(spark, tmp_path):
     source, base = str(tmp_path / "events"), str(tmp_path / "job")
     for i in range(3):

@@ -335,7 +335,7 @@ def _scoring_run(s, d):
     cohort = star.students(s, d)
     cohort = cohort.drop(*[c for c in cohort.columns if "probability" in c or "predict" in c or c.startswith("prob_")])
     result = scoring_run.run(cohort, star.academic_records(s, d), enrollments(s, d), out)
-    rows = s.read.parquet(f"{out}/student_predictions")
+    rows = sinks.read_table(s, f"{out}/student_predictions")
     chances = ["retention_probability", "gateway_math_probability", "gateway_english_probability", "low_gpa_probability"]
     in_range = F.lit(True)
     for c in [*chances, *models.CLASS_COLUMNS]:

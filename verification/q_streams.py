@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tassel.session import checkpoint_dir
 from tassel.sources import sinks, star
 from tassel.sources.layouts import BY_ID
+from tassel.sources.snapshots import SnapshotTable
 from tassel.streaming import jobs
 
 from .base_sql import DFWI, PASS, pct, with_ctes
@@ -126,23 +127,44 @@ def _without_repeats(s, d):
 register("stream_without_repeats", _without_repeats, "SELECT event_type AS viz_type, count(*) AS n FROM events GROUP BY 1")
 
 
-DROP_FILES = 6
+DROP_TURNS, FILES_A_TURN = 3, 2
+DROP_LAYOUT = BY_ID["pdp_cohort_submission"]
 
 
-def _dropped_files(s, d):
-    """Submission rows written as several files in row order, ingested a file at a time by the streaming job with a
-    compaction on the way, then upserted into a table that knows some of the students."""
-    base = _folder(s, "drop")
+def _drop_files(s, d, base):
+    """Submission rows as files in their order: a turn holds a range of positions, a file a turn's rows of some students.
+    The stream takes one file a micro-batch."""
     raw = star.submissions(s, d).withColumnRenamed("row_no", "position")
-    ranged = raw.repartitionByRange(DROP_FILES, "position").sortWithinPartitions("position")
-    sinks.write_csv(ranged.drop("position"), f"{base}/in")
-    columns = [c for c in raw.columns if c != "position"]
-    layout = BY_ID["pdp_cohort_submission"]
-    stream = jobs.stream_text_files(s, f"{base}/in", columns)
-    jobs.file_drop_ingest(stream, layout, f"{base}/out", compact_every=1)
+    bounds = raw.select(F.percentile_approx("position", [i / DROP_TURNS for i in range(1, DROP_TURNS)], 1000)).first()[0]
+    student = next(c for c in raw.columns if c.lower().replace(" ", "_") in ("student_id", "student_guid"))
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = raw.filter(F.col("position") >= low) if low is not None else raw
+        part = part.filter(F.col("position") < high) if high is not None else part
+        dealt = part.repartition(FILES_A_TURN, student).sortWithinPartitions("position")
+        sinks.write_csv(dealt.drop("position"), f"{base}/in", mode="append")
+    return jobs.stream_text_files(s, f"{base}/in", [c for c in raw.columns if c != "position"], files_a_batch=1)
+
+
+def _known(s, d):
     names = ["student_guid", "cohort", "enrollment_type", "math_placement", "school"]
-    known = star.students(s, d).filter("substring(student_guid, 12, 1) in ('1', '4')").select(*names)
-    return jobs.upserted(known, layout, f"{base}/out")
+    return star.students(s, d).filter("substring(student_guid, 12, 1) in ('1', '4')").select(*names)
+
+
+def _dropped_files(s, d):
+    """Files ingested one a micro-batch with compactions on the way, then upserted into a table that knows some of the
+    students."""
+    base = _folder(s, "drop")
+    jobs.file_drop_ingest(_drop_files(s, d, base), DROP_LAYOUT, f"{base}/out", compact_every=4)
+    return jobs.upserted(_known(s, d), DROP_LAYOUT, f"{base}/out")
+
+
+def _dropped_upserts(s, d):
+    """The same files upserted one a micro-batch into a stored table, each time into the files of its students only."""
+    base, known = _folder(s, "drop"), _known(s, d)
+    table = SnapshotTable(s, f"{base}/table")
+    table.overwrite(known, keys=["student_guid"], file_rows=max(100, known.count() // 32))
+    jobs.file_drop_upserts(_drop_files(s, d, base), DROP_LAYOUT, table, f"{base}/out")
+    return table.read()
 
 
 def _dropped_sql() -> str:
@@ -163,3 +185,4 @@ FROM known k FULL JOIN newest n ON k.student_guid=n.student_guid""",
 
 
 register("file_drop_ingest", _dropped_files, _dropped_sql())
+register("file_drop_upsert", _dropped_upserts, _dropped_sql())
