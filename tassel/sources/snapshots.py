@@ -3,8 +3,8 @@
 A table is a folder::
 
     data/snapshot_write=<name>/...   what one write added, never changed afterwards
-    files/<name>                     the list of files (or whole writes) that make up one version
-    versions/<number>                the pointer: which list, the schema, the keys
+    files/<name>                     the list of files that make up one version of a table with keys
+    versions/<number>                the pointer: which list (without keys: which writes), the schema, the keys
 
 A write that fails leaves files that no pointer names, so readers go on with the version before. A pointer is put in
 place by a rename that does not replace, so of two writers who start from one version the second fails with
@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -77,7 +77,11 @@ class SnapshotTable:
             version = max(self.versions(), default=None)
         if version is None:
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{version:012d}", wholetext=True).first()[0])
+        source = self._file_system().open(self._at("versions", f"{version:012d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
     def _publish(self, state: dict) -> None:
         jvm, fs = self.spark._jvm, self._file_system()
@@ -95,22 +99,23 @@ class SnapshotTable:
                 raise
             raise TableChanged(f"{self.path}: version {state['version']} was published by another writer") from err
 
-    def _listed(self, state: dict) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/files/{state['files']}")
-
     def _list(self, rows: list[tuple], keys: StructType) -> str:
-        """Writes the list of files: path, rows and, with keys, low (null for the first), first and last."""
+        """Writes the list of a table with keys: path, rows, low (null for the first), first and last."""
         name = uuid.uuid4().hex
         fields = [StructField("place", IntegerType()), StructField("path", StringType()), StructField("rows", LongType())]
-        fields += [StructField(c, keys) for c in ("low", "first", "last")] if keys else []
+        fields += [StructField(c, keys) for c in ("low", "first", "last")]
         numbered = [(i, *r) for i, r in enumerate(rows)]
         self.spark.createDataFrame(numbered, StructType(fields)).coalesce(1).write.parquet(f"{self.path}/files/{name}")
         return name
 
-    def files(self, version: int | None = None) -> list:
-        """The list of a version's files, by key; as long as the list that Spark's reader needs on the driver."""
+    def files(self, version: int | None = None) -> list[Row]:
+        """The files of a version by key, or its whole writes; as long as the list that Spark's reader needs on the driver."""
         state = self.state(version)
-        return [] if state is None else self._listed(state).orderBy("place").collect()
+        if state is None:
+            return []
+        if not state["keys"]:
+            return [Row(path=path, rows=rows) for path, rows in state["writes"]]
+        return self.spark.read.parquet(f"{self.path}/files/{state['files']}").orderBy("place").collect()
 
     # ------------------------------------------------------------ reading
 
@@ -182,14 +187,14 @@ class SnapshotTable:
                     raise
         raise AssertionError
 
-    def _add(self, df: DataFrame, partition_by: list[str]) -> tuple[str, int]:
+    def _add(self, df: DataFrame, partition_by: list[str], counted: bool = True) -> tuple[str, int]:
         _refuse_own_names(df)
         name = f"snapshot_write=w{uuid.uuid4().hex}"
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path}/data/{name}")
-        return name, self.spark.read.schema(StructType([])).parquet(f"{self.path}/data/{name}").count()
+        return name, self.spark.read.schema(StructType([])).parquet(f"{self.path}/data/{name}").count() if counted else 0
 
     def _expect(self, files: list[tuple], expected: int | None) -> None:
         found = sum(r[1] for r in files)
@@ -234,8 +239,8 @@ class SnapshotTable:
             state
             | {
                 "version": version,
-                "files": self._list(files, keys),
-                "rows": sum(r[1] for r in files),
+                "files": self._list(files, keys) if state["keys"] else None,
+                "writes": None if state["keys"] else files,
                 "applied": state["applied"] | (applied or {}),
             }
         )
@@ -306,13 +311,16 @@ class SnapshotTable:
         """Forget all but the newest ``keep`` versions and delete the files that only they used; the number deleted."""
         known = self.versions()
         kept, gone = known[-keep:], known[:-keep]
+        if not gone:
+            return 0
         needed = {r.path for v in kept for r in self.files(v)}
         old = {r.path for v in gone for r in self.files(v)} - needed
         fs = self._file_system()
         for v in gone:
             name = self.state(v)["files"]
             fs.delete(self._at("versions", f"{v:012d}"), False)
-            fs.delete(self._at("files", name), True)
+            if name:
+                fs.delete(self._at("files", name), True)
         for path in old:
             fs.delete(self._at("data", path), True)
         return len(old)

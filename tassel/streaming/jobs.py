@@ -7,7 +7,7 @@ its tables and its progress in the folder the caller names, so it goes on where
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -20,6 +20,7 @@ from ..operators.ingest import upsert as upsert_rows
 from ..sources.files import audit_entries, dense_positions, with_chunks
 from ..sources.layouts import Layout
 from ..sources.snapshots import SnapshotTable
+from .changelog import FANOUT, ChangeLog
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day", day: str = "1 day") -> DataFrame:
@@ -92,6 +93,46 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema if mode == "append" else _with_batch(stream)).parquet(out)
 
 
+def run_to_log(stream: DataFrame, path: str, keys: list[str], fanout: int = FANOUT) -> ChangeLog:
+    """Process everything that has arrived since the last call in update mode and return the log of changes, whose
+    ``current`` rows are the answer so far, open windows included."""
+    log = ChangeLog(stream.sparkSession, f"{path}/changes", keys, fanout)
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .outputMode("update")
+        .foreachBatch(lambda batch, batch_id: log.add(batch, batch_id))
+        .start()
+    )
+    query.awaitTermination()
+    return log
+
+
+def session_table(events: DataFrame, path: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions over everything that has arrived since the first call: closed ones from the table that append mode
+    writes, open ones from the stream's state, which holds no others."""
+    sessions = activity_sessions(events, gap, delay)
+    closed = run_to_table(sessions, path, "append")
+    return closed.unionByName(open_sessions(sessions, path))
+
+
+def open_sessions(sessions: DataFrame, path: str) -> DataFrame:
+    """The sessions that the stream's last batch left open, as the state data source reads them."""
+    spark = sessions.sparkSession
+    try:
+        state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    except PySparkException as err:
+        if err.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":
+            raise
+        return spark.createDataFrame([], sessions.schema)
+    return state.select(
+        F.col("key.user_id").alias("user_id"),
+        F.col("value.session_window.start").alias("session_start"),
+        F.col("value.session_window.end").alias("session_end"),
+        F.col("value.count").alias("queries"),
+    )
+
+
 def _with_batch(stream: DataFrame) -> StructType:
     return StructType([*stream.schema.fields, StructField("batch_id", LongType())])
 

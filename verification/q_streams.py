@@ -21,34 +21,35 @@ def _folder(s, name):
     return f"{checkpoint_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
-def _in_turns(s, d, name, write, stream, job, mode):
-    """Events arrive in four parts, in order of time; after each the job runs on from where it stopped."""
-    base, events = _folder(s, name), star.table(s, d, "events")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    bounds = events.select(F.percentile_approx(at, [i / TURNS for i in range(1, TURNS)], 1000)).first()[0] or []
+def _in_turns(s, rows, at, name, write, job):
+    """Rows arrive in four parts, by the number ``at``; after each the job, a function of the folder where they arrive
+    and of its own, runs on from where it stopped."""
+    base = _folder(s, name)
+    bounds = rows.select(F.percentile_approx(at, [i / TURNS for i in range(1, TURNS)], 1000)).first()[0] or []
     for low, high in zip([None, *bounds], [*bounds, None]):
-        part = events.filter(at >= low) if low is not None else events
+        part = rows.filter(at >= low) if low is not None else rows
         part = part.filter(at < high) if high is not None else part
         write(part, f"{base}/in")
-        out = jobs.run_to_table(job(stream(f"{base}/in")), f"{base}/job", mode)
+        out = job(f"{base}/in", f"{base}/job")
     return out
 
 
-def _event_turns(s, d, name, job, mode):
-    schema = star.table(s, d, "events").schema
-    return _in_turns(
-        s,
-        d,
-        name,
-        lambda part, path: part.write.mode("append").parquet(path),
-        lambda path: star.audit_columns(s.readStream.schema(schema).parquet(path)),
-        job,
-        mode,
-    )
+def _parquet(part, path):
+    part.write.mode("append").parquet(path)
+
+
+def _event_turns(s, d, name, job, write=_parquet):
+    events = star.table(s, d, "events")
+    stream = lambda path: star.audit_columns(s.readStream.schema(events.schema).parquet(path))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return _in_turns(s, events, at, name, write, lambda path, out: job(stream(path), out))
+
 
+DAY_KEYS, WINDOW_KEYS, COURSE_KEYS = ["day_start", "institution", "viz_type"], ["window_start", "institution"], ["course_prefix", "course_number"]
 
-def _daily(rows):
-    found = jobs.last_batch(rows, ["day_start", "institution", "viz_type"])
+
+def _daily(log):
+    found = log.current()
     return found.select(F.col("day_start").cast("date").cast("string").alias("day"), "institution", "viz_type", "queries")
 
 
@@ -56,16 +57,21 @@ _INST = "'inst' || CAST(user_id%7 AS VARCHAR)"
 _DAILY = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_INST} AS institution, event_type AS viz_type, count(*) AS queries FROM events"
 register(
     "stream_daily_counts",
-    lambda s, d: _daily(_event_turns(s, d, "daily", jobs.daily_counts, "update")),
+    lambda s, d: _daily(_event_turns(s, d, "daily", lambda x, out: jobs.run_to_log(jobs.daily_counts(x), out, DAY_KEYS))),
     f"{_DAILY} GROUP BY 1,2,3",
 )
 
 
 def _log_turns(s, d):
+    events = star.table(s, d, "events")
+
     def write(part, path):
         star.as_audit_lines(part).write.mode("append").text(path)
 
-    return _in_turns(s, d, "log", write, lambda path: jobs.stream_audit_log(s, path), jobs.daily_counts, "update")
+    def job(path, out):
+        return jobs.run_to_log(jobs.daily_counts(jobs.stream_audit_log(s, path)), out, DAY_KEYS)
+
+    return _in_turns(s, events, F.unix_micros(F.col("ts").cast("timestamp")), "log", write, job)
 
 
 register(
@@ -73,16 +79,16 @@ register(
 )
 register(
     "stream_sliding_activity",
-    lambda s, d: jobs.last_batch(
-        _event_turns(s, d, "sliding", jobs.sliding_activity, "update"), ["window_start", "institution"]
-    ).select(F.unix_timestamp("window_start").alias("start_s"), "institution", "queries"),
+    lambda s, d: _event_turns(
+        s, d, "sliding", lambda x, out: jobs.run_to_log(jobs.sliding_activity(x), out, WINDOW_KEYS, fanout=2)
+    ).current().select(F.unix_timestamp("window_start").alias("start_s"), "institution", "queries"),
     f"""SELECT w AS start_s, institution, count(*) AS queries FROM (
  SELECT {_INST} AS institution, unnest([b, b-7200, b-14400]) AS w FROM (SELECT *, CAST(floor(epoch(ts)/7200) AS BIGINT)*7200 AS b FROM events))
 GROUP BY 1,2""",
 )
 register(
     "stream_activity_sessions",
-    lambda s, d: jobs.newest_batch(_event_turns(s, d, "sessions", jobs.activity_sessions, "complete")).select(
+    lambda s, d: _event_turns(s, d, "sessions", jobs.session_table).select(
         "user_id",
         F.unix_micros("session_start").alias("start_us"),
         F.unix_micros("session_end").alias("end_us"),
@@ -96,12 +102,15 @@ GROUP BY user_id, sid""",
 
 
 def _course_stream(s, d):
-    schema = star.table(s, d, "lineitem").schema
-    lines = jobs.stream_parquet(s, d, "lineitem.parquet", schema)
-    counts = jobs.run_to_table(
-        jobs.running_course_counts(star.enrollments(s, d, lines)), _folder(s, "courses"), mode="update"
-    )
-    return jobs.course_rates_so_far(jobs.last_batch(counts, ["course_prefix", "course_number"]))
+    """Order lines arrive in four parts by order; each changes most courses, and the log merges them on the way."""
+    lines = star.table(s, d, "lineitem")
+
+    def job(path, out):
+        counts = jobs.running_course_counts(star.enrollments(s, d, s.readStream.schema(lines.schema).parquet(path)))
+        return jobs.run_to_log(counts, out, COURSE_KEYS, fanout=2)
+
+    log = _in_turns(s, lines, F.col("l_orderkey"), "courses", _parquet, job)
+    return jobs.course_rates_so_far(log.current())
 
 
 register(
@@ -117,10 +126,16 @@ register(
 
 
 def _without_repeats(s, d):
-    schema = star.table(s, d, "events").schema
-    events = star.audit_columns(jobs.stream_parquet(s, d, "events.parquet", schema))
-    doubled = events.union(events)
-    rows = jobs.run_to_table(jobs.without_repeats(doubled, ["event_id"], "ts", "40 days"), _folder(s, "unique"))
+    """Every event arrives twice in its own part and again with the next one, when state has dropped most of them."""
+    sent = []
+
+    def write(part, path):
+        for rows in [*sent[-1:], part, part]:
+            _parquet(rows, path)
+        sent.append(part)
+
+    unique = lambda x, out: jobs.run_to_table(jobs.without_repeats(x, ["event_id"], "ts", "1 day"), out)
+    rows = _event_turns(s, d, "unique", unique, write)
     return rows.groupBy("viz_type").agg(F.count("*").alias("n"))
 
 
