@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grades import is_course_pass, is_dfwi
 from ..functions.numeric import percent, ratio
+from ..session import checkpoint_dir
 
 COURSE = ["course_prefix", "course_number"]
 SITTING = ["student_guid", "academic_year", "academic_term"]
@@ -119,13 +123,45 @@ def _sides(left: DataFrame, right: DataFrame, keep: list[str]) -> DataFrame:
     return a.join(b, SITTING)
 
 
-def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool = True) -> DataFrame:
+def _tables(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables under a folder of their own in the shared checkpoint folder and reads them back."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def table(df: DataFrame, part: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{part}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{part}")
+
+    return table
+
+
+def _supported(sat: DataFrame, min_count: int, name: str) -> DataFrame:
+    """Sittings of the courses that can be part of a pair counted ``min_count`` times or more.
+
+    A pair's count is a sum of products of both courses' rows in a sitting, so it is at most one course's rows times the
+    most rows that any course has in one sitting. The sittings are written first: the courses' sums are taken from
+    them, and with the sums in a table of known size Spark chooses how to join them.
+    """
+    table = _tables(sat.sparkSession, name)
+    sat = table(sat, "sittings")
+    per_course = table(sat.groupBy(*COURSE).agg(F.sum("n").alias("_rows"), F.max("n").alias("_most")), "courses")
+    most = per_course.agg(F.max("_most")).first()[0] or 0
+    enough = per_course.filter(F.col("_rows") * most >= min_count)
+    if enough.count() == per_course.count():
+        return sat
+    named = enough.select(*[F.col(c).alias(f"_{c}") for c in COURSE])
+    return sat.join(named, [F.col(c) == F.col(f"_{c}") for c in COURSE], "left_semi")
+
+
+def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool = True, min_count: int = 1) -> DataFrame:
     """All course pairs taken by a student in the same term, each pair once in text order.
 
     ``hit`` is the per-row test (default: passed). With ``both`` a pair scores when both rows meet
-    the test, otherwise when either does.
+    the test, otherwise when either does. Pairs below ``min_count`` are left out, and courses that no such pair can have
+    never reach the join.
     """
     sat = _sittings(enrollments, "course_name", hit=hit)
+    if min_count > 1:
+        sat = _supported(sat, min_count, "pairs")
     pairs = _sides(sat, sat, [*COURSE, "course_name", "n", "n_hit"]).filter(
         (F.col("course_prefix_a") < F.col("course_prefix_b"))
         | (
@@ -150,7 +186,7 @@ def course_pairs(enrollments: DataFrame, hit: Column | None = None, both: bool =
         F.max("course_name_b").alias("name_b"),
         F.sum("pair_total").alias("co_enrollment_count"),
         F.sum("pair_hits").alias("hit_count"),
-    )
+    ).filter(F.col("co_enrollment_count") >= min_count)
 
 
 PAIR = ["prefix_a", "number_a", "prefix_b", "number_b"]
@@ -161,8 +197,7 @@ def co_enrollment_pairs(
 ) -> DataFrame:
     """Pairs taken together most often, with the share where both were passed."""
     pairs = (
-        course_pairs(enrollments)
-        .filter(F.col("co_enrollment_count") >= min_count)
+        course_pairs(enrollments, min_count=min_count)
         .withColumn("both_pass_rate", percent("hit_count", "co_enrollment_count"))
         .drop("hit_count")
     )
@@ -175,8 +210,7 @@ def co_enrollment_pairs(
 def dfwi_by_combo(enrollments: DataFrame, min_count: int = 20, k: int = 10) -> DataFrame:
     """Pairs with the highest share of sittings where either course ended in D/F/W/I."""
     return (
-        course_pairs(enrollments, hit=is_dfwi(), both=False)
-        .filter(F.col("co_enrollment_count") >= min_count)
+        course_pairs(enrollments, hit=is_dfwi(), both=False, min_count=min_count)
         .withColumn("dfwi_rate", percent("hit_count", "co_enrollment_count"))
         .drop("name_a", "name_b", "hit_count")
         .orderBy(F.desc("dfwi_rate"), F.desc("co_enrollment_count"), *PAIR)
@@ -184,6 +218,57 @@ def dfwi_by_combo(enrollments: DataFrame, min_count: int = 20, k: int = 10) -> D
     )
 
 
+def course_sets(enrollments: DataFrame, size: int = 3, min_count: int = 20) -> DataFrame:
+    """Combinations of 2 to ``size`` courses that students took in one term, found level by level.
+
+    Rows: courses (text, in order), n_courses, sittings (student-terms that have all of them), dfwi_rate (share of the
+    sittings in which any row of any of them is D/F/W/I) and all_pass_rate (in which all their rows are passed).
+    Student-terms count once, so a set never has more sittings than a part of it: from the courses with ``min_count``
+    on, a set of n courses is made only of two frequent sets of n - 1 that share all but their last course. Each
+    level's sittings are a table, of which only those of frequent sets are joined again.
+    """
+    table = _tables(enrollments.sparkSession, "course-sets")
+    sat = enrollments.dropna(subset=[*SITTING, *COURSE]).groupBy(*SITTING, *COURSE).agg(
+        F.bool_or(F.coalesce(is_dfwi(), F.lit(False))).alias("any_dfwi"),
+        F.bool_and(F.coalesce(is_course_pass(), F.lit(False))).alias("all_pass"),
+    )
+    none = F.slice(F.array(F.struct(*COURSE)), 1, 0)
+    held = sat.select(*SITTING, none.alias("head"), F.struct(*COURSE).alias("last"), "any_dfwi", "all_pass")
+    course_text = lambda c: F.concat_ws(" ", *[c[name] for name in COURSE])
+    out = None
+    for level in range(1, size + 1):
+        held = table(held, f"sittings-{level}")
+        counts = held.groupBy("head", "last").agg(
+            F.count("*").alias("sittings"), F.count_if("any_dfwi").alias("_dfwi"), F.count_if("all_pass").alias("_pass")
+        )
+        frequent = table(counts.filter(F.col("sittings") >= min_count), f"frequent-{level}")
+        if level > 1:
+            found = frequent.select(
+                F.array_join(F.transform(F.concat("head", F.array("last")), course_text), " + ").alias("courses"),
+                F.lit(level).alias("n_courses"),
+                "sittings",
+                percent("_dfwi", "sittings").alias("dfwi_rate"),
+                percent("_pass", "sittings").alias("all_pass_rate"),
+            )
+            out = found if out is None else out.unionAll(found)
+        if level == size:
+            break
+        named = frequent.select(F.col("head").alias("_head"), F.col("last").alias("_last"))
+        left = held.join(named, (F.col("head") == F.col("_head")) & (F.col("last") == F.col("_last")), "left_semi")
+        a = left.select(*SITTING, "head", *[F.col(c).alias(f"{c}_a") for c in ("last", "any_dfwi", "all_pass")])
+        b = left.select(*SITTING, "head", *[F.col(c).alias(f"{c}_b") for c in ("last", "any_dfwi", "all_pass")])
+        held = a.join(b, [*SITTING, "head"]).filter(F.col("last_a") < F.col("last_b")).select(
+            *SITTING,
+            F.concat("head", F.array("last_a")).alias("head"),
+            F.col("last_b").alias("last"),
+            (F.col("any_dfwi_a") | F.col("any_dfwi_b")).alias("any_dfwi"),
+            (F.col("all_pass_a") & F.col("all_pass_b")).alias("all_pass"),
+        )
+    if out is None:
+        raise ValueError("a combination has two courses or more")
+    return out
+
+
 def _is_course(course: tuple[str, str]) -> Column:
     return (F.col("course_prefix") == course[0]) & (F.col("course_number") == course[1])
 
@@ -241,7 +326,7 @@ def pair_breakdown(enrollments: DataFrame, first: tuple[str, str], second: tuple
 
 def all_pair_breakdowns(enrollments: DataFrame, min_count: int = 20) -> DataFrame:
     """The breakdown of every pair in one job, in both directions."""
-    a = _sittings(enrollments, "delivery_method", "instructor_status")
+    a = _supported(_sittings(enrollments, "delivery_method", "instructor_status"), min_count, "breakdowns")
     # the other side is rolled up from the first, so the enrollments are read once
     b = a.groupBy(*SITTING, *COURSE).agg(F.sum("n").alias("n"), F.sum("n_hit").alias("n_hit"))
     pairs = _sides(a, b, [*COURSE, "n", "n_hit"]).filter(

@@ -158,3 +158,35 @@ register(
         ),
     ),
 )
+
+
+def _sets_sql(most: int, min_count: int) -> str:
+    """Every combination counted for itself: one join a course, no pruning."""
+    parts = []
+    for n in range(2, most + 1):
+        aliases = [f"s{i}" for i in range(n)]
+        joins = "".join(f" JOIN sat {b} USING (student_guid, academic_year, academic_term)" for b in aliases[1:])
+        order = " AND ".join(f"{a}.course < {b}.course" for a, b in zip(aliases, aliases[1:]))
+        names = " || ' + ' || ".join(f"{a}.label" for a in aliases)
+        bad, good = " OR ".join(f"{a}.bad" for a in aliases), " AND ".join(f"{a}.good" for a in aliases)
+        parts.append(
+            f"""SELECT {names} AS courses, {n} AS n_courses, count(*) AS sittings, {pct(f'count(*) FILTER (WHERE {bad})', 'count(*)')} AS dfwi_rate,
+ {pct(f'count(*) FILTER (WHERE {good})', 'count(*)')} AS all_pass_rate
+FROM sat s0{joins} WHERE {order} GROUP BY 1 HAVING count(*) >= {min_count}"""
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+SET_SIZE, SET_COUNT = 4, 3
+register(
+    "course_sets",
+    lambda s, d: courses.course_sets(enrollments(s, d), SET_SIZE, SET_COUNT),
+    with_ctes(["enr"], "@@").replace(
+        "\n@@",
+        f""",
+sat AS (SELECT student_guid, academic_year, academic_term, (course_prefix, course_number) AS course, course_prefix || ' ' || course_number AS label,
+  coalesce(bool_or(grade IN {DFWI}), false) AS bad, coalesce(bool_and(coalesce({PASS}, false)), false) AS good
+ FROM enr WHERE student_guid IS NOT NULL AND academic_year IS NOT NULL AND academic_term IS NOT NULL GROUP BY 1,2,3,4,5)
+{_sets_sql(SET_SIZE, SET_COUNT)}""",
+    ),
+)
