@@ -313,6 +313,38 @@ register(
 FROM (SELECT zip_code, race, count(*) AS n, round(avg(retention_probability),6) AS p FROM scored GROUP BY 1,2)""",
     ),
 )
+
+SMALLEST = 4
+_UP = "({changed} + CASE WHEN {0}='total' THEN 1 ELSE 0 END + CASE WHEN {1}='total' THEN 1 ELSE 0 END) % 2 = 0"
+_CORNERS = ", ".join(
+    f"{{'a': {a}, 'b': {b}, 'up': {_UP.format(a, b, changed=n)}}}"
+    for a, b, n in (("c0", "c1", 0), ("w0", "c1", 1), ("c0", "w1", 1), ("w0", "w1", 2))
+)
+register(
+    "protected_cells",
+    lambda s, d: privacy.protected_cells(
+        scored_rows(s, d), ["zip_code", "race"], SMALLEST, {"avg_probability": F.round(F.avg("retention_probability"), 6)}
+    ),
+    with_ctes(["scored"], "@@").replace(
+        "\n@@",
+        f""",
+cube_rows AS (SELECT zip_code, race, grouping(zip_code)=1 AS all_zip_code, grouping(race)=1 AS all_race, count(*) AS n,
+  round(avg(retention_probability),6) AS p FROM scored GROUP BY CUBE (zip_code, race)),
+coded AS (SELECT *, CASE WHEN all_zip_code THEN 'total' ELSE coalesce('value ' || zip_code, 'no value') END AS c0,
+  CASE WHEN all_race THEN 'total' ELSE coalesce('value ' || race, 'no value') END AS c1 FROM cube_rows),
+near0 AS (SELECT c1, c0 AS w0 FROM coded QUALIFY c0='total' OR row_number() OVER (PARTITION BY c1, c0='total' ORDER BY n<2, n, c0) <= 9),
+near1 AS (SELECT c0, c1 AS w1 FROM coded QUALIFY c1='total' OR row_number() OVER (PARTITION BY c0, c1='total' ORDER BY n<2, n, c1) <= 9),
+boxes AS (SELECT s.c0, s.c1, w0, w1 FROM coded s JOIN near0 ON near0.c1=s.c1 AND w0<>s.c0 JOIN near1 ON near1.c0=s.c0 AND w1<>s.c1 WHERE n<{SMALLEST}),
+corners AS (SELECT c0, c1, w0, w1, unnest([{_CORNERS}]) AS k FROM boxes),
+judged AS (SELECT x.c0, x.c1, w0, w1, sum(CASE WHEN n>={SMALLEST} THEN n ELSE 0 END) AS cost
+ FROM corners x JOIN coded y ON y.c0=k.a AND y.c1=k.b GROUP BY ALL
+ HAVING count(*)=4 AND (coalesce(min(n) FILTER (k.up), 2)>=2 OR coalesce(min(n) FILTER (NOT k.up), 2)>=2)),
+best AS (SELECT c0, c1, w0, w1 FROM judged QUALIFY row_number() OVER (PARTITION BY c0, c1 ORDER BY cost, w0, w1)=1),
+hidden AS (SELECT DISTINCT k.a AS c0, k.b AS c1 FROM (SELECT unnest([{_CORNERS}]) AS k FROM best))
+SELECT zip_code, race, all_zip_code, all_race, CASE WHEN h.c0 IS NULL THEN n END AS n, CASE WHEN h.c0 IS NULL THEN p END AS avg_probability,
+ h.c0 IS NOT NULL AS suppressed FROM coded c LEFT JOIN hidden h ON h.c0=c.c0 AND h.c1=c.c1""",
+    ),
+)
 register(
     "small_cell_report",
     lambda s, d: privacy.small_cell_report(scored_rows(s, d), ["race", "gender", "cohort", "zip_code"], 16),
