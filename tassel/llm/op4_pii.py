@@ -12,7 +12,9 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 #: Leading digits of area codes and exchanges keep to their class.
 HIGH, LOW, NONZERO = "23456789", "01", "123456789"
 
-EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+#: The part before the @ has 64 characters at most (so the standard for addresses has it); of a longer run the last
+#: words that fit are taken. Groups without end are possessive, so that a match needs neither stack nor a second try.
+EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 IP = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -42,7 +44,7 @@ CARDS += [rf"\b\d{{4}}{x}\d{{4}}{x}\d{{4}}{x}\d{{4}}\b" for x in " -"]
 CARDS += [rf"\b\d{{4}}{x}\d{{6}}{x}\d{{{n}}}\b" for n in (5, 4) for x in " -"] + [r"\b\d{13,19}\b"]
 CARD = r"\b\d(?:[ \-]?\d){12,18}\b"
 #: All that stands together from 13 digits on, and an IBAN with the digits behind it; no part of a mail address.
-_NO_MAIL = r"(?![A-Za-z0-9._%+\-]*@)"
+_NO_MAIL = r"(?![A-Za-z0-9._%+\-]{0,64}+@)"
 RUN = rf"\b(?=\d(?:[ .\-/]*\d){{12}})\d[\d .\-/]*\d\b{_NO_MAIL}"
 IBAN_RUN = rf"{IBAN}(?:[ .\-/][\d .\-/]*\d\b|){_NO_MAIL}"
 PHONE = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\b\d{3}[ .\-])\d{3}[ .\-]\d{4}\b|\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}\b"
@@ -53,6 +55,11 @@ ANY = "|".join((EMAIL, SECRET, RUN, IBAN_RUN, IP, DATE, SSN, PHONE))
 INSIDE = [("iban", IBAN), *(("card", x) for x in CARDS), ("ip", IP), ("date", DATE), ("ssn", SSN), ("phone", PLAIN_PHONE)]
 #: Words of a run that one of them has at most, and the fewest characters of a run.
 INSIDE_WORDS, LEAST_RUN = 9, 13
+_FIRST = rf"^(?:{'|'.join(p for _, p in INSIDE)})"
+#: Words of a run that are gone through together, so that no list grows a word at a time.
+WORDS_AT_ONCE = 256
+#: Halves longer than this enter the hash as a digest.
+LONG_HALF = 64
 #: Every value holds one of these.
 HINT = "[0-9@=:]"
 
@@ -64,8 +71,8 @@ DAYS = (17, 4297)
 def feistel(values: Column, sizes: Column, kind: str, key: str) -> Column:
     """A keyed permutation of the number lists with ``0 <= values[i] < sizes[i]``.
 
-    The list is cut in two; each round adds a hash of one half, element by element and modulo the sizes, to the
-    other. Every round can be undone, so different lists stay different.
+    The list is cut in two; each round adds a hash of one half (of a long one's digest), element by element and modulo
+    the sizes, to the other. Every round can be undone, so different lists stay different.
     """
     half = F.floor(F.size(values) / 2).cast("int")
     rest = F.size(values) - half
@@ -78,15 +85,17 @@ def feistel(values: Column, sizes: Column, kind: str, key: str) -> Column:
     )
 
     def round_(s: Column, i: Column) -> Column:
-        other = F.concat_ws(",", s["r"].cast("array<string>"))
+        joined = F.concat_ws(",", s["r"].cast("array<string>"))
+        other = F.when(F.size(s["r"]) > LONG_HALF, F.sha2(joined, 256)).otherwise(joined)
 
-        def shifted(x: Column, j: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), j.cast("string"), other), 256)
-            return F.pmod(x + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.get(s["m"], j))
+        def shifted(other: Column) -> Column:
+            def one(x: Column, j: Column) -> Column:
+                digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), j.cast("string"), other), 256)
+                return F.pmod(x + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.get(s["m"], j))
 
-        return F.struct(
-            s["r"].alias("l"), F.transform(s["l"], shifted).alias("r"), s["n"].alias("m"), s["m"].alias("n")
-        )
+            return F.transform(s["l"], one)
+
+        return F.struct(s["r"].alias("l"), _let(other, shifted).alias("r"), s["n"].alias("m"), s["m"].alias("n"))
 
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     return F.aggregate(rounds, start, round_, lambda s: F.concat(s["l"], s["r"]))
@@ -94,8 +103,7 @@ def feistel(values: Column, sizes: Column, kind: str, key: str) -> Column:
 
 def _symbols(text: Column, alphabet_of) -> Column:
     """Characters as (alphabet, place in it)."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    named = F.transform(chars, lambda c, i: F.struct(c.alias("c"), alphabet_of(c, i).alias("a")))
+    named = F.transform(_chars(text), lambda c, i: F.struct(c.alias("c"), alphabet_of(c, i).alias("a")))
     return F.transform(
         named, lambda x: F.struct(x["a"].alias("a"), (F.call_function("instr", x["a"], x["c"]) - 1).cast("long").alias("v"))
     )
@@ -111,14 +119,18 @@ def _permuted(symbols: Column, kind: str, key: str) -> Column:
 
 def _refill(shape: Column, wanted: str, filling: Column) -> Column:
     """``shape`` with its characters of the class ``wanted`` replaced in order by those of ``filling``."""
-    places = F.sequence(F.lit(1), F.length(shape))
 
-    def at(i: Column) -> Column:
-        own = F.call_function("substring", shape, i, F.lit(1))
-        before = F.length(F.regexp_replace(F.call_function("substring", shape, F.lit(1), i), f"[^{wanted}]", ""))
-        return F.when(own.rlike(f"[{wanted}]"), F.call_function("substring", filling, before, F.lit(1))).otherwise(own)
+    def merged(chars: Column) -> Column:
+        numbered = F.transform(chars, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+        fits = lambda x: x["c"].rlike(f"[{wanted}]")
+        filled = F.zip_with(F.filter(numbered, fits), _chars(filling), lambda x, c: F.struct(x["i"].alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(F.concat(filled, F.filter(numbered, lambda x: ~fits(x)))), lambda x: x["c"]), "")
+
+    return _let(_chars(shape), merged)
+
 
-    return F.array_join(F.transform(places, at), "")
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def _by_class(c: Column, i: Column) -> Column:
@@ -127,7 +139,7 @@ def _by_class(c: Column, i: Column) -> Column:
 
 def _digit_sum(digits: Column) -> Column:
     """Luhn sum of a digit text whose last digit counts once."""
-    chars = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
+    chars = F.reverse(_chars(digits))
 
     def worth(c: Column, i: Column) -> Column:
         twice = c.cast("int") * 2
@@ -151,7 +163,7 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _mod97(text: Column) -> Column:
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    chars = _chars(text)
 
     def step(a: Column, c: Column) -> Column:
         letter = F.ascii(c) - 55
@@ -274,10 +286,15 @@ def _secret(m: Column, key: str) -> Column:
     """The value after the name: hexadecimal digits stay such, else letters and digits keep their class."""
     value = F.regexp_extract(m, "[A-Za-z0-9_\\-/+]+$", 0)
     name = F.call_function("substring", m, F.lit(1), F.length(m) - F.length(value))
-    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
-    hexadecimal = plain.rlike("^[0-9a-f]+$")
-    alphabet = lambda c, i: F.when(hexadecimal, F.lit(HEX)).otherwise(_by_class(c, i))
-    return F.concat(name, _refill(value, "A-Za-z0-9", _permuted(_symbols(plain, alphabet), "secret", key)))
+
+    def moved(plain: Column) -> Column:
+        def by(hexadecimal: Column) -> Column:
+            alphabet = lambda c, i: F.when(hexadecimal, F.lit(HEX)).otherwise(_by_class(c, i))
+            return _permuted(_symbols(plain, alphabet), "secret", key)
+
+        return _let(plain.rlike("^[0-9a-f]+$"), by)
+
+    return F.concat(name, _refill(value, "A-Za-z0-9", _let(F.regexp_replace(value, "[^A-Za-z0-9]", ""), moved)))
 
 
 def kind_of(m: Column) -> Column:
@@ -304,6 +321,17 @@ def _let(value: Column, function) -> Column:
     return F.get(F.transform(F.array(value), function), 0)
 
 
+def running_sums(numbers: Column) -> Column:
+    """Each number plus all before it: in round s every sum takes in that of the place 2^s before it."""
+
+    def step(sums: Column, s: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), s)
+        moved = F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0).cast("long")))
+        return F.when(back < F.size(sums), moved).otherwise(sums)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), numbers, step)
+
+
 def _piece(before: Column, m: Column, kind: Column) -> Column:
     return F.struct(before.alias("b"), m.alias("m"), kind.cast("string").alias("k"))
 
@@ -333,17 +361,31 @@ def inside(run: Column) -> Column:
 
     def at(words: Column, i: Column) -> Column:
         window = F.array_join(F.slice(words, i + 1, F.lit(INSIDE_WORDS)), "")
-        return F.struct(i.alias("i"), _let(window, _first_valid).alias("x"))
+        found = lambda w: F.when(w.rlike(_FIRST), _first_valid(w))
+        return F.struct(i.alias("i"), _let(window, found).alias("x"))
 
     def taken(s: Column, c: Column) -> Column:
         n = F.size(F.split(c["x"]["m"], "[^A-Z0-9]+"))
         hit = F.struct(c["i"].alias("i"), n.alias("n"), c["x"]["m"].alias("m"), c["x"]["k"].alias("k"))
         longer = F.struct((c["i"] + n).alias("next"), F.concat(s["hits"], F.array(hit)).cast(hits_kind).alias("hits"))
-        return F.when(c["x"].isNotNull() & (c["i"] >= s["next"]), longer).otherwise(s)
+        return F.when(c["i"] >= s["next"], longer).otherwise(s)
 
     def hits(words: Column) -> Column:
-        start = F.struct(F.lit(0).alias("next"), F.array().cast(hits_kind).alias("hits"))
-        return F.aggregate(F.transform(words, lambda _, i: at(words, i)), start, taken, lambda s: s["hits"])
+        tried = F.filter(F.transform(words, lambda _, i: at(words, i)), lambda c: c["x"].isNotNull())
+
+        def chosen(tried: Column) -> Column:
+            none = F.array().cast(hits_kind)
+            start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{hits_kind}>").alias("hits"))
+
+            def some(s: Column, a: Column) -> Column:
+                own = F.aggregate(F.slice(tried, a, F.lit(WORDS_AT_ONCE)), F.struct(s["next"].alias("next"), none.alias("hits")), taken)
+                more = lambda x: F.struct(x["next"].alias("next"), F.concat(s["hits"], F.array(x["hits"])).alias("hits"))
+                return _let(own, more)
+
+            firsts = F.sequence(F.lit(1), F.greatest(F.size(tried), F.lit(1)), F.lit(WORDS_AT_ONCE))
+            return F.aggregate(firsts, start, some, lambda s: F.flatten(s["hits"]))
+
+        return _let(tried, chosen)
 
     def pieces(words: Column, found: Column) -> Column:
         def before(j: Column, end: Column) -> Column:
@@ -402,18 +444,18 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     cut = cut.withColumn("pieces", made)
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["b"], p["value"])), "")
 
-    def start(i: Column) -> Column:
-        before = F.slice("pieces", F.lit(1), i)
-        own = F.length(F.get(F.col("pieces"), i)["b"])
-        return F.aggregate(before, own, lambda n, p: n + F.length(p["b"]) + F.length(p["value"]))
+    # bound by a lambda: a column used once would be computed anew for every piece
+    ends = running_sums(F.transform("pieces", lambda p: (F.length(p["b"]) + F.length(p["value"])).cast("long")))
 
-    numbered = F.transform(
-        "pieces", lambda p, i: F.struct(p["kind"].alias("kind"), i.alias("i"), p["value"].alias("value"))
-    )
-    listed = F.transform(
-        F.filter(numbered, lambda x: x["kind"].isNotNull()),
-        lambda x: F.struct(x["kind"].alias("kind"), start(x["i"]).alias("start"), x["value"].alias("value")),
-    )
+    def placed(ends: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            first = (F.get(ends, i) - F.length(p["value"])).cast("int")
+            return F.struct(p["kind"].alias("kind"), first.alias("start"), p["value"].alias("value"))
+
+        return F.transform("pieces", one)
+
+    numbered = _let(ends, placed)
+    listed = F.filter(numbered, lambda x: x["kind"].isNotNull())
     return cut.select(
         *[(F.coalesce(text, F.col("old")) if c == column else F.col("row").getField(c)).alias(c) for c in docs.columns],
         F.coalesce(listed, F.array().cast(kind)).alias(listed_as),

@@ -1,4 +1,6 @@
+import itertools
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,60 @@ def test_no_python_in_the_plan(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     plan = op.pseudonymise(docs, "key")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+LONG = {
+    "labels behind the @": ("see a@b" + ".c" * 500_000, 1),
+    "words without an @": ("x1 " + "a." * 500_000, 0),
+    "one long word": ("a" * 1_000_000, 0),
+    "a long local part": ("a" * 500_000 + "-" * 70 + "bob" * 20 + "@example.com", 1),
+    "many addresses": ("bob@example.com " * 20_000, 20_000),
+    "digits": ("7" * 1_000_000, 0),
+    "digits apart": ("7-" * 250_000, None),
+    "dotted digits before an @": ("1." * 200_000 + "1@example.com", None),
+    "separators": ("1" + "-" * 1_000_000, 0),
+    "phone numbers": ("407-555-8973 " * 40_000, 40_000),
+    "a long secret": ("password=" + "aB3_" * 50_000, 1),
+    "capitals": ("AB12" + "CDEF " * 200_000, None),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_very_long_texts(spark, name):
+    text, values = LONG[name]
+    start = time.time()
+    (row,) = op.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").collect()
+    took = time.time() - start
+    assert values is None or len(row.pii) == values
+    assert all(row.text[v.start : v.start + len(v.value)] == v.value for v in row.pii[:: max(1, len(row.pii) // 50)])
+    assert len(row.text) == len(text) or any(v.kind == "ip" for v in row.pii)
+    assert took < 60  # quadratic work would take hours
+
+
+def test_long_local_parts_keep_no_word_that_fits(spark):
+    texts = ["a." * 100 + "bob@example.com", "_a.bob@example.com", "..bob@example.com", "a-b@x-y.org.", "no@dot", "x@y.z@w.v"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = op.pseudonymise(df, "key").orderBy("doc_id").collect()
+    assert [[v.kind for v in r.pii] for r in rows] == [["email"], ["email"], ["email"], ["email"], [], ["email"]]
+    assert not any("bob" in r.text for r in rows) and rows[3].text.endswith("@x-y.org.")
+
+
+def test_long_halves_are_permuted_by_their_digest(spark):
+    import hashlib
+
+    values, sizes = [i % 7 for i in range(140)], [7 + i % 5 for i in range(140)]
+    left, right, m, n = values[:70], values[70:], sizes[:70], sizes[70:]
+    for i in range(1, 9):
+        other = hashlib.sha256(",".join(map(str, right)).encode()).hexdigest()
+        moved = [
+            (x + int(hashlib.sha256(f"key|t|{i}|{j}|{other}".encode()).hexdigest()[:12], 16)) % m[j] for j, x in enumerate(left)
+        ]
+        left, right, m, n = right, moved, n, m
+    row = spark.createDataFrame([(values, sizes)], "v array<long>, s array<long>")
+    assert row.select(op.feistel(F.col("v"), F.col("s"), "t", "key")).first()[0] == left + right
+
+
+def test_running_sums(spark):
+    rows = [([],), ([5],), (list(range(1, 40)),), (list(range(1000)),)]
+    for r in spark.createDataFrame(rows, "v array<long>").select("v", op.running_sums(F.col("v")).alias("s")).collect():
+        assert r.s == list(itertools.accumulate(r.v))
