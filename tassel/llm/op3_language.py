@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, in_arrow, text_beside, text_in, text_slices
 
-#: Expected number of labelled rows that a language's tree is counted from; whole texts, drawn by hash.
+#: Expected number of different labelled texts that a language's tree is counted from; whole texts, drawn by hash.
 ROWS_PER_LANGUAGE = 1000
+DRAWS = 1 << 30
 #: A context of three bytes that no language has seen so often is left to its shorter ones.
 LEAST_CONTEXT = 4
 ORDER = 3
@@ -159,16 +160,23 @@ def total_codes(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Trees from rows (doc_id, text, lang): each language's rows are drawn by hash, about ``rows_per_language``
-    of them, whole texts; the driver gets their summed gram counts. None if nothing is labelled."""
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    """Trees from rows (text, lang): of each language's different texts about ``rows_per_language`` are drawn by a hash of
+    the text, whole, and the one with the least hash in any case; the driver gets their summed gram counts. None if
+    nothing is labelled.
+
+    Copies fall together and count once, so neither a text that makes up most of a language nor rows without an id or
+    with one id for all can fill the sample or keep a language out of it.
+    """
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    hashed = labelled.withColumn("_h", F.xxhash64("text"))
+    draw = F.pmod(F.xxhash64("_h", F.lit("sample")), F.lit(DRAWS))
+    sizes = hashed.groupBy("lang").agg(F.count_distinct("_h").alias("texts"), F.min(draw).alias("least")).collect()
     if not sizes:
         return None
     # as many entries as there are languages, which the model holds anyway
-    rates = F.create_map(*[F.lit(v) for x, n in sorted(sizes.items()) for v in (x, min(1.0, rows_per_language / n))])
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.filter(u < F.element_at(rates, F.col("lang")))
+    upto = {r["lang"]: max(r["least"], rows_per_language * DRAWS // r["texts"] - 1) for r in sizes}
+    limits = F.create_map(*[F.lit(v) for x, n in sorted(upto.items()) for v in (x, n)])
+    drawn = hashed.filter(draw <= F.element_at(limits, F.col("lang"))).select("lang", "text").distinct()
     grams = in_arrow(drawn.select("lang", "text"), gram_counts, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = grams.toPandas()
     counts = {x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for x, g in rows.groupby("lang")}
@@ -223,7 +231,7 @@ def predict_languages(
 
     Held out: crc32 of doc_id as text, modulo 4, is 2 (a null doc_id is not held out). Needs doc_id, text, lang.
     """
-    model = train(docs.filter(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), rows_per_language)
+    model = train(docs.filter(~is_held_out(F.col("doc_id"))).select("text", "lang"), rows_per_language)
     columns = keep or ["doc_id"]
     marked = docs.withColumn("_held_", is_held_out(F.col("doc_id")))
     out = identify(marked, model, [*columns, "_held_"], text)

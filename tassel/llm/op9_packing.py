@@ -21,8 +21,9 @@ END_ID = 1
 KNOWN, FRESH = 250_000, 150_000
 #: A lone comma or full stop after a letter is a part of its own for the tokenizer, too.
 _LONE = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])[.,](?=\\s|\\Z)")
-#: White space on which Python and the tokenizer may differ: such a text is encoded as a whole.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: White space on which Python and the tokenizer may differ, and the beginning of its special tokens' names, which may
+#: stand inside a word: such a text is encoded as a whole.
+_ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _rank long"
 
 
@@ -38,7 +39,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.known: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
 

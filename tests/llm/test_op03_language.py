@@ -49,6 +49,43 @@ def test_no_rows_and_no_labels(empty, awkward):
     assert {r.lang_pred for r in bare} == {"und"}
 
 
+def made(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+SPANISH = "el perro come {0} manzanas en la casa de la abuela, y luego duerme {1} horas"
+ENGLISH = "the dog eats {0} apples in the house of the grandmother, and then sleeps for {1} hours"
+
+
+@pytest.mark.parametrize("doc_id", [None, 0])
+def test_a_language_on_rows_of_one_id_or_none(spark, doc_id):
+    assert doc_id is None or zlib.crc32(str(doc_id).encode()) % 4 != 2  # not held out
+    rows = [(doc_id, SPANISH.format(i, i % 7), "es") for i in range(5000)]
+    rows += [(10_000 + i, ENGLISH.format(i, i % 5), "en") for i in range(500)]
+    out = op.predict_languages(made(spark, rows).repartition(4), ["doc_id", "lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+
+
+def test_the_sample_keeps_its_bound_and_every_language(spark, monkeypatch):
+    rows = [(None, SPANISH.format(i, 1), "es") for i in range(4000)]
+    rows += [(i, ENGLISH.format(1, 1), "en") for i in range(4000)]  # one text for all
+    rows += [(1, "ein einziger deutscher Satz", "de"), (2, None, "fr"), (3, "", "it")]
+    seen = {}
+    counted = op.gram_counts
+    monkeypatch.setattr(op, "build_model", lambda counts: seen.update(counts))
+    op.train(made(spark, rows), rows_per_language=100)
+    assert set(seen) == {"es", "en", "de"}
+    # the grams of the second words show how many texts there were
+    def texts(lang, text):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text])], names=["lang", "text"])
+        return seen[lang][1].sum() / np.array(next(counted(iter([batch]))).column(2)).sum()
+
+    assert texts("en", ENGLISH.format(1, 1)) == 1 and texts("de", rows[-3][1]) == 1
+    assert 50 < texts("es", SPANISH.format(100, 1)) < 200
+
+
 def plain_bits(train: str, text: str, alphabet: int, least: int) -> float:
     """Code length by the rules, one byte after the other."""
     def classes(s):

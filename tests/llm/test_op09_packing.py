@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -44,6 +43,16 @@ def check(rows, docs, plain, capacity):
     return len(sequences)
 
 
+SPECIAL = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>b, c.", "<|ENDOFTEXT|> x", "< |endoftext|>", "<|end oftext|>", "x <| y |>"]
+
+
+def test_special_strings_are_what_the_plain_call_makes_of_them(spark, plain):
+    assert plain(SPECIAL[0])[:-1] == [3306, 49407, 1002]
+    docs = list(enumerate(SPECIAL * 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    check(op.pack(df, PATH, 64).collect(), docs, plain, 64)
+
+
 def test_documents(spark, plain):
     docs = documents(spark, "/root/testdata/sf0.001")
     rows = op.pack(docs, PATH).collect()
