@@ -18,9 +18,9 @@ from .common import Scratch, in_arrow
 CAPACITY = 2048
 END_ID = 1
 #: Pieces of text a worker remembers that it has met twice, and those it has met once; a set that is full starts anew.
-KNOWN, FRESH = 250_000, 150_000
-#: A lone comma or full stop after a letter is a part of its own for the tokenizer, too.
-_LONE = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])[.,](?=\\s|\\Z)")
+KNOWN, FRESH = 500_000, 300_000
+#: Punctuation between a letter and white space is a part of its own for the tokenizer, too.
+_LONE = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])[!#$%&*+,./:;=?@^~-]+(?=\\s|\\Z)")
 #: White space on which Python and the tokenizer may differ, and the beginning of its special tokens' names, which may
 #: stand inside a word: such a text is encoded as a whole.
 _ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")

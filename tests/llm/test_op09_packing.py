@@ -53,6 +53,14 @@ def test_special_strings_are_what_the_plain_call_makes_of_them(spark, plain):
     check(op.pack(df, PATH, 64).collect(), docs, plain, 64)
 
 
+def test_random_texts_are_what_the_plain_call_makes_of_them(plain):
+    rng, encode = random.Random(3), op.Encoder(PATH)
+    signs = list("abzéßÀ09'\"._-+=*&$#@!?,;:/<>|~^%()[]{}\\") + [" ", "  ", "\n", "\t", "\u0301", "\u0338", "Σ", "日", "'s", "n't", "...", "<|"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(25)))
+        assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain(text)[:-1], repr(text)
+
+
 def test_documents(spark, plain):
     docs = documents(spark, "/root/testdata/sf0.001")
     rows = op.pack(docs, PATH).collect()
