@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tassel.operators import evaluate, ranks, scored, students
-from tassel.plans import models, scoring_run
+from tassel.plans import logistic, models, scoring_run
 from tassel.session import checkpoint_dir
 from tassel.sources import star
 
@@ -362,3 +362,78 @@ register(
         "SELECT student_guid, true AS in_range, true AS labels_follow, true AS all_ready FROM cohort_rows",
     ),
 )
+
+
+LOGISTIC_FEATURES = [
+    "average_grade", "course_completion_rate", "total_credits_earned", "gpa_group_year_1", "number_of_credits_earned_year_1",
+]
+
+
+def _newton_sql(features: list[str], penalty: float, rounds: int) -> str:
+    """The same steps written out: a round adds up the system and eliminates one unknown after the other."""
+    k = len(features) + 1
+    at = range(k)
+    parts = [
+        f"raw AS MATERIALIZED (SELECT student_guid, CAST(coalesce(retention,0) AS DOUBLE) AS y, {', '.join(f'CAST({c} AS DOUBLE) AS f{i}' for i, c in enumerate(features, 1))} FROM stu)",
+        "med AS MATERIALIZED (SELECT " + ", ".join(f"median(f{i}) AS m{i}" for i in at[1:]) + " FROM raw)",
+        "fil AS MATERIALIZED (SELECT student_guid, y, " + ", ".join(f"coalesce(f{i}, m{i}) AS f{i}" for i in at[1:]) + " FROM raw, med)",
+        "mom AS MATERIALIZED (SELECT " + ", ".join(f"avg(f{i}) AS a{i}, stddev_pop(f{i}) AS d{i}" for i in at[1:]) + " FROM fil)",
+        "z AS MATERIALIZED (SELECT student_guid, y, 1.0::DOUBLE AS x0, " + ", ".join(f"(f{i}-a{i})/d{i} AS x{i}" for i in at[1:]) + " FROM fil, mom)",
+        "b0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in at) + ")",
+    ]
+    for r in range(rounds):
+        score = "+".join(f"b{i}*x{i}" for i in at)
+        parts.append(f"q{r} AS MATERIALIZED (SELECT z.*, 1/(1+exp(-({score}))) AS p FROM z, b{r})")
+        sums = [f"sum(p*(1-p)*x{i}*x{j}) + {penalty if i == j and i else 0.0}::DOUBLE AS a{i}_{j}" for i in at for j in at]
+        sums += [f"sum((y-p)*x{i}) - {penalty if i else 0.0}::DOUBLE*any_value(b{i}) AS g{i}" for i in at]
+        parts.append(f"e{r}_0 AS MATERIALIZED (SELECT {', '.join(sums)} FROM q{r}, b{r})")
+        for c in at:
+            cell = lambda i, x: f"{x.format(c)}/a{c}_{c}" if i == c else f"{x.format(i)}-a{i}_{c}*{x.format(c)}/a{c}_{c}"
+            columns = [cell(i, f"a{{0}}_{j}") + f" AS a{i}_{j}" for i in at for j in at] + [cell(i, "g{0}") + f" AS g{i}" for i in at]
+            parts.append(f"e{r}_{c + 1} AS MATERIALIZED (SELECT {', '.join(columns)} FROM e{r}_{c})")
+        parts.append(f"b{r + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i}+g{i} AS b{i}' for i in at)} FROM b{r}, e{r}_{k})")
+    return ",\n".join(parts)
+
+
+_NEWTON = with_ctes(["stu"], "@@").replace(
+    "\n@@", ",\n" + _newton_sql(LOGISTIC_FEATURES, logistic.PENALTY, logistic.ROUNDS) + "\n@@"
+)
+
+
+def _fitted(s, d):
+    rows = scored.with_targets(student_rows(s, d)).select("student_guid", *LOGISTIC_FEATURES, "target_retention")
+    return logistic.fit_logistic(rows, LOGISTIC_FEATURES, "target_retention"), rows
+
+
+def _coefficients(s, d):
+    model, _ = _fitted(s, d)
+    rows = s.createDataFrame(model.rows(), "term string, coefficient double")  # one row a feature
+    return rows.withColumn("coefficient", F.round("coefficient", 6))
+
+
+def _logistic_scores(s, d):
+    model, rows = _fitted(s, d)
+    return logistic.apply_logistic(model, rows).select(
+        "student_guid", F.round("probability", 6).alias("probability"), "prediction"
+    )
+
+
+register(
+    "logistic_coefficients",
+    _coefficients,
+    _NEWTON.replace(
+        "@@",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS term, round(b{i},6) AS coefficient FROM b{logistic.ROUNDS}" for i, c in enumerate(["intercept", *LOGISTIC_FEATURES])
+        ),
+    ),
+)
+_LAST = "1/(1+exp(-(" + "+".join(f"b{i}*x{i}" for i in range(len(LOGISTIC_FEATURES) + 1)) + ")))"
+register(
+    "logistic_scores",
+    _logistic_scores,
+    _NEWTON.replace(
+        "@@",
+        f"SELECT student_guid, round({_LAST},6) AS probability, CASE WHEN {_LAST}>=0.5 THEN 1 ELSE 0 END AS prediction FROM z, b{logistic.ROUNDS}",
+    ),
+)
