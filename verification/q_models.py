@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tassel.operators import evaluate, ranks, scored, students
-from tassel.plans import logistic, models, scoring_run
+from tassel.plans import logistic, models, scoring_run, trees
 from tassel.session import checkpoint_dir
 from tassel.sources import star
 
@@ -437,3 +437,28 @@ register(
         f"SELECT student_guid, round({_LAST},6) AS probability, CASE WHEN {_LAST}>=0.5 THEN 1 ELSE 0 END AS prediction FROM z, b{logistic.ROUNDS}",
     ),
 )
+
+
+def _forest_by_joins(s, d):
+    """The retention forest scored from its table of nodes, read back from disk, beside what MLlib makes of each student."""
+    rows = training_table(s, d)
+    trained = models.train_classifier(rows, "Retention", "target_retention", models.RETENTION_FEATURES, models.simple_forest())
+    folder = f"{checkpoint_dir(s)}/trees-{uuid.uuid4().hex}"
+    trees.export_trees(trained.model, folder, s)
+    inputs = trained.pre.transform(rows, ["student_guid"], trained.features)
+    mine = trees.score_trees(trees.read_trees(s, folder), inputs, "student_guid")
+    theirs = trained.model.transform(inputs).select(
+        "student_guid", vector_to_array("probability")[1].alias("_p"), F.col("prediction").cast("int").alias("_label")
+    )
+    return theirs.join(mine, "student_guid", "left").select(
+        "student_guid",
+        F.coalesce(F.abs(F.col("score") - F.col("_p")) < 1e-12, F.lit(False)).alias("same_probability"),
+        F.coalesce((F.col("prediction") == F.col("_label")) | (F.abs(F.col("_p") - 0.5) < 1e-12), F.lit(False)).alias("same_label"),
+    )
+
+
+register(
+    "forest_by_joins",
+    _forest_by_joins,
+    with_ctes(["cohort_rows"], "SELECT student_guid, true AS same_probability, true AS same_label FROM cohort_rows"),
+)
