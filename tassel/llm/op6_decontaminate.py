@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import in_arrow, text_beside, text_in, text_slices, word_hashes
+from .common import Scratch, in_arrow, text_beside, text_in, text_slices, word_hashes
 
 WINDOW = 13
 #: Bytes of text in a shard; each gets an index of its own.
@@ -222,7 +223,7 @@ def _lists(owner: np.ndarray, n: int) -> pa.Array:
 def _search_block(
     docs: DataFrame, keep: list[str], text: str, items: list[tuple[str, str]], window: int, shard_bytes: int
 ) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))  # one block of items
     schema = StructType(
         [docs.schema[c] for c in keep]
         + [StructField("n_words", LongType()), StructField("spans", SPANS), StructField("items", ArrayType(StringType()))]
@@ -277,7 +278,7 @@ def find_passages(
     a-z (A-Z lowered) and from 128. Each run of texts of about ``shard_bytes`` (a longer text makes a larger
     one) is a shard with its own index. The words of the items make its alphabet; all other words are
     separators, and runs too short for any phrase are left out, as no phrase can occur there. Items come in
-    blocks of ``item_block``, each block a pass over the documents; the driver holds one block.
+    blocks of ``item_block``, each block a pass over the documents; the driver holds two blocks at most.
 
     Null texts and items have no words; a null item_id counts as the text ``null``; item rows of one id are one
     item; repeated documents are searched each; without documents there are no rows, without items no spans.
@@ -288,18 +289,22 @@ def find_passages(
     second = next(blocks, None)
     if second is None:
         return _search_block(docs, keep, text, first, window, shard_bytes)
-    rows = docs.withColumn("_row_", F.monotonically_increasing_id())
-    parts = [_search_block(rows, [*keep, "_row_"], text, b, window, shard_bytes) for b in (first, second, *blocks)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionAll(p)
+    # more than one block: rows are numbered once in a written table, and each block's finds are written before the block
+    # after the next is read, so that the driver holds two at most and a worker one
+    scratch = Scratch(docs.sparkSession, "passages")
+    own = text_beside(docs, keep, text).select(F.struct(*keep).alias("_keep_"), F.col(text).alias("_text_"))
+    rows = scratch.table(own.withColumn("_row_", F.monotonically_increasing_id()), "rows")
+    parts = []
+    for items_of_block in chain([first, second], blocks):
+        found = _search_block(rows, ["_row_"], "_text_", items_of_block, window, shard_bytes)
+        parts.append(scratch.table(found if not parts else found.filter(F.size("spans") > 0), "finds"))
+    union = reduce(DataFrame.unionAll, parts)
     joined = union.groupBy("_row_").agg(
-        *[F.first(c).alias(c) for c in keep],
-        F.first("n_words").alias("n_words"),
+        F.max("n_words").alias("n_words"),
         merged(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return joined.drop("_row_")
+    return rows.drop("_text_").join(joined, "_row_").select("_keep_.*", "n_words", "spans", "items")
 
 
 def hit_words(spans: str = "spans") -> Column:
