@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.numeric import ordinal
 from ..functions.scoring import ALERT_ORDER
@@ -47,8 +50,9 @@ def _score_pct() -> Column:
     return F.round(F.col("readiness_score").cast("decimal(5,4)") * 100, 1).cast("double")
 
 
-def roster_projection(rows: DataFrame) -> DataFrame:
+def roster_projection(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return rows.select(
+        *(extra or []),
         "student_guid",
         "cohort",
         F.col("enrollment_intensity_first_term").alias("enrollment_intensity"),
@@ -79,6 +83,19 @@ SORT_KEYS = {
 }
 
 
+def _sort(sort_by: str, descending: bool, worst_first: bool) -> list[tuple[Column, Callable[[Column], Column]]]:
+    """What the roster is sorted by, and how."""
+    key = SORT_KEYS.get(sort_by, "at_risk_alert")
+    if key != "at_risk_alert":
+        return [(F.col(key), F.desc_nulls_first if descending else F.asc_nulls_last), (F.col("student_guid"), F.asc)]
+    up = worst_first or not descending
+    return [
+        (ordinal("at_risk_alert", ALERT_ORDER), F.asc if up else F.desc),
+        (F.col("retention_probability"), F.desc_nulls_first),
+        (F.col("student_guid"), F.asc),
+    ]
+
+
 def roster(
     students: DataFrame,
     readiness: DataFrame,
@@ -93,19 +110,59 @@ def roster(
 
     The alert sort orders by severity rank (URGENT lowest) and then by retention probability, high
     first. ``worst_first`` puts URGENT at the top whatever the direction. Nulls come first when
-    descending. The student id breaks ties.
+    descending. The student id breaks ties. Deep pages are better read from a :class:`StoredRoster`.
     """
     size = max(1, page_size)
     rows = roster_filter(join_readiness(students, readiness), **filters)
-    key = SORT_KEYS.get(sort_by, "at_risk_alert")
-    if key == "at_risk_alert":
-        rank = ordinal("at_risk_alert", ALERT_ORDER)
-        up = worst_first or not descending
-        order = [rank.asc() if up else rank.desc(), F.desc_nulls_first("retention_probability")]
-    else:
-        order = [F.desc_nulls_first(key) if descending else F.asc_nulls_last(key)]
-    ordered = rows.orderBy(*order, "student_guid").offset((max(1, page) - 1) * size).limit(size)
-    return roster_projection(ordered)
+    order = [way(value) for value, way in _sort(sort_by, descending, worst_first)]
+    return roster_projection(rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size))
+
+
+class StoredRoster:
+    """A roster in its order, stored in ranges with their counts, so that a page reads the ranges that it lies in alone.
+
+    Writing sorts once: ranges of the order are dealt to tasks, and each becomes a folder. The counts are one row a range.
+    A page finds its ranges in the running total of the counts and sorts their rows only, about ``range_rows`` of them,
+    whatever its number.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, sort_by: str = "at_risk_alert", descending: bool = True, worst_first: bool = False
+    ):
+        self.spark, self.folder = spark, folder
+        self.sort = _sort(sort_by, descending, worst_first)
+
+    def write(self, students: DataFrame, readiness: DataFrame, range_rows: int = 100_000, **filters) -> StoredRoster:
+        rows = roster_filter(join_readiness(students, readiness), **filters)
+        sorted_by = [value.alias(f"_o{i}") for i, (value, _) in enumerate(self.sort)]
+        kept = roster_projection(rows.select("*", *sorted_by), [f"_o{i}" for i in range(len(self.sort))])
+        kept.write.parquet(f"{self.folder}/unsorted")
+        kept = self.spark.read.schema(kept.schema).parquet(f"{self.folder}/unsorted")
+        ranges = -(-kept.count() // range_rows) or 1  # the count comes from the files' footers
+        placed = kept.repartitionByRange(ranges, *self._order()).withColumn("_range", F.spark_partition_id())
+        placed.write.partitionBy("_range").parquet(f"{self.folder}/rows")
+        self._rows(kept.schema).groupBy("_range").agg(F.count("*").alias("n")).write.parquet(f"{self.folder}/counts")
+        return self
+
+    def _order(self) -> list[Column]:
+        return [way(F.col(f"_o{i}")) for i, (_, way) in enumerate(self.sort)]
+
+    def _rows(self, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(StructType([*schema, StructField("_range", IntegerType())])).parquet(f"{self.folder}/rows")
+
+    def page(self, page: int = 1, page_size: int = 50) -> DataFrame:
+        """The rows of one page in order; none beyond the last."""
+        size = max(1, page_size)
+        first = (max(1, page) - 1) * size
+        rows = self._rows(self.spark.read.parquet(f"{self.folder}/unsorted").schema)
+        chosen, before, start = [], 0, 0
+        for r in self.spark.read.schema("_range int, n long").parquet(f"{self.folder}/counts").orderBy("_range").collect():
+            if before < first + size and before + r.n > first:
+                start = start if chosen else before
+                chosen.append(r["_range"])
+            before += r.n
+        own = rows.filter(F.col("_range").isin(chosen)).orderBy("_range", *self._order())
+        return own.offset(first - start).limit(size).drop("_range", *[f"_o{i}" for i in range(len(self.sort))])
 
 
 def roster_count(students: DataFrame, readiness: DataFrame, page_size: int = 50, **filters) -> DataFrame:

@@ -1,9 +1,14 @@
 """Dashboard aggregates."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tassel.functions import scoring
 from tassel.operators import dashboards, privacy, roster, scored
+from tassel.session import checkpoint_dir
 from tassel.sources import star
 
 from .base_sql import pct, with_ctes
@@ -189,6 +194,29 @@ register(
 ORDER BY ready.cohort DESC NULLS FIRST, student_guid LIMIT 50""",
     ),
 )
+
+
+PAGES, PAGE_SIZE = (1, 7, 15), 40
+
+
+def _stored_pages(s, d):
+    """Pages near both ends and in the middle, read from a roster that is stored in ranges of about 100 rows or more."""
+    folder = f"{checkpoint_dir(s)}/roster-{uuid.uuid4().hex}"
+    rows = scored_rows(s, d)
+    stored = roster.StoredRoster(s, folder).write(rows, readiness_rows(s, d), max(100, rows.count() // 16))
+    pages = [stored.page(p, PAGE_SIZE).withColumn("page", F.lit(p)) for p in PAGES]
+    return reduce(DataFrame.unionAll, pages)
+
+
+register(
+    "roster_stored_pages",
+    _stored_pages,
+    with_ctes(
+        ["ready"],
+        f"""SELECT * FROM (SELECT {_ROSTER}, CAST((row_number() OVER (ORDER BY {_RANK} DESC, retention_probability DESC NULLS FIRST, student_guid) - 1) // {PAGE_SIZE} + 1 AS INTEGER) AS page
+ FROM ready) WHERE page IN {PAGES}""",
+    ),
+)
 register(
     "roster_count",
     lambda s, d: roster.roster_count(scored_rows(s, d), readiness_rows(s, d), tier="high"),
