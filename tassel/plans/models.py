@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
@@ -156,6 +159,35 @@ def _importances(features: list[str], model: Model) -> list[tuple[str, float]]:
     return sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
 
 
+#: Rows that are worth a task of their own in one pass of a trainer, and rows that a task gets at most.
+TASK_ROWS, MOST_TASK_ROWS = 10_000, 250_000
+
+
+def _tasks(n_rows: int, cores: int) -> int:
+    """One task a core if there are rows enough for it, more only where a task would get too many rows."""
+    return max(1, min(cores, math.ceil(n_rows / TASK_ROWS)), math.ceil(n_rows / MOST_TASK_ROWS))
+
+
+@contextmanager
+def _for_passes(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` kept in as few parts as they need.
+
+    A trainer passes over its rows hundreds of times, and a pass costs a task a part: in the parts of the last shuffle
+    (hundreds, mostly empty on a small table) the tasks' own cost would be nearly all there is. Which rows come is not
+    changed.
+    """
+    shuffled = rows.persist()
+    try:
+        dealt = shuffled.repartition(_tasks(shuffled.count(), rows.sparkSession.sparkContext.defaultParallelism)).persist()
+        dealt.count()
+    finally:
+        shuffled.unpersist()
+    try:
+        yield dealt
+    finally:
+        dealt.unpersist()
+
+
 def _with_checkpoints(df: DataFrame) -> DataFrame:
     """Boosting cuts its lineage now and then, in the folder the cluster names."""
     context = df.sparkSession.sparkContext
@@ -179,12 +211,9 @@ def train_classifier(
     """Preprocess, split 80/20 within classes, fit, measure on the held-out rows."""
     pre = pre or Preprocessor.fit(students, features)
     known = _with_checkpoints(students).filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
-    split = stratified_split(pre.transform(known, [KEY, "label"], features), KEY, "label").persist()
-    try:
+    with _for_passes(stratified_split(pre.transform(known, [KEY, "label"], features), KEY, "label")) as split:
         model = (estimator or boosted_trees()).fit(split.filter("not is_test"))
         metrics = _first(binary_metrics(_scored(model, split.filter("is_test"))))
-    finally:
-        split.unpersist()
     return Trained(name, pre, model, features, metrics, importances=_importances(features, model))
 
 
@@ -204,10 +233,10 @@ def compare_models(
     names = features or RETENTION_FEATURES
     pre = pre or Preprocessor.fit(students, names)
     known = _with_checkpoints(students).filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
-    split = stratified_split(pre.transform(known, [KEY, "label"], names), KEY, "label").persist()
-    train, test = split.filter("not is_test"), split.filter("is_test")
-    dealt = stratified_folds(train, KEY, "label", folds).persist()
-    try:
+    with ExitStack() as kept:
+        split = kept.enter_context(_for_passes(stratified_split(pre.transform(known, [KEY, "label"], names), KEY, "label")))
+        train, test = split.filter("not is_test"), split.filter("is_test")
+        dealt = kept.enter_context(_for_passes(stratified_folds(train, KEY, "label", folds)))
         estimators = {
             "Logistic Regression": logistic(train.count()),
             "Random Forest (Simple)": simple_forest(),
@@ -239,9 +268,6 @@ def compare_models(
             if best is None or cv.avgMetrics[0] > best[0]:
                 best = (cv.avgMetrics[0], name, model)
         metrics = _first(binary_metrics(_scored(best[2], test)))
-    finally:
-        dealt.unpersist()
-        split.unpersist()
     return Trained(best[1], pre, best[2], names, metrics, table, _importances(names, best[2]))
 
 
@@ -260,12 +286,9 @@ def train_regressor(
     if usable.count() <= minimum:
         return Trained(f"{name} (no model: {minimum} rows or fewer)", None, None, features)
     pre = pre or Preprocessor.fit(students, features)
-    split = random_split(pre.transform(usable, [KEY, "label"], features), KEY).persist()
-    try:
+    with _for_passes(random_split(pre.transform(usable, [KEY, "label"], features), KEY)) as split:
         model = estimator.fit(split.filter("not is_test"))
         metrics = _first(regression_metrics(model.transform(split.filter("is_test"))))
-    finally:
-        split.unpersist()
     return Trained(name, pre, model, features, metrics, importances=_importances(features, model))
 
 
@@ -295,13 +318,10 @@ def train_credential_type(students: DataFrame, balanced: bool = True, pre: Prepr
         split = split.join(F.broadcast(weights), F.col("label") == F.col("_l"), "left").drop("_l")
         forest = forest.setWeightCol("weight")
         split = split.fillna({"weight": 1.0})
-    split = split.persist()
-    try:
-        model = forest.fit(split.filter("not is_test"))
-        held = model.transform(split.filter("is_test")).withColumn("prediction", F.col("prediction").cast("int"))
+    with _for_passes(split) as rows:
+        model = forest.fit(rows.filter("not is_test"))
+        held = model.transform(rows.filter("is_test")).withColumn("prediction", F.col("prediction").cast("int"))
         metrics = _first(multiclass_metrics(held))
-    finally:
-        split.unpersist()
     return Trained("Credential Type", pre, model, RETENTION_FEATURES, metrics, importances=_importances(RETENTION_FEATURES, model))
 
 
