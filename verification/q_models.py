@@ -401,7 +401,8 @@ _NEWTON = with_ctes(["stu"], "@@").replace(
 
 
 def _fitted(s, d):
-    rows = scored.with_targets(student_rows(s, d)).select("student_guid", *LOGISTIC_FEATURES, "target_retention")
+    # written once: the fit passes over the rows several times, and each would join the enrollments again
+    rows = training_table(s, d).select("student_guid", *LOGISTIC_FEATURES, "target_retention")
     return logistic.fit_logistic(rows, LOGISTIC_FEATURES, "target_retention"), rows
 
 
