@@ -401,8 +401,11 @@ _NEWTON = with_ctes(["stu"], "@@").replace(
 
 
 def _fitted(s, d):
-    # written once: the fit passes over the rows several times, and each would join the enrollments again
-    rows = training_table(s, d).select("student_guid", *LOGISTIC_FEATURES, "target_retention")
+    # written once, these columns only: the fit passes over the rows several times, and each would join the enrollments again
+    rows = scored.with_targets(student_rows(s, d)).select("student_guid", *LOGISTIC_FEATURES, "target_retention")
+    path = f"{checkpoint_dir(s)}/logistic-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = s.read.schema(rows.schema).parquet(path)
     return logistic.fit_logistic(rows, LOGISTIC_FEATURES, "target_retention"), rows
 
 
