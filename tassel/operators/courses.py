@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.grades import is_course_pass, is_dfwi
 from ..functions.numeric import percent, ratio
 from ..session import checkpoint_dir
+from .ranks import hash_row_numbers
 
 COURSE = ["course_prefix", "course_number"]
 SITTING = ["student_guid", "academic_year", "academic_term"]
@@ -224,51 +225,84 @@ def course_sets(enrollments: DataFrame, size: int = 3, min_count: int = 20) -> D
     Rows: courses (text, in order), n_courses, sittings (student-terms that have all of them), dfwi_rate (share of the
     sittings in which any row of any of them is D/F/W/I) and all_pass_rate (in which all their rows are passed).
     Student-terms count once, so a set never has more sittings than a part of it: from the courses with ``min_count``
-    on, a set of n courses is made only of two frequent sets of n - 1 that share all but their last course. Each
-    level's sittings are a table, of which only those of frequent sets are joined again.
+    on, a set of n courses is made only of two frequent sets of n - 1 that share all but their last course. A
+    student-term is one row with its frequent courses as numbers. Its sets are made within the row, so a level
+    shuffles and writes counts only.
     """
+    if size < 2:
+        raise ValueError("a combination has two courses or more")
     table = _tables(enrollments.sparkSession, "course-sets")
     sat = enrollments.dropna(subset=[*SITTING, *COURSE]).groupBy(*SITTING, *COURSE).agg(
         F.bool_or(F.coalesce(is_dfwi(), F.lit(False))).alias("any_dfwi"),
         F.bool_and(F.coalesce(is_course_pass(), F.lit(False))).alias("all_pass"),
     )
-    none = F.slice(F.array(F.struct(*COURSE)), 1, 0)
-    held = sat.select(*SITTING, none.alias("head"), F.struct(*COURSE).alias("last"), "any_dfwi", "all_pass")
-    course_text = lambda c: F.concat_ws(" ", *[c[name] for name in COURSE])
-    out = None
+    sat = table(sat, "sittings")
+    enough = sat.groupBy(*COURSE).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_count)
+    numbered = hash_row_numbers(enough.withColumn("_key", F.concat_ws(" ", *COURSE)), "_key")
+    catalog = table(numbered.select(*COURSE, F.col("row_no").cast("int").alias("course_no")), "courses")
+    # a course and its two marks in one number: 4 x course_no + 2 (any D/F/W/I) + 1 (all passed)
+    marked = F.col("course_no") * 4 + F.col("any_dfwi").cast("int") * 2 + F.col("all_pass").cast("int")
+    taken = sat.join(catalog, COURSE).groupBy(*SITTING).agg(F.array_sort(F.collect_list(marked)).alias("rest"))
+    held = table(taken.filter(F.size("rest") > 1).select("rest"), "taken").select(
+        F.lit(False).alias("any_dfwi"), F.lit(True).alias("all_pass"), "rest"
+    )
+    out, frequent = None, None
     for level in range(1, size + 1):
-        held = table(held, f"sittings-{level}")
-        counts = held.groupBy("head", "last").agg(
-            F.count("*").alias("sittings"), F.count_if("any_dfwi").alias("_dfwi"), F.count_if("all_pass").alias("_pass")
-        )
-        frequent = table(counts.filter(F.col("sittings") >= min_count), f"frequent-{level}")
+        head, nos = [f"c{i}" for i in range(1, level)], [f"c{i}" for i in range(1, level + 1)]
         if level > 1:
-            found = frequent.select(
-                F.array_join(F.transform(F.concat("head", F.array("last")), course_text), " + ").alias("courses"),
-                F.lit(level).alias("n_courses"),
-                "sittings",
-                percent("_dfwi", "sittings").alias("dfwi_rate"),
-                percent("_pass", "sittings").alias("all_pass_rate"),
+            ends = held.select(*head, "any_dfwi", "all_pass", F.explode("rest").alias("_x"))
+            ends = _with_last(ends, nos[-1])
+            if level > 2:  # the head is frequent already; so must be the set without the course before the last
+                ends = _only(ends, frequent, [*head[:-1], nos[-1]])
+            counts = ends.groupBy(*nos).agg(
+                F.count("*").alias("sittings"), F.count_if("any_dfwi").alias("_dfwi"), F.count_if("all_pass").alias("_pass")
             )
+            frequent = table(counts.filter(F.col("sittings") >= min_count), f"frequent-{level}")
+            found = _named_sets(frequent, catalog, nos)
             out = found if out is None else out.unionAll(found)
-        if level == size:
-            break
-        named = frequent.select(F.col("head").alias("_head"), F.col("last").alias("_last"))
-        left = held.join(named, (F.col("head") == F.col("_head")) & (F.col("last") == F.col("_last")), "left_semi")
-        a = left.select(*SITTING, "head", *[F.col(c).alias(f"{c}_a") for c in ("last", "any_dfwi", "all_pass")])
-        b = left.select(*SITTING, "head", *[F.col(c).alias(f"{c}_b") for c in ("last", "any_dfwi", "all_pass")])
-        held = a.join(b, [*SITTING, "head"]).filter(F.col("last_a") < F.col("last_b")).select(
-            *SITTING,
-            F.concat("head", F.array("last_a")).alias("head"),
-            F.col("last_b").alias("last"),
-            (F.col("any_dfwi_a") | F.col("any_dfwi_b")).alias("any_dfwi"),
-            (F.col("all_pass_a") & F.col("all_pass_b")).alias("all_pass"),
-        )
-    if out is None:
-        raise ValueError("a combination has two courses or more")
+        if level < size:
+            held = held.select(*head, "any_dfwi", "all_pass", "rest", F.posexplode("rest").alias("_at", "_x"))
+            held = held.filter(F.col("_at") + 1 < F.size("rest"))
+            held = _with_last(held, nos[-1])
+            if level > 1:
+                held = _only(held, frequent, nos)
+            after = F.slice("rest", F.col("_at") + 2, F.size("rest"))
+            held = held.select(*nos, "any_dfwi", "all_pass", after.alias("rest"))
     return out
 
 
+def _with_last(sets: DataFrame, name: str) -> DataFrame:
+    """Adds the course of the marked number ``_x`` to a set and its marks."""
+    return sets.withColumns(
+        {
+            name: F.shiftright("_x", 2),
+            "any_dfwi": F.col("any_dfwi") | (F.col("_x").bitwiseAND(2) != 0),
+            "all_pass": F.col("all_pass") & (F.col("_x").bitwiseAND(1) != 0),
+        }
+    )
+
+
+def _only(sets: DataFrame, frequent: DataFrame, nos: list[str]) -> DataFrame:
+    """The rows whose courses ``nos`` are one of the frequent sets."""
+    named = frequent.select(*[F.col(f"c{i}").alias(f"_c{i}") for i in range(1, len(nos) + 1)])
+    return sets.join(named, [F.col(c) == F.col(f"_c{i}") for i, c in enumerate(nos, 1)], "left_semi")
+
+
+def _named_sets(frequent: DataFrame, catalog: DataFrame, nos: list[str]) -> DataFrame:
+    for c in nos:
+        course = catalog.select(F.col("course_no").alias(c), F.struct(*COURSE).alias(f"_{c}"))
+        frequent = frequent.join(course, c)
+    course_text = lambda c: F.concat_ws(" ", *[c[name] for name in COURSE])
+    ordered = F.array_sort(F.array(*[F.col(f"_{c}") for c in nos]))
+    return frequent.select(
+        F.array_join(F.transform(ordered, course_text), " + ").alias("courses"),
+        F.lit(len(nos)).alias("n_courses"),
+        "sittings",
+        percent("_dfwi", "sittings").alias("dfwi_rate"),
+        percent("_pass", "sittings").alias("all_pass_rate"),
+    )
+
+
 def _is_course(course: tuple[str, str]) -> Column:
     return (F.col("course_prefix") == course[0]) & (F.col("course_number") == course[1])
 
