@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -174,20 +177,43 @@ def _for_passes(rows: DataFrame) -> Iterator[DataFrame]:
 
     A trainer passes over its rows hundreds of times, and a pass costs a task a part: in the parts of the last shuffle
     (hundreds, mostly empty on a small table) the tasks' own cost would be nearly all there is. Which rows come is not
-    changed.
+    changed. They are written and read back: each job of a trainer walks through all that its rows come from, and the
+    steps behind a persisted table stay in that walk.
     """
     shuffled = rows.persist()
     try:
-        dealt = shuffled.repartition(_tasks(shuffled.count(), rows.sparkSession.sparkContext.defaultParallelism)).persist()
-        dealt.count()
+        path = f"{checkpoint_dir(rows.sparkSession)}/passes-{uuid.uuid4().hex}"
+        n_tasks = _tasks(shuffled.count(), rows.sparkSession.sparkContext.defaultParallelism)
+        shuffled.repartition(n_tasks).write.parquet(path)
     finally:
         shuffled.unpersist()
+    dealt = rows.sparkSession.read.schema(rows.schema).parquet(path).persist()
     try:
         yield dealt
     finally:
         dealt.unpersist()
 
 
+#: Fits that are run side by side at most.
+MOST_FITS = 4
+
+
+def _fits_at_once(n_rows: int, cores: int) -> int:
+    """As many fits as the cores hold tasks of one pass for; one after the other where a pass fills them."""
+    return max(1, min(MOST_FITS, cores // _tasks(n_rows, cores)))
+
+
+def _side_by_side(fits: list[Callable], rows: DataFrame) -> list:
+    """What each of the fits on ``rows`` gives, in their order.
+
+    On few rows a fit waits for its hundreds of short jobs and leaves most cores idle.
+    """
+    at_once = _fits_at_once(rows.count(), rows.sparkSession.sparkContext.defaultParallelism)
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting = [pool.submit(inheritable_thread_target(rows.sparkSession)(fit)) for fit in fits]
+        return [w.result() for w in waiting]
+
+
 def _with_checkpoints(df: DataFrame) -> DataFrame:
     """Boosting cuts its lineage now and then, in the folder the cluster names."""
     context = df.sparkSession.sparkContext
@@ -242,12 +268,11 @@ def compare_models(
             "Random Forest (Simple)": simple_forest(),
             "Boosted Trees (Regularized)": boosted_trees(),
         }
-        table, best = [], None
-        for name, estimator in estimators.items():
-            if candidates and name not in candidates:
-                continue
+        chosen = [name for name in estimators if not candidates or name in candidates]
+
+        def measured(name: str) -> tuple[dict, Model]:
             cv = CrossValidator(
-                estimator=estimator,
+                estimator=estimators[name],
                 estimatorParamMaps=ParamGridBuilder().build(),
                 evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                 numFolds=folds,
@@ -259,14 +284,17 @@ def compare_models(
             test_auc = roc_auc(_scored(model, test)).first()["auc_roc"]
             gap = train_auc - test_auc
             verdict = "no overfitting" if gap < 0.05 else "minimal overfitting" if gap < 0.10 else "overfitting"
-            table.append(
-                {
-                    "model": name, "cv_auc": float(cv.avgMetrics[0]), "cv_std": float(cv.stdMetrics[0]), "train_auc": train_auc,
-                    "test_auc": test_auc, "gap": gap, "verdict": verdict,
-                }
-            )
-            if best is None or cv.avgMetrics[0] > best[0]:
-                best = (cv.avgMetrics[0], name, model)
+            return {
+                "model": name, "cv_auc": float(cv.avgMetrics[0]), "cv_std": float(cv.stdMetrics[0]), "train_auc": train_auc,
+                "test_auc": test_auc, "gap": gap, "verdict": verdict,
+            }, model
+
+        table, best = [], None
+        fits = [lambda name=name: measured(name) for name in chosen]
+        for name, (row, model) in zip(chosen, _side_by_side(fits, dealt)):
+            table.append(row)
+            if best is None or row["cv_auc"] > best[0]:
+                best = (row["cv_auc"], name, model)
         metrics = _first(binary_metrics(_scored(best[2], test)))
     return Trained(best[1], pre, best[2], names, metrics, table, _importances(names, best[2]))
 
@@ -344,24 +372,26 @@ def train_all(student_table: DataFrame, compare: bool = True) -> ModelSet:
 
     Without ``compare`` the retention model is the simple forest instead of the best of three.
     """
-    rows = with_targets(student_table).persist()
+    rows = _with_checkpoints(with_targets(student_table)).persist()
     every = [*RETENTION_FEATURES, *GATEWAY_MATH_FEATURES, *GATEWAY_ENGLISH_FEATURES, *LOW_GPA_FEATURES]
     try:
         pre = Preprocessor.fit(rows, every)
-        retention = (
-            compare_models(rows, pre=pre)
-            if compare
-            else train_classifier(rows, "Retention", "target_retention", RETENTION_FEATURES, simple_forest(), pre)
-        )
-        return ModelSet(
-            retention=retention,
-            time_to_credential=train_time_to_credential(rows, pre=pre),
-            credential=train_credential_type(rows, pre=pre),
-            gateway_math=train_gateway_math(rows, pre),
-            gateway_english=train_gateway_english(rows, pre),
-            low_gpa=train_low_gpa(rows, pre),
-            gpa=train_gpa(rows, pre),
-        )
+
+        def retention() -> Trained:
+            if compare:
+                return compare_models(rows, pre=pre)
+            return train_classifier(rows, "Retention", "target_retention", RETENTION_FEATURES, simple_forest(), pre)
+
+        fits = {
+            "retention": retention,
+            "gateway_math": lambda: train_gateway_math(rows, pre),
+            "gateway_english": lambda: train_gateway_english(rows, pre),
+            "low_gpa": lambda: train_low_gpa(rows, pre),
+            "time_to_credential": lambda: train_time_to_credential(rows, pre=pre),
+            "credential": lambda: train_credential_type(rows, pre=pre),
+            "gpa": lambda: train_gpa(rows, pre=pre),
+        }
+        return ModelSet(**dict(zip(fits, _side_by_side(list(fits.values()), rows))))
     finally:
         rows.unpersist()
 
