@@ -19,11 +19,19 @@ CAPACITY = 2048
 END_ID = 1
 #: Pieces of text a worker remembers that it has met twice, and those it has met once; a set that is full starts anew.
 KNOWN, FRESH = 250_000, 150_000
-#: Punctuation between a letter and white space is a part of its own for the tokenizer, too.
-_LONE = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])[!#$%&*+,./:;=?@^~-]+(?=\\s|\\Z)")
-#: White space on which Python and the tokenizer may differ, and the beginning of its special tokens' names, which may
-#: stand inside a word: such a text is encoded as a whole.
-_ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Characters, or texts, from which on a group of texts is looked up, and the most new words in one call of the tokenizer.
+GROUP_CHARS, GROUP_TEXTS, CALL_WORDS = 1 << 17, 500, 500
+#: Punctuation between a letter and white space is a part of its own for the tokenizer, too. The pattern begins with
+#: the punctuation, which is searched for faster than what must stand before it.
+_SIGNS = "[!#$%&*+,./:;=?@^~-]"
+_LONE = re.compile(f"{_SIGNS}(?<=[a-z\xdf-\xf6\xf8-\xff]{_SIGNS}){_SIGNS}*(?=\\s|\\Z)")
+#: The beginning of the tokenizer's special tokens' names, which may stand inside a word, and white space on which
+#: Python and the tokenizer may differ: such a text is encoded as a whole.
+_SPECIAL = "<|"
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Two letters whose lower form depends on what stands beside them, and marks that may join a small letter but not its
+#: capital, which the tokenizer lowers last: such a text is not lowered before.
+_CASE = re.compile("[\u0130\u03a3\u0300-\u036f]")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _rank long"
 
 
@@ -31,8 +39,9 @@ class Encoder:
     """Token ids of whole texts as 32-bit bytes, little-endian on every machine Spark runs on here.
 
     The tokenizer lowers the text, cuts at white space and drops it, so a text's ids are those of its parts
-    between white space; parts met before are looked up. Most different parts come once only, so a part is kept
-    for long from its second text on.
+    between white space. Different parts of a group of texts are looked up once, and the new ones that are words
+    of letters share calls of the tokenizer. Most different parts come once only, so a part is kept for long from
+    its second group on.
     """
 
     def __init__(self, path: str):
@@ -45,27 +54,55 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._bytes(text)
-        if "\u03a3" not in text:  # the one letter whose lower form depends on its place
-            text = _LONE.sub(r" \g<0>", text.lower())
-        parts, known, fresh = text.split(), self.known, self.fresh
+    def _encoded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Letters alone are one word to the tokenizer, which names the word of each id: several go in one call.
+
+        If it finds more or fewer words than it was given, these parts go one by one, like those with other signs.
+        """
+        words = [p for p in parts if p.isalpha()]
+        single = [p for p in parts if not p.isalpha()]
+        for a in range(0, len(words), CALL_WORDS):
+            some = words[a : a + CALL_WORDS]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, word = array("I", found.ids).tobytes(), np.array(found.word_ids, np.int64)
+            ends = [*(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(ids)]
+            if len(ends) == len(some):
+                yield from zip(some, (ids[x:y] for x, y in zip([0, *ends], ends)))
+            else:
+                single += some
+        for part in single:
+            yield part, self._bytes(part)
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        parts: list[list[str] | None] = []
+        for text in texts:
+            if _SPECIAL in text or _ODD.search(text):
+                parts.append(None)
+                continue
+            if text.isascii() or not _CASE.search(text):
+                text = _LONE.sub(r" \g<0>", text.lower())
+            parts.append(text.split())
+        known, fresh = self.known, self.fresh
         if len(known) > KNOWN:
             known.clear()
         if len(fresh) > FRESH:
             fresh.clear()
         once = []
-        for new in set(parts).difference(known):
-            found = fresh.pop(new, None)
-            if found is None:
-                found = self._bytes(new)
-                once.append(new)
-            known[new] = found
-        ids = b"".join(map(known.__getitem__, parts))
-        for new in once:
-            fresh[new] = known.pop(new)
-        return ids
+        for part in set().union(*(p for p in parts if p is not None)).difference(known):
+            ids = fresh.pop(part, None)
+            if ids is None:
+                once.append(part)
+            else:
+                known[part] = ids
+        known.update(self._encoded(once))
+        get = known.__getitem__
+        out = [self._bytes(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        for part in once:
+            fresh[part] = known.pop(part)
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -77,31 +114,44 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def groups_of(texts: pa.Array) -> Iterator[list[str]]:
+    """All texts in order, in lists that end at ``GROUP_CHARS`` characters or ``GROUP_TEXTS`` texts; a null is empty."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= GROUP_CHARS or len(group) >= GROUP_TEXTS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """Each document's ids and the end id, cut every ``capacity`` ids. ``_rank`` counts the earlier pieces of
     the same length in the same input partition ``_part``."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).ids_of
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
+        types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for texts in groups_of(batch.column(1)):
                 rows: list[tuple] = []
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
-                    ids = encode(text.as_py() or "") + end
+                for ids, doc_id in zip(encode(texts), doc_ids):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, capacity):
                         own = ids[4 * start : 4 * (start + capacity)]
                         length = len(own) // 4
                         rows.append((doc_id, start, length, zlib.crc32(own), n, part, seen[length]))
                         seen[length] += 1
-                types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-                columns = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), types)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_rank"],
                 )
 

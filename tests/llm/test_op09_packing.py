@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -85,6 +86,69 @@ def test_ids_are_the_tokenizers(text, plain):
     assert np.frombuffer(op.Encoder(PATH).ids(text), "<u4").tolist() == plain(text)[:-1]
 
 
+class Counting:
+    """The tokenizer, with the number of its calls."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode(self, *args, **settings):
+        self.calls += 1
+        return self.tokenizer.encode(*args, **settings)
+
+
+def words(rng, n, letters="abcdefghijklmnopqrstuvwxyzßéè"):
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(n)]
+
+
+def test_new_words_share_calls_of_the_tokenizer(plain):
+    encode = op.Encoder(PATH)
+    encode.tokenizer = Counting(encode.tokenizer)
+    text = " ".join(words(random.Random(5), 3000))
+    assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain(text)[:-1]
+    assert encode.tokenizer.calls <= 12
+
+
+#: Letters that NFC composes or takes apart, letters with no lower form or two, marks, and other letters.
+LETTERS = (
+    "abzJ\u00e9\u00df\u00c0\u0132\u0149\u01c5\u01f0\u0130\u0131\u017fK\u212a\u212b\u2126\u03a3\u03c3\u03c2\u0416\u0436\u05d0\u05d9"
+    "\ufb1d\ufb2a\u1100\u1161\u11a8\ud55c\u65e5\u672c\uf900\u0e01\U00010400\U0001d400\u00aa\u00ba\u02b0\u216d\ua7ca\u0301\u030c\u05c1"
+)
+
+
+def test_words_of_all_letters_are_what_the_plain_call_makes_of_them(plain, monkeypatch):
+    monkeypatch.setattr(op, "CALL_WORDS", 3)
+    rng, encode = random.Random(7), op.Encoder(PATH)
+    texts = [" ".join(words(rng, rng.randrange(8), LETTERS)) for _ in range(4000)]
+    for a in range(0, len(texts), 20):
+        for text, ids in zip(texts[a : a + 20], encode.ids_of(texts[a : a + 20]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text)[:-1], repr(text)
+
+
+def test_texts_of_a_group_keep_their_ids_when_the_worker_forgets(plain, monkeypatch):
+    monkeypatch.setattr(op, "KNOWN", 20)
+    monkeypatch.setattr(op, "FRESH", 30)
+    rng, encode = random.Random(9), op.Encoder(PATH)
+    some = [*words(rng, 60), "b,", "c!!", "4.0", "it's", "<|endoftext|>", "a\u2003b", "x\x1cy", "", "Σας"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(600)]
+    for a in range(0, len(texts), 7):
+        for text, ids in zip(texts[a : a + 7], encode.ids_of(texts[a : a + 7]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text)[:-1], repr(text)
+
+
+@pytest.mark.parametrize("text", ["J\u030ca Y\u030a, y\u030a", "\u0130\u05c1 \u0130, i"])
+def test_capitals_with_marks(text, plain):
+    assert np.frombuffer(op.Encoder(PATH).ids(text), "<u4").tolist() == plain(text)[:-1]
+
+
+def test_groups_hold_all_texts_in_order(monkeypatch):
+    monkeypatch.setattr(op, "GROUP_CHARS", 5)
+    monkeypatch.setattr(op, "GROUP_TEXTS", 3)
+    texts = ["ab", "cde", "f" * 50, None, "", "", "g", "h"]
+    assert list(op.groups_of(pa.array(texts))) == [["ab", "cde"], ["f" * 50], ["", "", ""], ["g", "h"]]
+    assert list(op.groups_of(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_closest_fill_is_the_closest(seed):
     rng = random.Random(seed)
