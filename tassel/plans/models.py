@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -33,6 +34,7 @@ from ..operators.evaluate import (
 )
 from ..operators.scored import with_scores, with_targets
 from ..session import checkpoint_dir
+from .boosting import fit_boosted
 
 # Features of each model. Columns that give the target away are left out.
 DEMOGRAPHIC = ["student_age", "race", "ethnicity", "gender", "first_gen", "pell_status_first_year"]
@@ -133,6 +135,10 @@ def boosted_trees(seed: int = 42) -> GBTClassifier:
     )
 
 
+def _fit(estimator: Estimator, rows: DataFrame) -> Model:
+    return fit_boosted(estimator, rows).model if isinstance(estimator, GBTClassifier) else estimator.fit(rows)
+
+
 def _scored(model: Model, rows: DataFrame) -> DataFrame:
     """Adds ``score`` (probability of class 1) and integer ``prediction``."""
     out = model.transform(rows)
@@ -238,7 +244,7 @@ def train_classifier(
     pre = pre or Preprocessor.fit(students, features)
     known = _with_checkpoints(students).filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
     with _for_passes(stratified_split(pre.transform(known, [KEY, "label"], features), KEY, "label")) as split:
-        model = (estimator or boosted_trees()).fit(split.filter("not is_test"))
+        model = _fit(estimator or boosted_trees(), split.filter("not is_test"))
         metrics = _first(binary_metrics(_scored(model, split.filter("is_test"))))
     return Trained(name, pre, model, features, metrics, importances=_importances(features, model))
 
@@ -270,22 +276,35 @@ def compare_models(
         }
         chosen = [name for name in estimators if not candidates or name in candidates]
 
-        def measured(name: str) -> tuple[dict, Model]:
+        def validated(estimator: Estimator) -> tuple[Model, float, float]:
+            """The fit on all rows, with the mean and deviation of the ROC AUC of the folds."""
+            if isinstance(estimator, GBTClassifier):
+                boosted = fit_boosted(estimator, dealt, folds)
+                evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol="score")
+                held_out = [boosted.held_out.filter(F.col("fold") == i) for i in range(folds)]
+                for i, rows in enumerate(held_out):
+                    if rows.isEmpty():
+                        raise ValueError(f"The validation data at fold {i} is empty.")
+                aucs = [evaluator.evaluate(rows) for rows in held_out]
+                return boosted.model, float(np.mean(aucs)), float(np.std(aucs))
             cv = CrossValidator(
-                estimator=estimators[name],
+                estimator=estimator,
                 estimatorParamMaps=ParamGridBuilder().build(),
                 evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                 numFolds=folds,
                 foldCol="fold",
                 parallelism=parallelism,
             ).fit(dealt)
-            model = cv.bestModel
+            return cv.bestModel, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])
+
+        def measured(name: str) -> tuple[dict, Model]:
+            model, cv_auc, cv_std = validated(estimators[name])
             train_auc = roc_auc(_scored(model, train)).first()["auc_roc"]
             test_auc = roc_auc(_scored(model, test)).first()["auc_roc"]
             gap = train_auc - test_auc
             verdict = "no overfitting" if gap < 0.05 else "minimal overfitting" if gap < 0.10 else "overfitting"
             return {
-                "model": name, "cv_auc": float(cv.avgMetrics[0]), "cv_std": float(cv.stdMetrics[0]), "train_auc": train_auc,
+                "model": name, "cv_auc": cv_auc, "cv_std": cv_std, "train_auc": train_auc,
                 "test_auc": test_auc, "gap": gap, "verdict": verdict,
             }, model
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,3 +45,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tassel-ckpt-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Workers that are started from now on can import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with the job; then the extra path does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    settings = spark.sparkContext.environment
+    paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        settings["PYTHONPATH"] = os.pathsep.join([*paths, root])
